@@ -23,7 +23,7 @@ def needed_concepts(templates: DataFrame) -> DataFrame:
         needs("required_concepts", True), needs("nice_to_have_concepts", False))))
 
 
-def _needs_per_scope(templates: DataFrame, available: DataFrame, scopes: DataFrame, scope: str) -> DataFrame:
+def _needs_per_scope(templates: DataFrame, scopes: DataFrame, scope: str) -> DataFrame:
     # Every scope is scored on every template, so the result itself has scopes x templates rows.
     # Template numbers are exploded beside each scope, then all else joins on equal keys.
     numbers = templates.agg(F.collect_set("template_order")).scalar()
@@ -41,7 +41,7 @@ def match_needs(templates: DataFrame, available: DataFrame, scopes: DataFrame |
     if scope is None:
         needs, keys = needed_concepts(templates), ["concept"]
     else:
-        needs, keys = _needs_per_scope(templates, available, scopes, scope), [scope, "concept"]
+        needs, keys = _needs_per_scope(templates, scopes, scope), [scope, "concept"]
     return needs.join(available.withColumn("found", F.lit(True)), keys, "left").withColumn(
         "have", F.coalesce("found", F.lit(False))).drop("found")
 

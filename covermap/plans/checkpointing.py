@@ -1,28 +1,34 @@
-"""Keeping a small result that several later steps read, so its scans run once."""
+"""Keeping a result that several later steps read, so that its scans run once."""
 
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
 _SETTING = "spark.checkpoint.dir"
 
 
-def ensure_checkpoint_folder(spark: SparkSession) -> None:
-    """Use the shared folder the session names; only a local session may make one of its own."""
-    context = spark.sparkContext
-    if context.getCheckpointDir() is not None:
-        return
+def shared_folder(spark: SparkSession) -> str:
+    """The folder the session names for kept results; only a local session may make its own."""
     folder = spark.conf.get(_SETTING, None)
     if folder is None:
-        if not context.master.startswith("local"):
+        if not spark.sparkContext.master.startswith("local"):
             raise ValueError(f"set {_SETTING} to a folder that all executors share")
-        folder = tempfile.mkdtemp(prefix="checkpoints-")
-    context.setCheckpointDir(folder)
+        folder = tempfile.mkdtemp(prefix="kept-")
+        spark.conf.set(_SETTING, folder)
+    return folder
 
 
 def keep(df: DataFrame) -> DataFrame:
-    """A reliable checkpoint: later steps, and lost executors, read files instead of rescanning."""
-    ensure_checkpoint_folder(df.sparkSession)
-    return df.checkpoint()
+    """Write the result to the shared folder and read it from there.
+
+    Later steps, and tasks that replace lost executors, read files instead of scanning the
+    sources again, and being Parquet they read only the columns they need. Columns are written
+    under positional names, so any names can be kept, repeated ones too.
+    """
+    path = f"{shared_folder(df.sparkSession).rstrip('/')}/kept-{uuid.uuid4().hex}"
+    positional = df.toDF(*[f"c{i}" for i in range(len(df.columns))])
+    positional.write.parquet(path)
+    return df.sparkSession.read.schema(positional.schema).parquet(path).toDF(*df.columns)

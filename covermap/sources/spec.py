@@ -25,10 +25,10 @@ class Source:
         return replace(self, df=df.limit(count))
 
     def staged(self) -> Source:
-        """Read the source once into the checkpoint folder.
+        """Read the source once, into the session's shared folder.
 
-        Profiling scans a table several times. For a database, or a table that changes meanwhile,
-        a reliable checkpoint makes that one read.
+        Profiling scans a table several times. For a database, or a table that changes
+        meanwhile, staging makes that one read.
         """
         return replace(self, df=keep(self.df))
 

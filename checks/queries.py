@@ -47,11 +47,11 @@ def first_source(spark: SparkSession, sf_dir: str) -> DataFrame:
         SourceSpec("parquet", "orders", "parquet", path=f"{sf_dir}/orders.parquet"),
     ]
     source, log = first_available(spark, "orders", candidates, lambda: synthetic_source(spark, "orders"))
+    report = load_report([source]).withColumn("status", F.lit(log[-1]["status"]))
     tried = spark.createDataFrame(
-        [(entry["name"], entry["source_type"], entry["status"]) for entry in log],
+        [(entry["name"], entry["source_type"], entry["status"]) for entry in log[:-1]],
         "source_name string, source_type string, status string")
-    return tried.join(load_report([source]), ["source_name", "source_type"], "left").select(
-        "source_name", "source_type", "status", "rows", "columns")
+    return tried.unionByName(report.drop("table_name", "is_synthetic"), allowMissingColumns=True)
 
 
 def sample_limit(spark: SparkSession, sf_dir: str) -> DataFrame:

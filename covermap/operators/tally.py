@@ -36,11 +36,11 @@ def scans(sources: Sequence[Source]) -> Iterator[tuple[DataFrame, Chunk]]:
 def _keys(table: DataFrame, chunk: Chunk) -> DataFrame:
     """One row (slot, number, bytes) per value. UNPIVOT runs as Spark's Expand, without arrays."""
     keyed = [(slot, *distinct_key(f"c{slot}", data_type)) for slot, data_type in chunk]
-    flat = ", ".join(f"{number} AS n{slot}, {raw} AS b{slot}" for slot, number, raw in keyed)
-    pairs = ", ".join(f"(n{slot}, b{slot}) AS `{slot}`" for slot, _ in chunk)
+    flat = ", ".join(f"{slot} AS s{slot}, {number} AS n{slot}, {raw} AS b{slot}" for slot, number, raw in keyed)
+    triples = ", ".join(f"(s{slot}, n{slot}, b{slot})" for slot, _ in chunk)
     return table.sparkSession.sql(
-        f"SELECT CAST(slot AS INT) AS slot, number, bytes FROM (SELECT {flat} FROM {{table}})"
-        f" UNPIVOT INCLUDE NULLS ((number, bytes) FOR slot IN ({pairs}))", table=table)
+        f"SELECT slot, number, bytes FROM (SELECT {flat} FROM {{table}})"
+        f" UNPIVOT INCLUDE NULLS ((slot, number, bytes) FOR name IN ({triples}))", table=table)
 
 
 def exact_tally(sources: Sequence[Source]) -> DataFrame:

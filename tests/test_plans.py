@@ -1,0 +1,78 @@
+"""The shape of the plans: what is read, what is shuffled, and what must never appear."""
+
+import re
+
+import pytest
+
+from checks.queries import QUERIES
+from checks.tables import catalog
+from covermap import concept_rules, map_concepts, only_columns, profile_catalog
+from covermap.functions.patterns import field_speaks_of_pii
+from covermap.operators.samples import lowest_values
+from covermap.operators.tally import approx_tally, exact_tally
+
+_LAZY = sorted(QUERIES)
+
+
+@pytest.mark.parametrize("name", _LAZY)
+def test_no_cross_join_and_no_python_in_any_query(spark, sf_dir, plan_of, name):
+    plan = plan_of(QUERIES[name](spark, sf_dir))
+    for operator in ("CartesianProduct", "BroadcastNestedLoopJoin", "Python", "Pandas", "Scan ExistingRDD[data"):
+        assert operator not in plan
+
+
+def test_exact_tally_shuffles_twice_whatever_the_number_of_tables(spark, sf_dir, plan_of):
+    plan = plan_of(exact_tally(catalog(spark, sf_dir)))
+    assert len(re.findall(r"Exchange hashpartitioning", plan)) == 2
+    assert len(re.findall(r"Expand", plan)) == len(re.findall(r"FileScan", plan)) == 14
+    assert "Generate" not in plan
+
+
+def test_values_are_folded_before_the_shuffle(spark, sf_dir, plan_of):
+    plan = plan_of(exact_tally(catalog(spark, sf_dir, "lineitem")))
+    below = plan[plan.rindex("Exchange hashpartitioning"):]
+    assert "partial_count" in below and below.index("partial_count") < below.index("Expand")
+
+
+def test_samples_shuffle_single_rows_only(spark, sf_dir, plan_of):
+    plan = plan_of(lowest_values(catalog(spark, sf_dir, "documents")))
+    assert "hashpartitioning" not in plan and "partial_min" in plan
+    assert "Sort [" not in plan
+
+
+def test_approx_tally_shuffles_single_rows_only(spark, sf_dir, plan_of):
+    plan = plan_of(approx_tally(catalog(spark, sf_dir, "lineitem")))
+    assert "hashpartitioning" not in plan and "Expand" not in plan
+
+
+def test_long_texts_do_not_travel(spark, sf_dir, plan_of):
+    plan = plan_of(exact_tally(catalog(spark, sf_dir, "documents")))
+    assert "sha2" in plan
+
+
+def test_only_wanted_columns_are_read(spark, sf_dir, plan_of):
+    sources = only_columns(catalog(spark, sf_dir, "customer"), field_speaks_of_pii)
+    plan = plan_of(profile_catalog(sources))
+    assert set(re.findall(r"ReadSchema: (\S+)", plan)) == {"struct<c_name:string>"}
+
+
+def test_rules_join_on_equality(spark, sf_dir, plan_of):
+    profile = profile_catalog(catalog(spark, sf_dir, "customer"), samples=False)
+    plan = plan_of(map_concepts(profile, concept_rules(spark)))
+    assert "Contains" not in plan and re.search(r"(HashJoin|SortMergeJoin) \[keyword", plan)
+
+
+def test_counting_reads_no_column(spark, sf_dir, plan_of):
+    plan = plan_of(QUERIES["load_report"](spark, sf_dir))
+    assert set(re.findall(r"ReadSchema: (\S+)", plan)) == {"struct<>"}
+
+
+def test_no_broadcast_hints_and_no_driver_side_rows():
+    """Sizes decide joins: the library gives no broadcast hint, and collects only one probe row."""
+    from pathlib import Path
+    import covermap
+    sources = {p.name: p.read_text() for p in Path(covermap.__file__).parent.rglob("*.py")}
+    for name, text in sources.items():
+        for banned in ("broadcast(", "crossJoin", ".toPandas(", ".rdd", "localCheckpoint", ".cache("):
+            assert banned not in text, (name, banned)
+        assert text.count(".collect()") == (1 if name == "reading.py" else 0), name

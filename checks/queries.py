@@ -15,8 +15,8 @@ from covermap.operators.concepts import RULE, SUGGESTED, available_concepts, map
 from covermap.operators.profile import count_columns, profile_catalog, profile_table
 from covermap.operators.scoring import (
     gap_report, match_needs, rank_scenarios, readiness_label, scenario_cards, score_templates)
-from covermap.plans.defaults import concept_rules, scenario_templates
-from covermap.sources.reading import first_available, load_report
+from covermap.plans.defaults import concept_rules, concept_suggestions, scenario_templates
+from covermap.sources.reading import first_available, load_report, log_table
 from covermap.sources.spec import SourceSpec
 from covermap.sources.synthetic import synthetic_source
 
@@ -48,9 +48,7 @@ def first_source(spark: SparkSession, sf_dir: str) -> DataFrame:
     ]
     source, log = first_available(spark, "orders", candidates, lambda: synthetic_source(spark, "orders"))
     report = load_report([source]).withColumn("status", F.lit(log[-1]["status"]))
-    tried = spark.createDataFrame(
-        [(entry["name"], entry["source_type"], entry["status"]) for entry in log[:-1]],
-        "source_name string, source_type string, status string")
+    tried = log_table(spark, log[:-1]).select(F.col("name").alias("source_name"), "source_type", "status")
     return tried.unionByName(report.drop("table_name", "is_synthetic"), allowMissingColumns=True)
 
 
@@ -105,7 +103,7 @@ def approx_distinct(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _concept_map(spark: SparkSession, sf_dir: str, suggestions: bool = False, rules=ALIGNED_RULES) -> DataFrame:
     profile = profile_catalog(catalog_with_gaps(spark, sf_dir), samples=False)
-    offered = spark.createDataFrame(SUGGESTIONS, "column string, concept string") if suggestions else None
+    offered = concept_suggestions(spark, SUGGESTIONS) if suggestions else None
     return map_concepts(profile, concept_rules(spark, rules), offered)
 
 

@@ -13,7 +13,7 @@ from covermap.operators.scoring import (
     gap_report, match_needs, needed_concepts, rank_scenarios, readiness_label, scenario_cards, score_templates)
 from covermap.plans.advice import Advice, advise
 from covermap.plans.checkpointing import keep
-from covermap.plans.defaults import concept_rules, scenario_templates
+from covermap.plans.defaults import concept_rules, concept_suggestions, scenario_templates
 from covermap.sources.reading import first_available, load_catalog, load_report, read
 from covermap.sources.sinks import save
 from covermap.sources.spec import Source, SourceSpec
@@ -21,8 +21,8 @@ from covermap.sources.synthetic import synthetic_fallbacks, synthetic_source
 from covermap.sources.systems import default_candidates, system_spec
 
 __all__ = [
-    "Advice", "Source", "SourceSpec", "advise", "available_concepts", "concept_rules", "count_columns",
-    "default_candidates", "first_available", "gap_report", "keep", "list_columns", "load_catalog",
+    "Advice", "Source", "SourceSpec", "advise", "available_concepts", "concept_rules", "concept_suggestions",
+    "count_columns", "default_candidates", "first_available", "gap_report", "keep", "list_columns", "load_catalog",
     "load_report", "lowest_values", "map_concepts", "match_needs", "match_rules", "needed_concepts",
     "only_columns", "profile_catalog", "profile_table", "rank_scenarios", "read", "readiness_label", "save",
     "scenario_cards", "scenario_templates", "score_templates", "suggest", "synthetic_fallbacks",

@@ -110,13 +110,5 @@ def distinct_key(value: str, data_type: T.DataType) -> tuple[str, str]:
     return no_number, f"IF(octet_length({raw}) < {_DIGEST_BYTES}, {raw}, unhex(sha2({raw}, 256)))"
 
 
-def sortable(value: str, data_type: T.DataType) -> str:
-    """A form of the value that ``min`` and ``>`` accept, null where the value is not present."""
-    if not is_orderable(data_type):
-        return as_text(value, data_type)
+def null_if_nan(value: str, data_type: T.DataType) -> str:
     return f"IF(isnan({value}), NULL, {value})" if _is_floating(data_type) else value
-
-
-def sorted_as_text(value: str, data_type: T.DataType) -> str:
-    """Text of a value that came through ``sortable``."""
-    return as_text(value, data_type) if is_orderable(data_type) else value

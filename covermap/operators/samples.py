@@ -1,22 +1,50 @@
-"""A few example values of every column."""
+"""A few example values of every column.
+
+Rows have no order in Spark, so the lowest distinct values stand for the first ones. They are
+found by scanning, not by shuffling and sorting every distinct value of every column.
+"""
 
 from __future__ import annotations
 
 from collections.abc import Sequence
 from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window, functions as F, types as T
 
 from covermap import fixed_values as fixed
-from covermap.functions.values import sortable, sorted_as_text
+from covermap.functions.values import as_text, is_orderable, null_if_nan
 from covermap.operators.tally import Chunk, scans
 from covermap.sources.spec import Source
 
+# The share of a text column's distinct values that gives the first upper bound. A column with
+# fewer distinct values than a few times this many may stay without a bound; it is small anyway.
+HASH_CLASSES = 256
+
+_Scan = tuple[DataFrame, Chunk]
+
+
+def _is_text(data_type: T.DataType) -> bool:
+    return isinstance(data_type, (T.StringType, T.BinaryType)) or not is_orderable(data_type)
+
+
+def _is_nested(data_type: T.DataType) -> bool:
+    return isinstance(data_type, (T.ArrayType, T.StructType))
+
+
+def _union(parts: Sequence[DataFrame]) -> DataFrame:
+    return reduce(DataFrame.unionByName, parts)
+
+
+# ---- numbers, dates, times: successive minima ----
+
+def _minima(scan: _Scan, count: int) -> DataFrame:
+    """``low1`` holds each column's minimum, ``low2`` its minimum above ``low1``, and so on.
 
-def _lowest(table: DataFrame, chunk: Chunk, count: int) -> DataFrame:
-    """One SQL text per table: ``low1`` holds each column's minimum, ``low2`` its minimum above ``low1``, ..."""
+    Each is one aggregation of a whole scan, of which every task sends a single row.
+    """
+    table, chunk = scan
     names = [f"c{slot}" for slot, _ in chunk]
-    values = ", ".join(f"{sortable(f'c{slot}', data_type)} AS c{slot}" for slot, data_type in chunk)
+    values = ", ".join(f"{null_if_nan(f'c{slot}', data_type)} AS c{slot}" for slot, data_type in chunk)
     steps = [f"picked AS (SELECT {values} FROM {{table}})"]
     for step in range(1, count + 1):
         if step == 1:
@@ -25,23 +53,66 @@ def _lowest(table: DataFrame, chunk: Chunk, count: int) -> DataFrame:
             minima = (f"min(IF({name} > floor.{name}, {name}, NULL)) AS {name}" for name in names)
             rows = f"(SELECT *, (SELECT low FROM low{step - 1}) AS floor FROM picked)"
         steps.append(f"low{step} AS (SELECT struct({', '.join(minima)}) AS low FROM {rows})")
-    found = ", ".join(f"(SELECT low FROM low{step}) AS low{step}" for step in range(1, count))
+    found = "".join(f"(SELECT low FROM low{step}) AS low{step}, " for step in range(1, count))
     lows = [f"low{step}" for step in range(1, count)] + ["low"]
     samples = []
     for slot, data_type in chunk:
-        texts = ", ".join(sorted_as_text(f"{low}.c{slot}", data_type) for low in lows)
+        texts = ", ".join(as_text(f"{low}.c{slot}", data_type) for low in lows)
         samples.append(f"named_struct('slot', {slot}, 'sample_values', array_compact(array({texts})))")
     return table.sparkSession.sql(
         f"WITH {', '.join(steps)} SELECT inline(array({', '.join(samples)}))"
-        f" FROM (SELECT {found + ', ' if found else ''}low FROM low{count})", table=table)
+        f" FROM (SELECT {found}low FROM low{count})", table=table)
+
+
+# ---- texts: an upper bound from some values, then the values up to it ----
+
+def _texts(scan: _Scan) -> DataFrame:
+    """One row (slot, value) per text of the scan."""
+    table, chunk = scan
+    values = ", ".join(f"{slot} AS s{slot}, {as_text(f'c{slot}', data_type)} AS c{slot}" for slot, data_type in chunk)
+    pairs = ", ".join(f"(s{slot}, c{slot})" for slot, _ in chunk)
+    return table.sparkSession.sql(
+        f"SELECT slot, value FROM (SELECT {values} FROM {{table}})"
+        f" UNPIVOT INCLUDE NULLS ((slot, value) FOR name IN ({pairs})) WHERE value IS NOT NULL", table=table)
+
+
+def _lowest(texts: DataFrame, count: int) -> DataFrame:
+    place = Window.partitionBy("slot").orderBy("value")
+    return texts.distinct().withColumn("place", F.row_number().over(place)).where(F.col("place") <= count)
+
+
+def _lowest_texts(text_scans: Sequence[_Scan], count: int) -> DataFrame:
+    """The lowest texts of all tables in two scans and two small shuffles.
+
+    The values of one hash class out of many are a fair share of each column's distinct values,
+    however often each occurs. The last of their lowest ones bounds the true ones from above, so a
+    second scan needs to carry only the values up to that bound. The result is exact whatever the
+    class holds; a column too small to have a bound is carried whole.
+    """
+    texts = _union([_texts(scan) for scan in text_scans])
+    some = _lowest(texts.where(F.expr(f"pmod(xxhash64(value), {HASH_CLASSES}) = 0")), count)
+    by_slot = F.map_from_entries(F.collect_list(F.struct("slot", "value")))
+    slots = F.sequence(F.lit(0), F.lit(max(slot for _, chunk in text_scans for slot, _ in chunk)))
+    bounds = some.where(F.col("place") == count).agg(by_slot.alias("by_slot")).select(
+        F.transform(slots, lambda slot: F.col("by_slot")[slot]).alias("bounds")).scalar()
+    few = _lowest(texts.where(F.col("value") <= F.coalesce(F.get(bounds, F.col("slot")), F.col("value"))), count)
+    return few.groupBy("slot").agg(F.array_sort(F.collect_list("value")).alias("sample_values"))
 
 
 def lowest_values(sources: Sequence[Source], count: int = fixed.SAMPLE_VALUES) -> DataFrame:
     """(slot, sample_values): the ``count`` lowest distinct present values of each column, as text.
 
-    Rows have no order in Spark, so the lowest values stand for the first ones. Each is a plain
-    minimum: every task reduces its rows to one before anything moves, so ``count`` column scans
-    replace a shuffle and a sort of all distinct values, whole documents among them.
+    Numbers, dates, times and nested values are ordered as their type is; strings, binary and
+    types without an order by their text.
     """
-    parts = [_lowest(table, chunk, count) for table, chunk in scans(sources)]
-    return reduce(DataFrame.unionByName, parts)
+    parts, text_scans = [], []
+    for table, chunk in scans(sources):
+        texts = [column for column in chunk if _is_text(column[1])]
+        nested = [column for column in chunk if not _is_text(column[1]) and _is_nested(column[1])]
+        plain = [column for column in chunk if column not in texts and column not in nested]
+        parts += [_minima((table, columns), count) for columns in (plain, nested) if columns]
+        if texts:
+            text_scans.append((table, texts))
+    if text_scans:
+        parts.append(_lowest_texts(text_scans, count))
+    return _union(parts)

@@ -14,6 +14,7 @@ _TEMPLATES = pa.schema([
     ("template_order", pa.int32()), ("name", pa.string()), ("description", pa.string()),
     ("required_concepts", pa.list_(pa.string())), ("nice_to_have_concepts", pa.list_(pa.string())),
 ])
+_SUGGESTIONS = pa.schema([("column", pa.string()), ("concept", pa.string())])
 
 
 def concept_rules(spark: SparkSession, rules: Mapping[str, Sequence[str]] = fixed.CONCEPT_RULES) -> DataFrame:
@@ -30,3 +31,9 @@ def scenario_templates(
     """(template_order, name, description, required_concepts, nice_to_have_concepts)."""
     rows = [dict(zip(_TEMPLATES.names, (order, *template))) for order, template in enumerate(templates)]
     return spark.createDataFrame(pa.Table.from_pylist(rows, schema=_TEMPLATES))
+
+
+def concept_suggestions(spark: SparkSession, suggestions: Iterable[tuple[str, str]]) -> DataFrame:
+    """(column, concept): concepts proposed for column names that no rule knows."""
+    rows = [dict(zip(_SUGGESTIONS.names, pair)) for pair in suggestions]
+    return spark.createDataFrame(pa.Table.from_pylist(rows, schema=_SUGGESTIONS))

@@ -73,6 +73,11 @@ def first_available(spark: SparkSession, name: str, candidates: Sequence[SourceS
     return source, log
 
 
+def log_table(spark: SparkSession, entries: Sequence[dict]) -> DataFrame:
+    """Log entries as (name, source_type, table_name, status, error)."""
+    return spark.createDataFrame(pa.Table.from_pylist(list(entries), schema=_LOG))
+
+
 def load_catalog(spark: SparkSession, candidates: Mapping[str, Sequence[SourceSpec]],
                  fallbacks: Mapping[str, Callable[[], Source]]) -> tuple[dict[str, Source], DataFrame]:
     """Load every logical table; returns the sources and the log as a DataFrame."""
@@ -80,7 +85,7 @@ def load_catalog(spark: SparkSession, candidates: Mapping[str, Sequence[SourceSp
     for name, specs in candidates.items():
         sources[name], log = first_available(spark, name, specs, fallbacks[name])
         entries += log
-    return sources, spark.createDataFrame(pa.Table.from_pylist(entries, schema=_LOG))
+    return sources, log_table(spark, entries)
 
 
 def load_report(sources: Sequence[Source]) -> DataFrame:

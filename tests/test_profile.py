@@ -9,7 +9,7 @@ from pyspark.sql import Row, functions as F, types as T
 
 from covermap import Source, count_columns, lowest_values, only_columns, profile_catalog, profile_table
 from covermap.functions.patterns import field_speaks_of_pii, field_speaks_of_time
-from covermap.operators import tally
+from covermap.operators import samples, tally
 
 
 def profile(df, **options):
@@ -110,11 +110,23 @@ def test_samples_are_the_lowest_distinct_values(spark):
     df = spark.createDataFrame(
         [(3, "b", True, date(2026, 1, 2)), (1, "a", False, date(2026, 1, 1)), (3, "a", True, None),
          (10, "c", None, None), (2, "d", None, None)], "n int, s string, f boolean, d date")
-    samples = {name: row.sample_values for name, row in profile(df).items()}
-    assert samples == {"n": ["1", "2", "3"], "s": ["a", "b", "c"], "f": ["false", "true"],
+    found = {name: row.sample_values for name, row in profile(df).items()}
+    assert found == {"n": ["1", "2", "3"], "s": ["a", "b", "c"], "f": ["false", "true"],
                        "d": ["2026-01-01", "2026-01-02"]}
 
 
+@pytest.mark.parametrize("distinct", [1, 2, 3, 40, 3000])
+@pytest.mark.parametrize("classes", [1, 4, 256])
+def test_lowest_texts_are_exact_whatever_bounds_them(spark, monkeypatch, distinct, classes):
+    monkeypatch.setattr(samples, "HASH_CLASSES", classes)
+    df = spark.range(6000).select(
+        F.concat(F.lit("v"), F.col("id") % distinct).alias("t"),
+        F.when(F.col("id") % 3 == 0, F.concat(F.lit("w"), F.col("id") % distinct)).otherwise("a hot text").alias("h"))
+    every = [df.select(name).distinct().orderBy(name).limit(3).collect() for name in "th"]
+    found = lowest_values([Source("s", "test", "t", df)]).orderBy("slot").collect()
+    assert [row.sample_values for row in found] == [[r[0] for r in rows] for rows in every]
+
+
 @pytest.mark.parametrize("count", [1, 2, 5])
 def test_sample_count(spark, count):
     df = spark.range(4).toDF("n")

@@ -75,9 +75,9 @@ def counts(spark: SparkSession, sf_dir: str) -> DataFrame:
         "source_name", "column", "rows", "nulls", "distincts")
 
 
-def ratios(name: str) -> Query:
-    return lambda spark, sf_dir: profile_catalog(catalog_with_gaps(spark, sf_dir), samples=False).select(
-        "source_name", "column", name)
+def ratios(name: str, distinct: str) -> Query:
+    return lambda spark, sf_dir: profile_catalog(
+        catalog_with_gaps(spark, sf_dir), distinct=distinct, samples=False).select("source_name", "column", name)
 
 
 def flagged(flag: str, wanted: Callable | None = None) -> Query:
@@ -101,14 +101,16 @@ def approx_distinct(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 # ---- concepts ----
 
-def _concept_map(spark: SparkSession, sf_dir: str, suggestions: bool = False, rules=ALIGNED_RULES) -> DataFrame:
-    profile = profile_catalog(catalog_with_gaps(spark, sf_dir), samples=False)
+def _concept_map(spark: SparkSession, sf_dir: str, suggestions: bool = False, rules=ALIGNED_RULES,
+                 distinct: str = "none") -> DataFrame:
+    """The mapped profile. Concepts and scores use its null ratios, so distinct counts are not taken."""
+    profile = profile_catalog(catalog_with_gaps(spark, sf_dir), distinct=distinct, samples=False)
     offered = concept_suggestions(spark, SUGGESTIONS) if suggestions else None
     return map_concepts(profile, concept_rules(spark, rules), offered)
 
 
 def concept_map(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _concept_map(spark, sf_dir, suggestions=True).drop("sample_values")
+    return _concept_map(spark, sf_dir, suggestions=True, distinct="exact").drop("sample_values")
 
 
 def matched_by(kind: str) -> Query:
@@ -178,8 +180,8 @@ QUERIES: dict[str, Query] = {
     "profile_catalog": whole_profile,
     "profile_table": one_profile,
     "distinct_count": counts,
-    "null_ratio": ratios("null_ratio"),
-    "cardinality_ratio": ratios("cardinality_ratio"),
+    "null_ratio": ratios("null_ratio", "none"),
+    "cardinality_ratio": ratios("cardinality_ratio", "exact"),
     "flag_datetime": flagged("is_probable_datetime", field_speaks_of_time),
     "flag_id": flagged("is_probable_id"),
     "flag_pii": flagged("is_probable_pii", field_speaks_of_pii),

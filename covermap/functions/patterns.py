@@ -23,9 +23,12 @@ def probable_datetime(name: Column, datetime_type: Column) -> Column:
 
 
 def probable_id(name: Column, cardinality: Column, distinct: Column) -> Column:
-    """True for an id-like name, or nearly all values distinct. ``cardinality`` must be unrounded."""
+    """True for an id-like name, or nearly all values distinct. ``cardinality`` must be unrounded.
+
+    A distinct count that was not taken (null) says nothing.
+    """
     nearly_unique = (cardinality > fixed.ID_CARDINALITY) & (distinct > fixed.ID_DISTINCT)
-    return _name_matches(name, fixed.ID_NAME) | nearly_unique
+    return _name_matches(name, fixed.ID_NAME) | F.coalesce(nearly_unique, F.lit(False))
 
 
 def probable_pii(name: Column) -> Column:

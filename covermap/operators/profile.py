@@ -10,10 +10,10 @@ from covermap import fixed_values as fixed
 from covermap.functions import patterns
 from covermap.operators.columns import list_columns
 from covermap.operators.samples import lowest_values
-from covermap.operators.tally import approx_tally, exact_tally
+from covermap.operators.tally import approx_tally, exact_tally, null_tally
 from covermap.sources.spec import Source
 
-_TALLIES = {"exact": exact_tally, "approx": approx_tally}
+_TALLIES = {"exact": exact_tally, "approx": approx_tally, "none": null_tally}
 
 
 def _share(part: Column, whole: Column) -> Column:
@@ -22,7 +22,7 @@ def _share(part: Column, whole: Column) -> Column:
 
 def count_columns(sources: Sequence[Source], distinct: str = "exact") -> DataFrame:
     """The column listing with the whole-number counts ``rows``, ``nulls`` and ``distincts``."""
-    counts = ["rows", "nulls", "distincts"]
+    counts = ["rows", "nulls"] if distinct == "none" else ["rows", "nulls", "distincts"]
     tally = _TALLIES[distinct](sources)
     return list_columns(sources).join(tally, "slot", "left").fillna(0, counts)
 
@@ -31,6 +31,7 @@ def profile_catalog(sources: Sequence[Source], distinct: str = "exact", samples:
     """Profile every column of every source.
 
     ``distinct="approx"`` needs no shuffle but may flip ``is_probable_id`` near its threshold.
+    ``distinct="none"`` counts only nulls: ``cardinality_ratio`` is null and ids go by name alone.
     ``samples=False`` leaves ``sample_values`` empty and saves the scans that fill it.
     """
     counted = count_columns(sources, distinct)

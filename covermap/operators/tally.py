@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator, Sequence
+from collections.abc import Callable, Iterator, Sequence
 from functools import reduce
 
 from pyspark.sql import DataFrame, functions as F, types as T
@@ -61,17 +61,28 @@ def exact_tally(sources: Sequence[Source]) -> DataFrame:
     )
 
 
-def approx_tally(sources: Sequence[Source]) -> DataFrame:
-    """As ``exact_tally`` with estimated distinct counts, from sketches of a few KB per column."""
+def _scan_tally(sources: Sequence[Source], distincts: Callable[[str, T.DataType], str]) -> DataFrame:
+    """The counts of each table in one aggregation, of which every task sends a single row."""
     def tally(table: DataFrame, chunk: Chunk) -> DataFrame:
-        counts = []
-        for slot, data_type in chunk:
-            number, raw = distinct_key(f"c{slot}", data_type)
-            key = number if is_fixed_width(data_type) else raw
-            counts.append(
-                f"named_struct('slot', {slot}, 'rows', count(1),"
-                f" 'nulls', count_if(NOT {is_present(f'c{slot}', data_type)}),"
-                f" 'distincts', hll_sketch_estimate(hll_sketch_agg({key}, {SKETCH_LG_K})))")
-        return table.selectExpr(f"array({', '.join(counts)}) AS counts").selectExpr("inline(counts)")
+        counts = ", ".join(
+            f"named_struct('slot', {slot}, 'rows', count(1),"
+            f" 'nulls', count_if(NOT {is_present(f'c{slot}', data_type)}),"
+            f" 'distincts', {distincts(f'c{slot}', data_type)})" for slot, data_type in chunk)
+        return table.selectExpr(f"array({counts}) AS counts").selectExpr("inline(counts)")
 
     return reduce(DataFrame.unionByName, [tally(table, chunk) for table, chunk in scans(sources)])
+
+
+def approx_tally(sources: Sequence[Source]) -> DataFrame:
+    """As ``exact_tally`` with estimated distinct counts, from sketches of a few KB per column."""
+    def sketch(value: str, data_type: T.DataType) -> str:
+        number, raw = distinct_key(value, data_type)
+        key = number if is_fixed_width(data_type) else raw
+        return f"hll_sketch_estimate(hll_sketch_agg({key}, {SKETCH_LG_K}))"
+
+    return _scan_tally(sources, sketch)
+
+
+def null_tally(sources: Sequence[Source]) -> DataFrame:
+    """As ``exact_tally`` without distinct counts: what concepts and scores need, at a scan's cost."""
+    return _scan_tally(sources, lambda value, data_type: "CAST(NULL AS BIGINT)")

@@ -9,7 +9,7 @@ from checks.tables import catalog
 from covermap import concept_rules, map_concepts, only_columns, profile_catalog
 from covermap.functions.patterns import field_speaks_of_pii
 from covermap.operators.samples import lowest_values
-from covermap.operators.tally import approx_tally, exact_tally
+from covermap.operators.tally import approx_tally, exact_tally, null_tally
 
 _LAZY = sorted(QUERIES)
 
@@ -60,8 +60,9 @@ def test_the_bounds_of_all_tables_are_found_once(spark, sf_dir):
     assert 0 < len(jobs) <= 8
 
 
-def test_approx_tally_shuffles_single_rows_only(spark, sf_dir, plan_of):
-    plan = plan_of(approx_tally(catalog(spark, sf_dir, "lineitem")))
+@pytest.mark.parametrize("tally", [approx_tally, null_tally])
+def test_scan_tallies_shuffle_single_rows_only(spark, sf_dir, plan_of, tally):
+    plan = plan_of(tally(catalog(spark, sf_dir, "lineitem")))
     assert "hashpartitioning" not in plan and "Expand" not in plan
 
 

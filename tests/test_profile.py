@@ -221,6 +221,17 @@ def test_approx_is_close(spark):
     assert all(abs(found[name][2] - 200_000) < 10_000 for name in ("id", "text"))
 
 
+def test_nulls_only(spark, sf_dir):
+    from checks.tables import catalog_with_gaps
+    sources = catalog_with_gaps(spark, sf_dir)
+    listed = ["source_name", "column", "dtype", "null_ratio", "is_probable_datetime", "is_probable_pii"]
+    exact = profile_catalog(sources, samples=False).select(*listed).collect()
+    nulls = profile_catalog(sources, distinct="none", samples=False)
+    assert sorted(map(tuple, nulls.select(*listed).collect())) == sorted(map(tuple, exact))
+    flags = {(r.source_name, r.column): (r.cardinality_ratio, r.is_probable_id) for r in nulls.collect()}
+    assert flags["events", "event_id"] == (None, True) and flags["orders", "o_orderkey"] == (None, False)
+
+
 def test_sample_rows(spark):
     source = Source("s", "test", "t", spark.range(100).repartition(5).toDF("n"))
     assert source.sample_rows(10).df.count() == 10

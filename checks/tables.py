@@ -46,7 +46,9 @@ MISSING = {
 
 
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    # With the schema given, opening a table starts no job to look for it.
+    schema = ", ".join(f"`{column}` {kind}" for column, kind in TABLES[name].items())
+    return spark.read.schema(schema).parquet(f"{sf_dir}/{name}.parquet")
 
 
 def catalog(spark: SparkSession, sf_dir: str, *names: str) -> list[Source]:

@@ -4,20 +4,25 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from functools import cache
 
 from pyspark.sql import DataFrame, SparkSession
 
 _SETTING = "spark.checkpoint.dir"
 
 
+@cache
+def _local_folder(application: str) -> str:
+    return tempfile.mkdtemp(prefix="kept-")
+
+
 def shared_folder(spark: SparkSession) -> str:
     """The folder the session names for kept results; only a local session may make its own."""
     folder = spark.conf.get(_SETTING, None)
     if folder is None:
         if not spark.sparkContext.master.startswith("local"):
             raise ValueError(f"set {_SETTING} to a folder that all executors share")
-        folder = tempfile.mkdtemp(prefix="kept-")
-        spark.conf.set(_SETTING, folder)
+        folder = _local_folder(spark.sparkContext.applicationId)
     return folder
 
 

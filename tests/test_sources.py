@@ -236,6 +236,16 @@ def test_keep_uses_the_shared_folder_and_cuts_lineage(spark, plan_of):
     assert "Exchange" not in plan_of(kept) and "Range" not in plan_of(kept)
 
 
+def test_only_a_local_session_makes_its_own_folder(spark, monkeypatch):
+    from covermap.plans import checkpointing
+    monkeypatch.setattr(checkpointing, "_SETTING", "spark.covermap.unset")
+    folder = checkpointing.shared_folder(spark)
+    assert folder == checkpointing.shared_folder(spark) and keep(spark.range(3)).count() == 3
+    monkeypatch.setitem(spark.sparkContext.__dict__, "master", "spark://somewhere:7077")
+    with pytest.raises(ValueError, match="executors share"):
+        checkpointing.shared_folder(spark)
+
+
 def test_staged_source(spark):
     source = synthetic_source(spark, "inventory").staged()
     assert source.is_synthetic and source.df.count() == 300 and source.df.columns[0] == "sku"

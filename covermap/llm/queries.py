@@ -6,13 +6,24 @@ from pyspark.sql import DataFrame, SparkSession
 
 from covermap.llm.common import table
 from covermap.llm.exact_dedup import exact_groups
+from covermap.llm.mixing import taken_words
+from covermap.llm.url_filters import judge_urls
+
+
+def op2_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return judge_urls(table(spark, sf_dir, "pages"))
+
+
+def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return taken_words(table(spark, sf_dir, "documents"))
 
 
 def op9_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_groups(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {query.__name__: query for query in (op9_exact_dedup,)}
+QUERIES = {query.__name__: query for query in (
+    op2_url_filters, op6_mixing, op9_exact_dedup)}
 
 ORACLE_SQL = {
     "op9_exact_dedup": r"""

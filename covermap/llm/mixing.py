@@ -28,6 +28,8 @@ SHARDS = 16
 SEED = 17
 #: Totals by source go to the driver; more sources than this are refused rather than collected.
 MOST_SOURCES = 20_000
+#: Untaken documents of each source and size class that may close the gap to its target.
+CANDIDATES = 4
 
 
 def word_count(text: Column) -> Column:
@@ -132,22 +134,53 @@ def plan_mix(documents: DataFrame, blocks: int = BLOCKS, shards: int = SHARDS, s
     same_block = Window.partitionBy("of", "block").orderBy("place", "size", "doc_id").rowsBetween(Window.unboundedPreceding, 0)
     within = part.select("of", "block", "place", "size", "doc_id", (F.col("rest") - F.col("upto") + F.col("block_size")).alias("left"),
                          F.sum("size").over(same_block).alias("sum"))
-    # Up to the document that brings the sum nearest to what is left.
-    cut = (within.where(F.col("sum") - F.col("size") / 2 <= F.col("left"))
-           .groupBy("of", "block").agg(F.max("place").alias("last_place")))
+    # Up to the last document with which the sum stays below what is left; equal places stand or fall together.
+    first_out = within.where(F.col("sum") > F.col("left")).groupBy("of", "block").agg(F.min("place").alias("end_place"))
 
     info = by_block.join(F.broadcast(ends), by_block["source"].eqNullSafe(ends["of"])).drop("of")
-    info = info.join(cut, info["source"].eqNullSafe(cut["of"]) & (info["block"] == cut["block"]), "left").select(
-        info["source"].alias("of"), info["block"].alias("of_block"), "source_size", "target", "full", "extra", "last_place", "number", "blocks", "ends")
+    info = info.join(first_out, info["source"].eqNullSafe(first_out["of"]) & (info["block"] == first_out["block"]), "left").select(
+        info["source"].alias("of"), info["block"].alias("of_block"), "source_size", "target", "full", "extra", "end_place", "number", "blocks", "ends")
     taken = sized.join(info, sized["source"].eqNullSafe(F.col("of")) & (sized["block"] == F.col("of_block")))
-    more = (F.col("extra") == "whole") | ((F.col("extra") == "part") & (F.col("place") <= F.col("last_place")))
+    more = (F.col("extra") == "whole") | ((F.col("extra") == "part") & (F.col("place") < F.col("end_place")))
     times = (F.col("full") + F.when(F.coalesce(more, F.lit(False)), 1).otherwise(0)).cast("int")
     # The block's rank among the source's taken ones decides its shard, pass after pass.
     shard = lambda turn: F.size(F.filter("ends", lambda end: end <= turn.cast("bigint") * F.col("blocks") + F.col("number")))
     taken = taken.withColumn("times", F.when(F.col("source_size") > 0, times).otherwise(0))
-    return taken.select(
-        "doc_id", "source", "place", "size", "source_size", "target", "times",
-        F.when(F.col("times") > 0, F.transform(F.sequence(F.lit(0), F.col("times") - 1), shard)).otherwise(F.array().cast("array<int>")).alias("shards"))
+    taken = kept(taken.select(
+        "doc_id", "source", "place", "size", "source_size", "target", "full", "times",
+        F.when(F.col("times") > 0, F.transform(F.sequence(F.lit(0), F.col("times") - 1), shard)).otherwise(F.array().cast("array<int>")).alias("shards")))
+
+    fill = _fillers(taken)
+    filled = taken.join(F.broadcast(fill), taken["source"].eqNullSafe(fill["of"]) & (taken["place"] == fill["filler"]), "left")
+    once_more = F.col("filler").isNotNull()
+    return filled.select(
+        "doc_id", "source", "place", "size", "source_size", "target", (F.col("times") + once_more.cast("int")).alias("times"),
+        F.when(once_more, F.concat("shards", F.array(F.pmod("place", F.lit(shards)).cast("int")))).otherwise(F.col("shards")).alias("shards"))
+
+
+def _fillers(taken: DataFrame) -> DataFrame:
+    """(of, filler): source and place of the documents that are taken once more to come near the targets.
+
+    From each source and power of two of sizes come at most CANDIDATES untaken documents; the largest that still
+    fits is added again and again. So the driver sees a bounded number of rows for each source.
+    """
+    same = ["source", "place"]
+    units = (taken.where((F.col("times") == F.col("full")) & (F.col("size") > 0))
+             .groupBy(*same).agg(F.sum("size").alias("size"), F.first("target").alias("target")))
+    first = Window.partitionBy("source", "class").orderBy("place")
+    candidates = (units.withColumn("class", F.floor(F.log2("size"))).withColumn("row", F.row_number().over(first))
+                  .where(F.col("row") <= CANDIDATES).groupBy("source").agg(F.collect_list(F.struct("size", "place")).alias("from")))
+    gaps = taken.groupBy("source").agg((F.first("target") - F.sum(F.col("times") * F.col("size"))).alias("gap"))
+    rows = gaps.join(candidates, gaps["source"].eqNullSafe(candidates["source"])).select(gaps["source"], "gap", "from").collect()
+    found = []
+    for row in rows:
+        gap = row.gap
+        for size, place in sorted(row["from"], reverse=True):
+            if size <= gap:
+                gap -= size
+                found.append((row.source, place))
+    return taken.sparkSession.createDataFrame(pa.table({
+        "of": pa.array([source for source, _ in found], pa.string()), "filler": pa.array([place for _, place in found], pa.int64())}))
 
 
 def mix(documents: DataFrame, plan: DataFrame | None = None, seed: int = SEED) -> DataFrame:

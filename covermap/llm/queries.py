@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from covermap.llm.common import table
 from covermap.llm.exact_dedup import exact_groups
 from covermap.llm.mixing import taken_words
+from covermap.llm.simhash import near_duplicates
 from covermap.llm.url_filters import judge_urls
 
 
@@ -14,6 +15,10 @@ def op2_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judge_urls(table(spark, sf_dir, "pages"))
 
 
+def op3_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_duplicates(table(spark, sf_dir, "documents"))
+
+
 def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return taken_words(table(spark, sf_dir, "documents"))
 
@@ -23,7 +28,7 @@ def op9_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {query.__name__: query for query in (
-    op2_url_filters, op6_mixing, op9_exact_dedup)}
+    op2_url_filters, op3_simhash, op6_mixing, op9_exact_dedup)}
 
 ORACLE_SQL = {
     "op9_exact_dedup": r"""

@@ -133,7 +133,7 @@ def judge_urls(pages: DataFrame, labels: DataFrame | None = None, rules: Sequenc
     else:
         share = min(1.0, training_rows / sum(counts.values()))
         chosen = F.pmod(F.xxhash64("page_id", "url"), F.lit(1 << 20)) < int(share * (1 << 20)) + (share == 1.0)
-        training = kept(features.where(F.col("label").isNotNull() & chosen).select("features", "label").repartition(4, F.xxhash64("features")))
+        training = kept(features.where(F.col("label").isNotNull() & chosen).select("features", "label").repartition(4))
         model = GBTClassifier(maxIter=TREES, maxDepth=DEPTH, seed=7, maxBins=64).fit(training)
         scored = model.transform(features).withColumn("score", vector_to_array("probability")[1])
     verdict = F.coalesce(F.col("found.verdict"), F.when(F.col("score") >= 0.5, "allow").otherwise("block"))

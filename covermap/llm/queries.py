@@ -8,6 +8,7 @@ from covermap.llm.common import table
 from covermap.llm.exact_dedup import exact_groups
 from covermap.llm.mixing import taken_words
 from covermap.llm.simhash import near_duplicates
+from covermap.llm.token_ids import written_ids
 from covermap.llm.toxicity import toxic_scores
 from covermap.llm.url_filters import judge_urls
 
@@ -24,6 +25,10 @@ def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxic_scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op5_token_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return written_ids(table(spark, sf_dir, "documents"))
+
+
 def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return taken_words(table(spark, sf_dir, "documents"))
 
@@ -33,7 +38,7 @@ def op9_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {query.__name__: query for query in (
-    op2_url_filters, op3_simhash, op4_toxicity, op6_mixing, op9_exact_dedup)}
+    op2_url_filters, op3_simhash, op4_toxicity, op5_token_ids, op6_mixing, op9_exact_dedup)}
 
 ORACLE_SQL = {
     "op9_exact_dedup": r"""

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from covermap.llm.common import table
 from covermap.llm.exact_dedup import exact_groups
+from covermap.llm.lm_scoring import scored_documents
 from covermap.llm.mixing import taken_words
 from covermap.llm.simhash import near_duplicates
 from covermap.llm.token_ids import written_ids
@@ -37,8 +38,12 @@ def op9_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_groups(table(spark, sf_dir, "documents"))
 
 
+def op10_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return scored_documents(table(spark, sf_dir, "documents"))
+
+
 QUERIES = {query.__name__: query for query in (
-    op2_url_filters, op3_simhash, op4_toxicity, op5_token_ids, op6_mixing, op9_exact_dedup)}
+    op2_url_filters, op3_simhash, op4_toxicity, op5_token_ids, op6_mixing, op9_exact_dedup, op10_lm_scoring)}
 
 ORACLE_SQL = {
     "op9_exact_dedup": r"""

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from covermap.llm.common import table
+from covermap.llm.decontamination import benchmark_leaks
 from covermap.llm.exact_dedup import exact_groups
 from covermap.llm.lm_scoring import scored_documents
 from covermap.llm.mixing import taken_words
@@ -14,6 +15,10 @@ from covermap.llm.toxicity import toxic_scores
 from covermap.llm.url_filters import judge_urls
 
 
+def op1_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return benchmark_leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op2_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judge_urls(table(spark, sf_dir, "pages"))
 
@@ -43,7 +48,7 @@ def op10_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {query.__name__: query for query in (
-    op2_url_filters, op3_simhash, op4_toxicity, op5_token_ids, op6_mixing, op9_exact_dedup, op10_lm_scoring)}
+    op1_benchmark_decontamination, op2_url_filters, op3_simhash, op4_toxicity, op5_token_ids, op6_mixing, op9_exact_dedup, op10_lm_scoring)}
 
 ORACLE_SQL = {
     "op9_exact_dedup": r"""

@@ -17,6 +17,7 @@ from __future__ import annotations
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
@@ -60,6 +61,7 @@ class Pieces:
     idf: np.ndarray | None = None  # of the vocabulary's words, and last of all others
     vectors: np.ndarray | None = None  # [word, dimension], with the idf in them
     latent: np.ndarray | None = None  # [piece, dimension], of length 1 in the full space
+    most: np.ndarray | None = None  # the most that a word can add to the product with any piece
 
     def answer(self, piece: int) -> list[bytes]:
         """The rarest different words of the piece's later half, at most ANSWER_WORDS."""
@@ -156,6 +158,7 @@ def _index(spark, documents: DataFrame, pieces: Pieces, rank: int) -> Pieces:
     pieces.latent = np.array([np.array(weights) @ vectors[words] for words, weights in rows], dtype=np.float32)
     # One row of zeros stands for all words outside the vocabulary.
     pieces.vectors = np.vstack([vectors * pieces.idf[:-1, None], np.zeros((1, vectors.shape[1]))]).astype(np.float32)
+    pieces.most = np.concatenate([(part @ pieces.latent.T).max(axis=1, initial=0) for part in np.array_split(pieces.vectors, len(pieces.vectors) // 1024 + 1)])
     return pieces
 
 
@@ -175,30 +178,27 @@ def common_subsequence(piece: list[bytes], words: list[bytes]) -> int:
 def _candidates(words: list[bytes], pieces: Pieces, least_cosine: float) -> Iterator[tuple[int, int, float]]:
     """(passage's first word, piece, cosine) of a document's passages, by latent cosine."""
     other = len(pieces.vocabulary)
-    ids = np.fromiter((pieces.vocabulary.get(word, other) for word in words), dtype=np.int64, count=len(words))
-    weights = (pieces.idf**2)[ids]
+    ids = np.fromiter(map(pieces.vocabulary.get, words, repeat(other)), dtype=np.int32, count=len(words))
     count = max(1, -(-(len(words) - PASSAGE_WORDS) // STRIDE) + 1)
-    starts = np.arange(count) * STRIDE
-    ends = np.minimum(starts + PASSAGE_WORDS, len(words))
-    known = np.concatenate([[0], np.cumsum(np.where(ids < other, weights, 0))])
-    unknown = np.concatenate([[0], np.cumsum(np.where(ids < other, 0, weights))])
-    # What is not a benchmark word only adds to the passage's length. Equal words count as often as they stand there,
-    # at most squared: so a passage is passed over only if no piece can reach the cosine.
-    most_known = (known[ends] - known[starts]) * PASSAGE_WORDS
-    rich = np.flatnonzero(most_known >= least_cosine**2 * (most_known + unknown[ends] - unknown[starts]) - 1e-9)
-    rich = rich[known[ends[rich]] > known[starts[rich]]]
-    padded = np.append(ids, np.full(PASSAGE_WORDS, other + 1))
-    idf = np.append(pieces.idf, 0.0)
-    for first in range(0, len(rich), 256):
-        part = rich[first : first + 256]
-        window = padded[starts[part, None] + np.arange(PASSAGE_WORDS)]
-        repeats = (window[:, :, None] == window[:, None, :]).sum(axis=2)
-        repeats[window == other] = 1  # words outside the vocabulary are taken for different ones
-        lengths = np.sqrt((repeats * idf[window] ** 2).sum(axis=1))
-        latent = pieces.vectors[np.minimum(window, other)].sum(axis=1)
-        cosines = latent @ pieces.latent.T / lengths[:, None]
+    padded = np.append(ids, np.full(count * STRIDE + PASSAGE_WORDS - len(ids), other + 1, dtype=np.int32))
+    windows = np.lib.stride_tricks.sliding_window_view(padded, PASSAGE_WORDS)[::STRIDE][:count]
+    squares, most = np.append(pieces.idf**2, 0.0), np.append(pieces.most, 0.0)
+    for first in range(0, count, 512):
+        window = windows[first : first + 512]
+        inside = window < other
+        mass = squares[window]
+        # A word that stands there n times counts n squared; those outside the vocabulary are taken for different ones.
+        times = np.where(inside, (window[:, :, None] == window[:, None, :]).sum(axis=2, dtype=np.uint8), 1)
+        lengths = np.sqrt((times * mass).sum(axis=1))
+        # No piece can be closer than what the passage's words add at most.
+        bound = most[window].sum(axis=1)
+        rich = np.flatnonzero((bound >= least_cosine * lengths * (1 - 1e-5)) & (bound > 0))
+        if not len(rich):
+            continue
+        latent = pieces.vectors[np.minimum(window[rich], other)].sum(axis=1)
+        cosines = latent @ pieces.latent.T / lengths[rich, None]
         for row, piece in zip(*np.nonzero(cosines >= least_cosine)):
-            yield int(starts[part[row]]), int(piece), float(cosines[row, piece])
+            yield int(first + rich[row]) * STRIDE, int(piece), float(cosines[row, piece])
 
 
 def leaked_items(text: bytes, pieces: Pieces, least_cosine: float = LEAST_COSINE) -> list[tuple]:

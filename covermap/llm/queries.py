@@ -9,6 +9,7 @@ from covermap.llm.decontamination import benchmark_leaks
 from covermap.llm.exact_dedup import exact_groups
 from covermap.llm.lm_scoring import scored_documents
 from covermap.llm.mixing import taken_words
+from covermap.llm.secret_scan import scan_secrets
 from covermap.llm.simhash import near_duplicates
 from covermap.llm.token_ids import written_ids
 from covermap.llm.toxicity import toxic_scores
@@ -39,6 +40,10 @@ def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return taken_words(table(spark, sf_dir, "documents"))
 
 
+def op7_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return scan_secrets(table(spark, sf_dir, "documents"))
+
+
 def op9_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_groups(table(spark, sf_dir, "documents"))
 
@@ -48,7 +53,7 @@ def op10_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {query.__name__: query for query in (
-    op1_benchmark_decontamination, op2_url_filters, op3_simhash, op4_toxicity, op5_token_ids, op6_mixing, op9_exact_dedup, op10_lm_scoring)}
+    op1_benchmark_decontamination, op2_url_filters, op3_simhash, op4_toxicity, op5_token_ids, op6_mixing, op7_secret_scan, op9_exact_dedup, op10_lm_scoring)}
 
 ORACLE_SQL = {
     "op9_exact_dedup": r"""

@@ -18,7 +18,7 @@ from math import comb
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, functions as F, types as T
 
 from covermap.llm.common import kept, slices
 from covermap.llm.components import components
@@ -248,6 +248,14 @@ def links(distinct: DataFrame, radius: int = RADIUS, partitions: int = PARTITION
     return found.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
 
+def _components(rows: DataFrame, radius: int, partitions: int) -> DataFrame:
+    """(fp, component_id, component) for the fingerprints of (doc_id, fp) rows; component names the group by its smallest fingerprint."""
+    distinct = kept(rows.groupBy("fp").agg(F.min("doc_id").alias("lowest")))
+    found = components(links(distinct, radius, partitions), "a", "b")
+    grouped = distinct.join(found, distinct["fp"] == found["node"], "left").select("fp", "lowest", F.coalesce("component", "fp").alias("component"))
+    return grouped.join(grouped.groupBy("component").agg(F.min("lowest").alias("component_id")), "component")
+
+
 def near_duplicates(documents: DataFrame, radius: int = RADIUS, partitions: int = PARTITIONS) -> DataFrame:
     """(doc_id, fingerprint, component_id), one row per row of ``documents``.
 
@@ -257,8 +265,29 @@ def near_duplicates(documents: DataFrame, radius: int = RADIUS, partitions: int
     no rows, and other columns are not read.
     """
     rows = kept(fingerprints(documents))
-    distinct = kept(rows.groupBy("fp").agg(F.min("doc_id").alias("lowest")))
-    found = components(links(distinct, radius, partitions), "a", "b")
-    grouped = distinct.join(found, distinct["fp"] == found["node"], "left").select("fp", "lowest", F.coalesce("component", "fp").alias("component"))
-    named = grouped.join(grouped.groupBy("component").agg(F.min("lowest").alias("component_id")), "component").select("fp", "component_id")
+    named = _components(rows, radius, partitions).select("fp", "component_id")
     return rows.join(named, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
+def first_of_each(documents: DataFrame, radius: int = RADIUS, partitions: int = PARTITIONS) -> DataFrame:
+    """The rows of ``documents``, all columns, that stay: of each group of near duplicates the smallest doc_id.
+
+    A row without an id stays only where its group has none with one. Rows that repeat the id and fingerprint of
+    the one that stays are the same document and stay with it.
+    """
+    named = _components(kept(fingerprints(documents)), radius, partitions)
+    stay = (named.where(F.col("lowest").eqNullSafe(F.col("component_id"))).groupBy("component")
+            .agg(F.min("fp").alias("stay_fp"), F.first("component_id").alias("stay_id")).drop("component"))
+    place, schema = documents.columns.index("text"), documents.schema
+    row_schema = T.StructType([T.StructField("row", schema), T.StructField("fp", T.LongType())])
+
+    def marked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for start, texts in slices(batch.column(place)):
+                part = batch.slice(start, len(texts))
+                yield pa.RecordBatch.from_arrays(
+                    [pa.StructArray.from_arrays(part.columns, fields=list(part.schema)), pa.array(simhashes(texts).view(np.int64))], names=["row", "fp"])
+
+    rows = documents.mapInArrow(marked, row_schema)
+    same = (F.col("fp") == F.col("stay_fp")) & F.col("row.doc_id").eqNullSafe(F.col("stay_id"))
+    return rows.join(stay, same, "left_semi").select("row.*")

@@ -11,6 +11,7 @@ from covermap.llm.lm_scoring import scored_documents
 from covermap.llm.mixing import taken_words
 from covermap.llm.secret_scan import scan_secrets
 from covermap.llm.simhash import near_duplicates
+from covermap.llm.suffix_dedup import remove_repeats
 from covermap.llm.token_ids import written_ids
 from covermap.llm.toxicity import toxic_scores
 from covermap.llm.url_filters import judge_urls
@@ -44,6 +45,10 @@ def op7_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scan_secrets(table(spark, sf_dir, "documents"))
 
 
+def op8_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return remove_repeats(table(spark, sf_dir, "documents"))
+
+
 def op9_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_groups(table(spark, sf_dir, "documents"))
 
@@ -53,7 +58,7 @@ def op10_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {query.__name__: query for query in (
-    op1_benchmark_decontamination, op2_url_filters, op3_simhash, op4_toxicity, op5_token_ids, op6_mixing, op7_secret_scan, op9_exact_dedup, op10_lm_scoring)}
+    op1_benchmark_decontamination, op2_url_filters, op3_simhash, op4_toxicity, op5_token_ids, op6_mixing, op7_secret_scan, op8_suffix_dedup, op9_exact_dedup, op10_lm_scoring)}
 
 ORACLE_SQL = {
     "op9_exact_dedup": r"""

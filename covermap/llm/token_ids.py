@@ -11,6 +11,7 @@
 from __future__ import annotations
 
 import os
+import re
 import uuid
 import zlib
 from collections.abc import Iterator
@@ -27,7 +28,9 @@ from covermap.llm.rans import Block, Coder, scaled_frequencies
 END_ID = 1
 BLOCK_TOKENS = 1 << 20
 #: Words remembered by a Python worker.
-REMEMBERED = 250_000
+REMEMBERED = 500_000
+# Letters, of which bytes beyond ASCII may be some, and a comma or full stop that follows an ASCII one.
+_LETTERS = re.compile(rb"([A-Za-z\x80-\xff]*[A-Za-z])([.,]?)\Z")
 
 _BLOCK_SCHEMA = ("range_no int, block_no int, doc_ids array<bigint>, lengths array<bigint>, n_tokens bigint, lanes int, words binary, "
                  "states array<binary>, offsets array<bigint>, checksums array<bigint>")
@@ -52,9 +55,23 @@ class WordTokenizer:
 
         self.tokenizer = Tokenizer.from_str(definition)
         self.kind = f"<u{width}"
+        # Where the tokenizer lower-cases, and parts a comma or full stop from letters, words share their known forms.
+        normalizer, splitter = self.tokenizer.normalizer, self.tokenizer.pre_tokenizer
+        self.lowers = normalizer is not None and normalizer.normalize_str("AZ") == "az"
+        self.parts = splitter is not None and all(len(splitter.pre_tokenize_str(one)) == 2 for one in ("a,", "a."))
         self.known: dict[bytes, bytes] = {}
         self.before: dict[bytes, bytes] = {}
 
+    def _form(self, word: bytes) -> tuple[bytes, ...]:
+        """The parts whose ids, one after the other, are the word's."""
+        letters = _LETTERS.match(word)
+        if not letters:
+            return (word,)
+        plain = letters.group(1).lower() if self.lowers else letters.group(1)
+        if not letters.group(2):
+            return (plain,)
+        return (plain, letters.group(2)) if self.parts else (plain + letters.group(2),)
+
     def ids(self, texts: list[bytes]) -> list[bytes]:
         """As little-endian numbers."""
         split = [text.split() for text in texts]
@@ -65,9 +82,13 @@ class WordTokenizer:
         fresh = set(chain.from_iterable(split)).difference(known)
         before = self.before
         known.update((word, before[word]) for word in fresh if word in before)
-        new = [word for word in fresh if word not in known]
+        forms = {word: self._form(word) for word in fresh if word not in known}
+        wanted = set(chain.from_iterable(forms.values())).difference(known)
+        known.update((word, before[word]) for word in wanted if word in before)
+        new = [word for word in wanted if word not in known]
         found = self.tokenizer.encode_batch_fast([word.decode("utf-8", "replace") for word in new], add_special_tokens=False)
         known.update((word, np.array(one.ids, dtype=self.kind).tobytes()) for word, one in zip(new, found))
+        known.update((word, b"".join(map(known.__getitem__, parts))) for word, parts in forms.items())
         return [b"".join(map(known.__getitem__, words)) for words in split]
 
 

@@ -3,21 +3,22 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from dataclasses import replace
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 from checks.controls import ALIGNED_RULES, SUGGESTIONS, TEMPLATES
 from checks.tables import catalog, catalog_with_gaps
 from covermap import fixed_values as fixed
-from covermap.functions.patterns import field_speaks_of_pii, field_speaks_of_time
-from covermap.operators.columns import only_columns
-from covermap.operators.concepts import RULE, SUGGESTED, available_concepts, map_concepts
+from covermap.operators.concepts import (
+    RULE, SUGGESTED, available_concepts, map_concepts, suggest, unmatched_columns)
 from covermap.operators.profile import count_columns, profile_catalog, profile_table
 from covermap.operators.scoring import (
-    gap_report, match_needs, rank_scenarios, readiness_label, scenario_cards, score_templates)
+    gap_report, match_needs, rank_scenarios, readiness_label, scenario_cards, scopes_without, score_templates)
+from covermap.plans.advice import advise
 from covermap.plans.defaults import concept_rules, concept_suggestions, scenario_templates
 from covermap.sources.reading import first_available, load_report, log_table
-from covermap.sources.spec import SourceSpec
+from covermap.sources.spec import Source, SourceSpec
 from covermap.sources.synthetic import synthetic_source
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -28,9 +29,13 @@ def _joined(values: str) -> Column:
     return F.array_join(values, " | ").alias(values)
 
 
-def _without_arrays(sources):
-    """Every column but the one of arrays, whose floats the two engines print differently."""
-    return only_columns(sources, lambda field: field.dataType.typeName() != "array")
+def _shown_alike(sources: list[Source]) -> list[Source]:
+    """Arrays of floats as whole millionths, which both engines print alike; all else as it is."""
+    def shown(source: Source) -> Source:
+        whole = {field.name: F.transform(field.name, lambda x: F.round(x.cast("double") * 1_000_000).cast("bigint"))
+                 for field in source.df.schema.fields if field.dataType.simpleString() == "array<float>"}
+        return replace(source, df=source.df.withColumns(whole)) if whole else source
+    return [shown(source) for source in sources]
 
 
 # ---- sources ----
@@ -61,7 +66,10 @@ def sample_limit(spark: SparkSession, sf_dir: str) -> DataFrame:
 # ---- profile ----
 
 def whole_profile(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return profile_catalog(catalog(spark, sf_dir), samples=False).drop("sample_values")
+    """All fields of all columns. Floats print differently in the two engines, so arrays show how many samples they have."""
+    samples = F.when(F.col("dtype") == "array<float>", F.concat(F.size("sample_values"), F.lit(" samples"))).otherwise(
+        F.array_join("sample_values", " | "))
+    return profile_catalog(catalog(spark, sf_dir)).withColumn("sample_values", samples)
 
 
 def one_profile(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -80,37 +88,50 @@ def ratios(name: str, distinct: str) -> Query:
         catalog_with_gaps(spark, sf_dir), distinct=distinct, samples=False).select("source_name", "column", name)
 
 
-def flagged(flag: str, wanted: Callable | None = None) -> Query:
-    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-        sources = catalog_with_gaps(spark, sf_dir)
-        if wanted is not None:
-            sources = only_columns(sources, wanted)
-        return profile_catalog(sources, samples=False).where(flag).select("source_name", "column", *_RATIOS)
-    return run
+def flagged(flag: str) -> Query:
+    return lambda spark, sf_dir: profile_catalog(catalog_with_gaps(spark, sf_dir), samples=False).where(flag).select(
+        "source_name", "column", *_RATIOS)
 
 
 def sample_values(spark: SparkSession, sf_dir: str) -> DataFrame:
-    sources = _without_arrays(catalog_with_gaps(spark, sf_dir))
+    sources = _shown_alike(catalog_with_gaps(spark, sf_dir))
     return profile_catalog(sources).select("source_name", "column", _joined("sample_values"))
 
 
 def approx_distinct(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return count_columns(catalog_with_gaps(spark, sf_dir), distinct="approx").select(
-        "source_name", "column", "rows", "nulls", "distincts")
+    """Row and null counts, and whether each estimate lies within six percent of the exact count."""
+    sources = catalog_with_gaps(spark, sf_dir)
+    exact = count_columns(sources).select("slot", F.col("distincts").alias("exact"))
+    estimated = count_columns(sources, distinct="approx").join(exact, "slot")
+    close = F.abs(F.col("distincts") - F.col("exact")) <= 0.06 * F.col("exact")
+    return estimated.select("source_name", "column", "rows", "nulls", close.alias("within_error"))
 
 
 # ---- concepts ----
 
 def _concept_map(spark: SparkSession, sf_dir: str, suggestions: bool = False, rules=ALIGNED_RULES,
-                 distinct: str = "none") -> DataFrame:
-    """The mapped profile. Concepts and scores use its null ratios, so distinct counts are not taken."""
-    profile = profile_catalog(catalog_with_gaps(spark, sf_dir), distinct=distinct, samples=False)
+                 distinct: str = "none", samples: bool = False) -> DataFrame:
+    """The mapped profile. Concepts and scores use its null ratios; ``advice`` takes the whole profile."""
+    sources = catalog_with_gaps(spark, sf_dir)
+    profile = profile_catalog(_shown_alike(sources) if samples else sources, distinct=distinct, samples=samples)
     offered = concept_suggestions(spark, SUGGESTIONS) if suggestions else None
     return map_concepts(profile, concept_rules(spark, rules), offered)
 
 
 def concept_map(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _concept_map(spark, sf_dir, suggestions=True, distinct="exact").drop("sample_values")
+    return _concept_map(spark, sf_dir, suggestions=True, distinct="exact", samples=True).withColumn(
+        "sample_values", _joined("sample_values"))
+
+
+def _guess(name: str, samples: list[str]) -> str | None:
+    """Stands for an outside service: a concept from the name's last part, none for names without parts."""
+    return f"{name.rsplit('_', 1)[1]}:{len(samples)}" if "_" in name else None
+
+
+def suggested_by_function(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The columns that no rule knows, asked of a function of name and samples."""
+    mapped = _concept_map(spark, sf_dir, samples=True, distinct="exact")
+    return suggest(unmatched_columns(mapped), _guess, kept=False)
 
 
 def matched_by(kind: str) -> Query:
@@ -150,12 +171,17 @@ def readiness(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def score_by_scope(spark: SparkSession, sf_dir: str) -> DataFrame:
     mapped = _concept_map(spark, sf_dir)
-    scored = score_templates(scenario_templates(spark, TEMPLATES),
-                             available_concepts(mapped, "source_name"), mapped, "source_name")
+    scored = score_templates(scenario_templates(spark, TEMPLATES), available_concepts(mapped, "source_name"), "source_name")
     return scored.select("source_name", "name", "coverage_pct", "readiness", "required_null_ratio",
                          F.array_join("missing_required", ", ").alias("missing"))
 
 
+def scopes_left(spark: SparkSession, sf_dir: str) -> DataFrame:
+    mapped = _concept_map(spark, sf_dir)
+    return scopes_without(scenario_templates(spark, TEMPLATES), available_concepts(mapped, "source_name"), mapped,
+                          "source_name").drop("template_order")
+
+
 def gaps(spark: SparkSession, sf_dir: str) -> DataFrame:
     return gap_report(_scored(spark, sf_dir)).select("name", "gap", "required_null_ratio")
 
@@ -173,6 +199,23 @@ def ranking(rules: dict) -> Query:
     return run
 
 
+def advice(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The whole way: full profile of all tables, concepts with suggestions, scores, ranking, gaps and evidence."""
+    sources = catalog_with_gaps(spark, sf_dir)
+    result = advise(sources, concept_rules(spark, ALIGNED_RULES), scenario_templates(spark, TEMPLATES),
+                    concept_suggestions(spark, SUGGESTIONS), kept=False)
+    profiled = result.concept_map.groupBy("business_concept").agg(
+        F.count(F.lit(1)).alias("columns"), F.count_if("is_probable_id").alias("ids"),
+        F.sum(F.size("sample_values")).alias("samples"), F.max("cardinality_ratio").alias("cardinality"))
+    supplied = result.scored.select("name", F.explode_outer("matched_required").alias("business_concept"))
+    evidence = supplied.join(profiled, "business_concept", "left").groupBy("name").agg(
+        F.sum("columns").alias("columns"), F.sum("ids").alias("ids"), F.sum("samples").alias("samples"),
+        F.max("cardinality").alias("cardinality"))
+    ranked = result.ranking.join(result.gaps, "name").join(evidence, "name", "left")
+    return ranked.select("name", "coverage_pct", "readiness", F.array_join("missing_required", ", ").alias("missing"), "gap",
+                         "columns", "ids", "samples", "cardinality")
+
+
 QUERIES: dict[str, Query] = {
     "load_report": load,
     "first_available": first_source,
@@ -182,14 +225,15 @@ QUERIES: dict[str, Query] = {
     "distinct_count": counts,
     "null_ratio": ratios("null_ratio", "none"),
     "cardinality_ratio": ratios("cardinality_ratio", "exact"),
-    "flag_datetime": flagged("is_probable_datetime", field_speaks_of_time),
+    "flag_datetime": flagged("is_probable_datetime"),
     "flag_id": flagged("is_probable_id"),
-    "flag_pii": flagged("is_probable_pii", field_speaks_of_pii),
+    "flag_pii": flagged("is_probable_pii"),
     "sample_values": sample_values,
     "approx_distinct": approx_distinct,
     "concept_map": concept_map,
     "concept_rules": matched_by(RULE),
     "concept_suggestions": matched_by(SUGGESTED),
+    "suggested_by_function": suggested_by_function,
     "available_concepts": available,
     "matched_required": needs(required=True, have=True),
     "missing_required": needs(required=True, have=False),
@@ -197,8 +241,10 @@ QUERIES: dict[str, Query] = {
     "coverage": coverage,
     "readiness": readiness,
     "score_by_scope": score_by_scope,
+    "scopes_without": scopes_left,
     "gap_report": gaps,
     "scenario_cards": cards,
     "scenario_ranking": ranking(ALIGNED_RULES),
     "builtin_rules_ranking": ranking(fixed.CONCEPT_RULES),
+    "advice": advice,
 }

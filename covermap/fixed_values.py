@@ -18,7 +18,6 @@ RATIO_DIGITS = 3
 COVERAGE_DIGITS = 1
 READY_AT = 100
 PARTIAL_AT = 50
-ROW_CAP = 2000
 CONNECT_TIMEOUT_SECONDS = 10
 
 # ---- fixed values: business concepts and their keywords; the order decides ties ----
@@ -92,12 +91,15 @@ SOURCE_PRIORITY = {
     "customers": [("postgres", "customers"), ("onelake", "customers")],
     "inventory": [("hana", "INVENTORY"), ("databricks", "inventory")],
 }
-UNCAPPED_SYSTEMS = ["hana"]
 
 # ---- fixed values: stand-in tables ----
 SYNTHETIC_LABELS = {"orders": "onelake", "customers": "onelake", "inventory": "databricks"}
 SYNTHETIC_ROWS = {"orders": 500, "customers": 1200, "inventory": 300}
 SYNTHETIC_SEEDS = {"orders": 42, "customers": 7, "inventory": 21}
 SYNTHETIC_BASE_DAY = "2026-01-01"
+# Whole numbers lie from the first up to but without the second; normal ones are given by mean and deviation.
+ORDER_CUSTOMERS, ORDER_DAYS, ORDER_AMOUNT, ORDER_DELAYS = (1000, 1200), (0, 240), (85000, 30000), (0, 10)
+FIRST_CUSTOMER, SIGNUP_DAYS_AGO, LOGIN_DAYS_AGO, CUSTOMER_SPEND = 1000, (30, 900), (0, 200), (500000, 150000)
+WAREHOUSES, STOCK, REORDER_POINTS, UNIT_COST = (1, 6), (0, 500), (20, 100), (12000, 4000)
 PRODUCT_CATEGORIES = ["전자", "의류", "식품", "생활용품"]
 REGIONS = ["서울", "부산", "대구", "경기"]

@@ -25,10 +25,10 @@ def probable_datetime(name: Column, datetime_type: Column) -> Column:
 def probable_id(name: Column, cardinality: Column, distinct: Column) -> Column:
     """True for an id-like name, or nearly all values distinct. ``cardinality`` must be unrounded.
 
-    A distinct count that was not taken (null) says nothing.
+    Without a distinct count (null) a name that says nothing leaves it unknown: null, not false.
     """
     nearly_unique = (cardinality > fixed.ID_CARDINALITY) & (distinct > fixed.ID_DISTINCT)
-    return _name_matches(name, fixed.ID_NAME) | F.coalesce(nearly_unique, F.lit(False))
+    return F.when(_name_matches(name, fixed.ID_NAME), True).otherwise(nearly_unique)
 
 
 def probable_pii(name: Column) -> Column:

@@ -9,16 +9,13 @@ from __future__ import annotations
 
 from pyspark.sql import types as T
 
-# Types of at most eight bytes. xxhash64 of a single such value only shifts, multiplies by odd
-# constants and xors, steps that can each be undone, so two values never share a hash: counting
-# hashes counts values exactly. It also treats 0.0 and -0.0 as the one value they are.
-_FIXED_WIDTH = (
-    T.BooleanType, T.ByteType, T.ShortType, T.IntegerType, T.LongType, T.FloatType, T.DoubleType,
-    T.DateType, T.TimestampType, T.TimestampNTZType, T.DayTimeIntervalType, T.YearMonthIntervalType,
-)
+_WHOLE = (T.ByteType, T.ShortType, T.IntegerType, T.LongType)
+_DAY_MICROS = 86_400_000_000
+# A longer text is keyed by this many of its first characters and its SHA-256: equal exactly when the texts are, in
+# order as far as the first characters tell, and short however long the text is.
+HEAD_CHARACTERS = 32
 _NESTED = (T.ArrayType, T.MapType, T.StructType, T.VariantType)
 _NEVER_ORDERED = (T.VariantType, T.CalendarIntervalType)
-_DIGEST_BYTES = 32  # SHA-256; shorter values are kept as they are, so the two never mix
 _JSON_OPTIONS = (
     "map('timestampFormat', \"yyyy-MM-dd'T'HH:mm:ss.SSSSSSXXX\","
     " 'timestampNTZFormat', \"yyyy-MM-dd'T'HH:mm:ss.SSSSSS\")"
@@ -42,13 +39,11 @@ def _contains(data_type: T.DataType, kinds: tuple) -> bool:
 
 
 def is_fixed_width(data_type: T.DataType) -> bool:
+    """Whether the whole value goes into a key, in order: numbers, dates and times of at most eight bytes."""
     if isinstance(data_type, T.DecimalType):
         return data_type.precision <= 18
-    return isinstance(data_type, _FIXED_WIDTH)
-
-
-def is_orderable(data_type: T.DataType) -> bool:
-    return not _contains(data_type, (T.MapType, *_NEVER_ORDERED))
+    return _is_floating(data_type) or isinstance(
+        data_type, (*_WHOLE, T.BooleanType, T.DateType, T.TimestampType, T.TimestampNTZType))
 
 
 def is_present(value: str, data_type: T.DataType) -> str:
@@ -90,24 +85,77 @@ def as_text(value: str, data_type: T.DataType) -> str:
     return f"CAST({value} AS STRING)"
 
 
-def distinct_key(value: str, data_type: T.DataType) -> tuple[str, str]:
-    """Two expressions (bigint, binary) that together are equal exactly when two values are equal.
+def _as_whole(value: str, data_type: T.DataType) -> str:
+    """A fixed-width value as a bigint, in its own order; ``from_key`` undoes it."""
+    if isinstance(data_type, T.DateType):
+        return f"CAST(unix_date({value}) AS BIGINT)"
+    if isinstance(data_type, T.TimestampType):
+        return f"unix_micros({value})"
+    if isinstance(data_type, T.TimestampNTZType):
+        # By its own calendar and clock, whatever the session's time zone.
+        clock = f"CAST((hour({value}) * 3600 + minute({value}) * 60) AS BIGINT) * 1000000"
+        return (f"(CAST(unix_date(CAST({value} AS DATE)) AS BIGINT) * {_DAY_MICROS} + {clock}"
+                f" + CAST(extract(SECOND FROM {value}) * 1000000 AS BIGINT))")
+    if isinstance(data_type, T.DecimalType) and data_type.scale:
+        return f"CAST({value} * CAST('1{'0' * data_type.scale}' AS DECIMAL({data_type.scale + 1}, 0)) AS BIGINT)"
+    return f"CAST({value} AS BIGINT)"
+
+
+def from_key(whole: str, real: str, data_type: T.DataType) -> str:
+    """The text of a fixed-width value from its key."""
+    if _is_floating(data_type):
+        return f"CAST(CAST({real} AS {data_type.simpleString()}) AS STRING)"
+    if isinstance(data_type, T.BooleanType):
+        return f"CAST({whole} = 1 AS STRING)"
+    if isinstance(data_type, T.DateType):
+        return f"CAST(date_from_unix_date(CAST({whole} AS INT)) AS STRING)"
+    if isinstance(data_type, T.TimestampType):
+        return f"CAST(timestamp_micros({whole}) AS STRING)"
+    if isinstance(data_type, T.TimestampNTZType):
+        days = f"CAST(floor({whole} / CAST({_DAY_MICROS} AS DECIMAL(20, 0))) AS INT)"
+        seconds = f"CAST(pmod({whole}, {_DAY_MICROS}) AS DECIMAL(20, 0)) / 1000000"
+        return (f"CAST(TIMESTAMP_NTZ'1970-01-01 00:00:00' + make_dt_interval({days}, 0, 0,"
+                f" CAST({seconds} AS DECIMAL(18, 6))) AS STRING)")
+    if isinstance(data_type, T.DecimalType):
+        scaled = f"CAST({whole} AS DECIMAL(20, 0))"
+        if data_type.scale:
+            scaled += f" / CAST('1{'0' * data_type.scale}' AS DECIMAL({data_type.scale + 1}, 0))"
+        return f"CAST(CAST({scaled} AS {data_type.simpleString()}) AS STRING)"
+    return f"CAST({whole} AS STRING)"
+
+
+def _comparable_text(value: str, data_type: T.DataType) -> str:
+    """A text that is equal exactly when two values are."""
+    if isinstance(data_type, (T.ArrayType, T.MapType, T.StructType)):
+        return f"to_json({_one_form(value, data_type)}, {_JSON_OPTIONS})"
+    return as_text(value, data_type)
+
 
-    Exactly one of them is set for a present value and neither for a null. Long texts travel
-    as a SHA-256 digest, so a shuffle of keys never carries whole documents.
+def is_collated(data_type: T.DataType) -> bool:
+    """Texts that may be equal though their bytes differ."""
+    return isinstance(data_type, T.StringType) and not data_type.isUTF8BinaryCollation()
+
+
+def text_key(text: str) -> str:
+    head = f"left({text}, {HEAD_CHARACTERS})"
+    return f"IF(char_length({text}) <= {HEAD_CHARACTERS}, {text}, concat({head}, sha2(CAST({text} AS BINARY), 256)))"
+
+
+def distinct_key(value: str, data_type: T.DataType) -> tuple[str, str, str]:
+    """Three expressions (bigint, double, string) that together are equal exactly when two values are equal.
+
+    One of them is set for a present value and none for a null or NaN. Numbers, dates and times are the value itself, in
+    its order. Other values go by their text, of which long ones travel as their head and SHA-256 (equal unless SHA-256
+    collides), so a shuffle of keys never carries whole documents.
     """
-    no_number, no_bytes = "CAST(NULL AS BIGINT)", "CAST(NULL AS BINARY)"
+    no_whole, no_real, no_text = "CAST(NULL AS BIGINT)", "CAST(NULL AS DOUBLE)", "CAST(NULL AS STRING)"
     if isinstance(data_type, T.NullType):
-        return no_number, no_bytes
+        return f"CAST({value} AS BIGINT)", no_real, no_text
+    if _is_floating(data_type):
+        return no_whole, f"IF(isnan({value}), NULL, CAST({value} AS DOUBLE))", no_text
     if is_fixed_width(data_type):
-        return f"IF({is_present(value, data_type)}, xxhash64({value}), NULL)", no_bytes
-    if isinstance(data_type, T.BinaryType):
-        raw = value
-    elif isinstance(data_type, (T.ArrayType, T.MapType, T.StructType)):
-        raw = f"CAST(to_json({_one_form(value, data_type)}, {_JSON_OPTIONS}) AS BINARY)"
-    else:
-        raw = f"CAST({as_text(value, data_type)} AS BINARY)"
-    return no_number, f"IF(octet_length({raw}) < {_DIGEST_BYTES}, {raw}, unhex(sha2({raw}, 256)))"
+        return _as_whole(value, data_type), no_real, no_text
+    return no_whole, no_real, text_key(_comparable_text(value, data_type))
 
 
 def null_if_nan(value: str, data_type: T.DataType) -> str:

@@ -7,6 +7,8 @@ from collections.abc import Callable, Iterator
 import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F
 
+from covermap.plans.checkpointing import keep
+
 RULE, SUGGESTED, UNMATCHED = "rule", "suggested", "unmatched"
 
 
@@ -36,21 +38,25 @@ def _label(text: str) -> Column:
 
 
 def suggest(unmatched: DataFrame, guess: Callable[[str, list[str]], str | None],
-            parallelism: int | None = None) -> DataFrame:
+            parallelism: int | None = None, kept: bool = True) -> DataFrame:
     """(column, concept) from a user function of (name, sample values), asked once per name.
 
-    ``guess`` may call a slow service, so the names are spread over ``parallelism`` tasks
-    (the session's shuffle partitions if not given).
+    ``guess`` may call a slow service, so the names are spread over ``parallelism`` tasks (the session's shuffle
+    partitions if not given), and the answers are kept in the shared folder, so that no later step asks again.
+    ``kept=False`` leaves the answers lazy.
     """
+    tasks = parallelism or int(unmatched.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     names = unmatched.groupBy("column").agg(F.min("sample_values").alias("sample_values"))
-    names = names.repartition(parallelism, "column") if parallelism else names
+    # By a hash of the name: by the name itself the grouping's own partitions would do, and be coalesced to few.
+    names = names.repartition(tasks, F.xxhash64("column"))
 
     def ask(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             answers = [guess(name, list(values)) for name, values in zip(batch["column"], batch["sample_values"])]
             yield pd.DataFrame({"column": batch["column"], "concept": pd.Series(answers, dtype="object")})
 
-    return names.mapInPandas(ask, "column string, concept string")
+    answers = names.mapInPandas(ask, "column string, concept string")
+    return keep(answers) if kept else answers
 
 
 def map_concepts(profile: DataFrame, rules: DataFrame, suggestions: DataFrame | None = None,

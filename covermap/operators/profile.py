@@ -9,11 +9,13 @@ from pyspark.sql import Column, DataFrame, functions as F
 from covermap import fixed_values as fixed
 from covermap.functions import patterns
 from covermap.operators.columns import list_columns
-from covermap.operators.samples import lowest_values
-from covermap.operators.tally import approx_tally, exact_tally, null_tally
+from covermap.operators.samples import samples_of
+from covermap.operators.tally import approx_tally, distinct_values, exact_tally, null_tally
+from covermap.operators.unions import union_all
+from covermap.plans.checkpointing import keep
 from covermap.sources.spec import Source
 
-_TALLIES = {"exact": exact_tally, "approx": approx_tally, "none": null_tally}
+_TALLIES = {"approx": approx_tally, "none": null_tally}
 
 
 def _share(part: Column, whole: Column) -> Column:
@@ -22,8 +24,12 @@ def _share(part: Column, whole: Column) -> Column:
 
 def count_columns(sources: Sequence[Source], distinct: str = "exact") -> DataFrame:
     """The column listing with the whole-number counts ``rows``, ``nulls`` and ``distincts``."""
+    return _counted(sources, distinct, distinct_values(sources) if distinct == "exact" else None)
+
+
+def _counted(sources: Sequence[Source], distinct: str, values: DataFrame | None) -> DataFrame:
     counts = ["rows", "nulls"] if distinct == "none" else ["rows", "nulls", "distincts"]
-    tally = _TALLIES[distinct](sources)
+    tally = exact_tally(values) if distinct == "exact" else _TALLIES[distinct](sources)
     return list_columns(sources).join(tally, "slot", "left").fillna(0, counts)
 
 
@@ -31,15 +37,17 @@ def profile_catalog(sources: Sequence[Source], distinct: str = "exact", samples:
     """Profile every column of every source.
 
     ``distinct="approx"`` needs no shuffle but may flip ``is_probable_id`` near its threshold.
-    ``distinct="none"`` counts only nulls: ``cardinality_ratio`` is null and ids go by name alone.
-    ``samples=False`` leaves ``sample_values`` empty and saves the scans that fill it.
+    ``distinct="none"`` counts only nulls: ``cardinality_ratio`` is null, and so is ``is_probable_id`` unless the name
+    says true. With exact counts, samples come from the counts' own shuffle, and only texts are scanned a second time.
+    ``samples=False`` leaves ``sample_values`` empty.
     """
-    counted = count_columns(sources, distinct)
+    values_seen = distinct_values(sources) if distinct == "exact" or samples else None
+    counted = _counted(sources, distinct, values_seen)
     cardinality = _share(F.col("distincts"), F.col("rows"))
     no_values = F.array().cast("array<string>")
     if samples:
         # Sample values can be whole documents, so their side is never broadcast.
-        counted = counted.join(lowest_values(sources).hint("merge"), "slot", "left")
+        counted = counted.join(samples_of(values_seen, sources).hint("merge"), "slot", "left")
         values = F.coalesce("sample_values", no_values)
     else:
         values = no_values
@@ -57,3 +65,12 @@ def profile_catalog(sources: Sequence[Source], distinct: str = "exact", samples:
 def profile_table(df: DataFrame, source_name: str, source_type: str, table_name: str, **options) -> DataFrame:
     """Profile one DataFrame."""
     return profile_catalog([Source(source_name, source_type, table_name, df)], **options)
+
+
+def profile_in_batches(sources: Sequence[Source], tables: int = 50, **options) -> DataFrame:
+    """``profile_catalog`` for very large catalogs: so many tables at a time, each batch kept in the shared folder.
+
+    Plans stay small, and a failure later on does not cost the batches before it.
+    """
+    return union_all([keep(profile_catalog(sources[start:start + tables], **options))
+                      for start in range(0, len(sources), tables)])

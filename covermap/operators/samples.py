@@ -1,118 +1,99 @@
 """A few example values of every column.
 
-Rows have no order in Spark, so the lowest distinct values stand for the first ones. They are
-found by scanning, not by shuffling and sorting every distinct value of every column.
+Rows have no order in Spark, so the lowest distinct values stand for the first ones. They come from the same
+shuffled values that the counts come from; only texts need a second scan, for the few that are shown.
 """
 
 from __future__ import annotations
 
 from collections.abc import Sequence
-from functools import reduce
 
 from pyspark.sql import DataFrame, Window, functions as F, types as T
 
 from covermap import fixed_values as fixed
-from covermap.functions.values import as_text, is_orderable, null_if_nan
-from covermap.operators.tally import Chunk, scans
+from covermap.functions.values import (
+    HEAD_CHARACTERS, as_text, distinct_key, from_key, is_collated, is_fixed_width, text_key)
+from covermap.operators.tally import Scan, distinct_values, is_set, scans, text_classes
+from covermap.operators.unions import union_all
 from covermap.sources.spec import Source
 
-# The share of a text column's distinct values that gives the first upper bound. A column with
-# fewer distinct values than a few times this many may stay without a bound; it is small anyway.
-HASH_CLASSES = 256
 
-_Scan = tuple[DataFrame, Chunk]
+def _lowest_keys(values: DataFrame, count: int) -> DataFrame:
+    """The lowest keys of each column; every task sends at most ``count`` per column to the one that ranks them."""
+    place = Window.partitionBy("slot").orderBy("whole", "real", "words")
+    # Told by ``copies``, which the shuffle yields, so that counts and samples read the same shuffle.
+    there = values.where(F.when(is_set(), F.col("copies")) > 0)
+    return there.withColumn("place", F.row_number().over(place)).where(F.col("place") <= count)
 
 
-def _is_text(data_type: T.DataType) -> bool:
-    return isinstance(data_type, (T.StringType, T.BinaryType)) or not is_orderable(data_type)
+def _numbers(lowest: DataFrame, types: dict[int, T.DataType]) -> DataFrame:
+    """(slot, value, order): the texts of numbers, dates and times, from their keys."""
+    by_type: dict[str, tuple[T.DataType, list[int]]] = {}
+    for slot, data_type in types.items():
+        by_type.setdefault(data_type.simpleString(), (data_type, []))[1].append(slot)
+    cases = " ".join(f"WHEN slot IN ({', '.join(map(str, slots))}) THEN {from_key('whole', 'real', data_type)}"
+                     for data_type, slots in by_type.values())
+    return lowest.select("slot", F.expr(f"CASE {cases} END").alias("value"), "place").where(F.col("value").isNotNull())
 
 
-def _is_nested(data_type: T.DataType) -> bool:
-    return isinstance(data_type, (T.ArrayType, T.StructType))
-
-
-def _union(parts: Sequence[DataFrame]) -> DataFrame:
-    return reduce(DataFrame.unionByName, parts)
-
-
-# ---- numbers, dates, times: successive minima ----
-
-def _minima(scan: _Scan, count: int) -> DataFrame:
-    """``low1`` holds each column's minimum, ``low2`` its minimum above ``low1``, and so on.
-
-    Each is one aggregation of a whole scan, of which every task sends a single row.
-    """
-    table, chunk = scan
-    names = [f"c{slot}" for slot, _ in chunk]
-    values = ", ".join(f"{null_if_nan(f'c{slot}', data_type)} AS c{slot}" for slot, data_type in chunk)
-    steps = [f"picked AS (SELECT {values} FROM {{table}})"]
-    for step in range(1, count + 1):
-        if step == 1:
-            minima, rows = (f"min({name}) AS {name}" for name in names), "picked"
-        else:
-            minima = (f"min(IF({name} > floor.{name}, {name}, NULL)) AS {name}" for name in names)
-            rows = f"(SELECT *, (SELECT low FROM low{step - 1}) AS floor FROM picked)"
-        steps.append(f"low{step} AS (SELECT struct({', '.join(minima)}) AS low FROM {rows})")
-    found = "".join(f"(SELECT low FROM low{step}) AS low{step}, " for step in range(1, count))
-    lows = [f"low{step}" for step in range(1, count)] + ["low"]
-    samples = []
-    for slot, data_type in chunk:
-        texts = ", ".join(as_text(f"{low}.c{slot}", data_type) for low in lows)
-        samples.append(f"named_struct('slot', {slot}, 'sample_values', array_compact(array({texts})))")
+def _texts(scan: Scan) -> DataFrame:
+    """One row (slot, words, value) per text of the scan, keyed as in ``distinct_values``."""
+    table, columns = scan
+    flat = ", ".join(f"{slot} AS s{slot}, {distinct_key(f'c{slot}', data_type)[2]} AS k{slot},"
+                     f" {as_text(f'c{slot}', data_type)} AS c{slot}" for slot, data_type in columns)
+    rows = ", ".join(f"(s{slot}, k{slot}, c{slot})" for slot, _ in columns)
     return table.sparkSession.sql(
-        f"WITH {', '.join(steps)} SELECT inline(array({', '.join(samples)}))"
-        f" FROM (SELECT {found}low FROM low{count})", table=table)
+        f"SELECT slot, words, value FROM (SELECT {flat} FROM {{table}})"
+        f" UNPIVOT INCLUDE NULLS ((slot, words, value) FOR name IN ({rows})) WHERE words IS NOT NULL", table=table)
 
 
-# ---- texts: an upper bound from some values, then the values up to it ----
+def _text_parts(scan: Scan) -> list[DataFrame]:
+    table, columns = scan
+    plain = [column for column in columns if not is_collated(column[1])]
+    collated = [text_classes(table, slot).where("value IS NOT NULL").selectExpr("slot", f"{text_key('value')} AS words", "value")
+                for slot, data_type in columns if is_collated(data_type)]
+    return ([_texts((table, plain))] if plain else []) + collated
 
-def _texts(scan: _Scan) -> DataFrame:
-    """One row (slot, value) per text of the scan."""
-    table, chunk = scan
-    values = ", ".join(f"{slot} AS s{slot}, {as_text(f'c{slot}', data_type)} AS c{slot}" for slot, data_type in chunk)
-    pairs = ", ".join(f"(s{slot}, c{slot})" for slot, _ in chunk)
-    return table.sparkSession.sql(
-        f"SELECT slot, value FROM (SELECT {values} FROM {{table}})"
-        f" UNPIVOT INCLUDE NULLS ((slot, value) FOR name IN ({pairs})) WHERE value IS NOT NULL", table=table)
 
+def _lowest_texts(lowest: DataFrame, text_scans: Sequence[Scan], count: int) -> DataFrame:
+    """(slot, value, place): the lowest texts, whole.
 
-def _lowest(texts: DataFrame, count: int) -> DataFrame:
+    Keys order texts by their first characters, so no text whose beginning lies above that of the last of the lowest
+    keys can be among the lowest texts. A second scan carries the texts up to there, each distinct one
+    once; a column with fewer distinct texts than wanted has no bound. The bounds are a short text per column.
+    """
+    head = F.substring("words", 1, HEAD_CHARACTERS)
+    bounds = lowest.where((F.col("place") == count) & F.col("words").isNotNull()).select(
+        F.col("slot").alias("of"), head.alias("bound"))
+    texts = union_all([part for scan in text_scans for part in _text_parts(scan)])
+    near = texts.join(F.broadcast(bounds), texts["slot"] == bounds["of"], "left").where(
+        F.col("bound").isNull() | (head <= F.col("bound")))
+    few = near.groupBy("slot", "words").agg(F.min("value").alias("value"))
     place = Window.partitionBy("slot").orderBy("value")
-    return texts.distinct().withColumn("place", F.row_number().over(place)).where(F.col("place") <= count)
+    return few.select("slot", "value", F.row_number().over(place).alias("place")).where(F.col("place") <= count)
 
 
-def _lowest_texts(text_scans: Sequence[_Scan], count: int) -> DataFrame:
-    """The lowest texts of all tables in two scans and two small shuffles.
-
-    The values of one hash class out of many are a fair share of each column's distinct values,
-    however often each occurs. The last of their lowest ones bounds the true ones from above, so a
-    second scan needs to carry only the values up to that bound. The result is exact whatever the
-    class holds; a column too small to have a bound is carried whole.
-    """
-    texts = _union([_texts(scan) for scan in text_scans])
-    some = _lowest(texts.where(F.expr(f"pmod(xxhash64(value), {HASH_CLASSES}) = 0")), count)
-    by_slot = F.map_from_entries(F.collect_list(F.struct("slot", "value")))
-    slots = F.sequence(F.lit(0), F.lit(max(slot for _, chunk in text_scans for slot, _ in chunk)))
-    bounds = some.where(F.col("place") == count).agg(by_slot.alias("by_slot")).select(
-        F.transform(slots, lambda slot: F.col("by_slot")[slot]).alias("bounds")).scalar()
-    few = _lowest(texts.where(F.col("value") <= F.coalesce(F.get(bounds, F.col("slot")), F.col("value"))), count)
-    return few.groupBy("slot").agg(F.array_sort(F.collect_list("value")).alias("sample_values"))
+def samples_of(values: DataFrame, sources: Sequence[Source], count: int = fixed.SAMPLE_VALUES) -> DataFrame:
+    """(slot, sample_values) from ``distinct_values`` of the same sources."""
+    lowest = _lowest_keys(values, count)
+    numbers, text_scans = {}, []
+    for table, columns in scans(sources):
+        numbers |= {slot: data_type for slot, data_type in columns if is_fixed_width(data_type)}
+        texts = [column for column in columns if not is_fixed_width(column[1]) and not isinstance(column[1], T.NullType)]
+        if texts:
+            text_scans.append((table, texts))
+    parts = [_numbers(lowest, numbers)] if numbers else []
+    if text_scans:
+        parts.append(_lowest_texts(lowest, text_scans, count))
+    if not parts:
+        parts = [lowest.select("slot", F.col("words").alias("value"), "place")]
+    in_order = F.array_sort(F.collect_list(F.struct("place", "value")))
+    return union_all(parts).groupBy("slot").agg(F.transform(in_order, lambda one: one["value"]).alias("sample_values"))
 
 
 def lowest_values(sources: Sequence[Source], count: int = fixed.SAMPLE_VALUES) -> DataFrame:
     """(slot, sample_values): the ``count`` lowest distinct present values of each column, as text.
 
-    Numbers, dates, times and nested values are ordered as their type is; strings, binary and
-    types without an order by their text.
+    Numbers, dates and times are ordered as their type is, all other values by their text.
     """
-    parts, text_scans = [], []
-    for table, chunk in scans(sources):
-        texts = [column for column in chunk if _is_text(column[1])]
-        nested = [column for column in chunk if not _is_text(column[1]) and _is_nested(column[1])]
-        plain = [column for column in chunk if column not in texts and column not in nested]
-        parts += [_minima((table, columns), count) for columns in (plain, nested) if columns]
-        if texts:
-            text_scans.append((table, texts))
-    if text_scans:
-        parts.append(_lowest_texts(text_scans, count))
-    return _union(parts)
+    return samples_of(distinct_values(sources), sources, count)

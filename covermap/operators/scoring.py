@@ -12,10 +12,10 @@ _TEMPLATE = ["template_order", "name", "description"]
 def needed_concepts(templates: DataFrame) -> DataFrame:
     """One row per (template, needed concept), ``required`` true or false.
 
-    A concept listed twice counts once. A template that needs nothing keeps one row.
+    A concept listed twice counts once, and a null is no concept. A template that needs nothing keeps one row.
     """
     def needs(column: str, required: bool) -> Column:
-        wanted = F.coalesce(F.array_distinct(column), F.array())
+        wanted = F.coalesce(F.array_distinct(F.array_compact(column)), F.array())
         return F.transform(wanted, lambda concept: F.struct(
             concept.alias("concept"), F.lit(required).alias("required")))
 
@@ -23,27 +23,45 @@ def needed_concepts(templates: DataFrame) -> DataFrame:
         needs("required_concepts", True), needs("nice_to_have_concepts", False))))
 
 
-def _needs_per_scope(templates: DataFrame, scopes: DataFrame, scope: str) -> DataFrame:
-    # Every scope is scored on every template, so the result itself has scopes x templates rows.
-    # Template numbers are exploded beside each scope, then all else joins on equal keys.
-    numbers = templates.agg(F.collect_set("template_order")).scalar()
-    pairs = scopes.select(scope).distinct().select(scope, F.explode(numbers).alias("template_order"))
-    return pairs.join(needed_concepts(templates), "template_order")
+def _needs_per_scope(templates: DataFrame, available: DataFrame, scope: str) -> DataFrame:
+    # A scope meets the templates with which it shares a concept, by equality of the concept.
+    needed = needed_concepts(templates)
+    pairs = available.select(scope, "concept").join(
+        needed.select("template_order", "concept"), "concept").select(scope, "template_order").distinct()
+    return pairs.join(needed, "template_order")
 
 
-def match_needs(templates: DataFrame, available: DataFrame, scopes: DataFrame | None = None,
-                scope: str | None = None) -> DataFrame:
+def match_needs(templates: DataFrame, available: DataFrame, scope: str | None = None) -> DataFrame:
     """The needed concepts, each with ``have``, and the evidence of ``available``.
 
-    With ``scope``, the names found in ``scopes`` (any DataFrame with that column) are matched
-    each with its own concepts, so a scope without any concept is scored as well.
+    With ``scope``, a column of ``available`` whose null is a scope too, each scope is matched with its own concepts
+    on the templates of which it has at least one; ``scopes_without`` tells about the others.
     """
+    at_hand = available.withColumnRenamed("concept", "concept_at_hand")
     if scope is None:
-        needs, keys = needed_concepts(templates), ["concept"]
+        needs = needed_concepts(templates)
+        same = F.col("concept") == F.col("concept_at_hand")
     else:
-        needs, keys = _needs_per_scope(templates, scopes, scope), [scope, "concept"]
-    return needs.join(available.withColumn("found", F.lit(True)), keys, "left").withColumn(
-        "have", F.coalesce("found", F.lit(False))).drop("found")
+        needs = _needs_per_scope(templates, available, scope)
+        at_hand = at_hand.withColumnRenamed(scope, "scope_at_hand")
+        same = (F.col("concept") == F.col("concept_at_hand")) & F.col(scope).eqNullSafe(F.col("scope_at_hand"))
+    return needs.join(at_hand, same, "left").withColumn("have", F.col("concept_at_hand").isNotNull()).drop(
+        "concept_at_hand", "scope_at_hand")
+
+
+def scopes_without(templates: DataFrame, available: DataFrame, scopes: DataFrame, scope: str) -> DataFrame:
+    """(template_order, name, scopes, coverage_pct): how many scopes share no concept with a template.
+
+    ``scopes`` is any DataFrame with the scope's column. All of them have the same coverage: none of what is
+    needed, or all where nothing is.
+    """
+    total = scopes.select(scope).distinct().agg(F.count(F.lit(1))).scalar()
+    shared = _needs_per_scope(templates, available, scope).select(scope, "template_order").distinct().groupBy(
+        "template_order").agg(F.count(F.lit(1)).alias("sharing"))
+    needs = needed_concepts(templates).groupBy("template_order", "name").agg(F.count_if(F.col("required")).alias("needed"))
+    return needs.join(shared, "template_order", "left").select(
+        "template_order", "name", (total - F.coalesce("sharing", F.lit(0))).alias("scopes"),
+        F.when(F.col("needed") > 0, 0.0).otherwise(100.0).alias("coverage_pct"))
 
 
 def _readiness(coverage: Column) -> Column:
@@ -59,14 +77,15 @@ def readiness_label(readiness: Column) -> Column:
     return label
 
 
-def score_templates(templates: DataFrame, available: DataFrame, scopes: DataFrame | None = None,
-                    scope: str | None = None) -> DataFrame:
-    """Score all templates against the concepts at hand, overall or per scope, in one job.
+def score_templates(templates: DataFrame, available: DataFrame, scope: str | None = None) -> DataFrame:
+    """Score all templates against the concepts at hand, in one job.
+
+    With ``scope``, each scope is scored on the templates with which it shares a concept.
 
     Where ``available`` carries null ratios, ``required_null_ratio`` tells the highest among the
     required concepts at hand: a scenario can be fully covered by columns that are mostly empty.
     """
-    matched = match_needs(templates, available, scopes, scope)
+    matched = match_needs(templates, available, scope)
     required, have = F.col("required"), F.col("have")
 
     def names(condition: Column) -> Column:
@@ -91,8 +110,9 @@ def score_templates(templates: DataFrame, available: DataFrame, scopes: DataFram
 
 
 def rank_scenarios(scored: DataFrame) -> DataFrame:
-    """Best coverage first; equal ones in template order."""
-    return scored.orderBy(F.desc("coverage_pct"), "template_order")
+    """Best coverage first, within each scope if scores are per scope; equal ones in template order."""
+    lead = scored.columns[:scored.columns.index("template_order")]
+    return scored.orderBy(*lead, F.desc("coverage_pct"), "template_order")
 
 
 def gap_text(name: Column, missing: Column) -> Column:

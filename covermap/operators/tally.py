@@ -3,23 +3,20 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator, Sequence
-from functools import reduce
 
-from pyspark.sql import DataFrame, functions as F, types as T
+from pyspark.sql import Column, DataFrame, functions as F, types as T
 
-from covermap.functions.values import distinct_key, is_fixed_width, is_present
+from covermap.functions.values import distinct_key, is_collated, is_fixed_width, null_if_nan, text_key
+from covermap.operators.unions import union_all
 from covermap.sources.spec import Source
 
-# A scan turns each of its rows into one row per column; beyond this many columns a table is
-# read in several scans, each pruned to its own columns, to keep generated code small.
-COLUMNS_PER_SCAN = 100
 SKETCH_LG_K = 12
 
-Chunk = list[tuple[int, T.DataType]]
+Scan = tuple[DataFrame, list[tuple[int, T.DataType]]]
 
 
-def scans(sources: Sequence[Source]) -> Iterator[tuple[DataFrame, Chunk]]:
-    """Yield (table with columns ``c<slot>``, [(slot, type)]) for each scan of the catalog.
+def scans(sources: Sequence[Source]) -> Iterator[Scan]:
+    """Yield (table with columns ``c<slot>``, [(slot, type)]) for each table of the catalog.
 
     Columns are renamed by position, so dots, quotes and repeated names need no care.
     """
@@ -28,56 +25,85 @@ def scans(sources: Sequence[Source]) -> Iterator[tuple[DataFrame, Chunk]]:
         types = [field.dataType for field in source.df.schema.fields]
         slots = list(zip(range(first, first + len(types)), types))
         first += len(types)
-        renamed = source.df.toDF(*[f"c{slot}" for slot, _ in slots])
-        for start in range(0, len(slots), COLUMNS_PER_SCAN):
-            yield renamed, slots[start:start + COLUMNS_PER_SCAN]
+        if slots:
+            yield source.df.toDF(*[f"c{slot}" for slot, _ in slots]), slots
 
 
-def _keys(table: DataFrame, chunk: Chunk) -> DataFrame:
-    """One row (slot, number, bytes) per value. UNPIVOT runs as Spark's Expand, without arrays."""
-    keyed = [(slot, *distinct_key(f"c{slot}", data_type)) for slot, data_type in chunk]
-    flat = ", ".join(f"{slot} AS s{slot}, {number} AS n{slot}, {raw} AS b{slot}" for slot, number, raw in keyed)
-    triples = ", ".join(f"(s{slot}, n{slot}, b{slot})" for slot, _ in chunk)
+def _keys(table: DataFrame, columns: list[tuple[int, T.DataType]]) -> DataFrame:
+    """One row (slot, whole, real, words) per value. UNPIVOT runs as Spark's Expand, without arrays."""
+    keyed = [(slot, *distinct_key(f"c{slot}", data_type)) for slot, data_type in columns]
+    flat = ", ".join(f"{slot} AS s{slot}, {whole} AS w{slot}, {real} AS r{slot}, {words} AS t{slot}"
+                     for slot, whole, real, words in keyed)
+    rows = ", ".join(f"(s{slot}, w{slot}, r{slot}, t{slot})" for slot, _ in columns)
     return table.sparkSession.sql(
-        f"SELECT slot, number, bytes FROM (SELECT {flat} FROM {{table}})"
-        f" UNPIVOT INCLUDE NULLS ((slot, number, bytes) FOR name IN ({triples}))", table=table)
+        f"SELECT slot, whole, real, words FROM (SELECT {flat} FROM {{table}})"
+        f" UNPIVOT INCLUDE NULLS ((slot, whole, real, words) FOR name IN ({rows}))", table=table)
 
 
-def exact_tally(sources: Sequence[Source]) -> DataFrame:
-    """(slot, rows, nulls, distincts), exact.
+def is_set() -> Column:
+    return F.col("whole").isNotNull() | F.col("real").isNotNull() | F.col("words").isNotNull()
 
-    All tables share one shuffle, on (slot, key). Each task first folds its copies of a value
-    into one counted row, so a value that fills a third of a table reaches the shuffle once per
-    task, and the keys of one column spread over all reducers. The second grouping folds each
-    reducer's share to one row per column before it moves. A table without rows gives no row.
+
+def text_classes(table: DataFrame, slot: int) -> DataFrame:
+    """(slot, value, copies) of a collated column: the lowest of each group of equal texts, by bytes, and their number."""
+    plain = f"CAST(c{slot} AS STRING COLLATE UTF8_BINARY)"
+    return table.groupBy(f"c{slot}").agg(F.expr(f"min({plain})").alias("value"), F.count(F.lit(1)).alias("copies")).select(
+        F.lit(slot).alias("slot"), "value", "copies")
+
+
+def distinct_values(sources: Sequence[Source]) -> DataFrame:
+    """(slot, whole, real, words, copies): each distinct value of each column once, with how often it occurs.
+
+    All tables share one shuffle, on the value. Each task first folds its copies of a value into one counted
+    row, so a value that fills a third of a table reaches the shuffle once per task, and the values of one column
+    spread over all reducers. Nulls are one value of their column. Collated columns, where texts of different
+    bytes can be equal, are grouped by themselves, each in a shuffle of its own.
+    """
+    every = list(scans(sources))
+    plain = [(table, [one for one in columns if not is_collated(one[1])]) for table, columns in every]
+    parts = [_keys(table, columns) for table, columns in plain if columns]
+    values = [union_all(parts).groupBy("slot", "whole", "real", "words").agg(F.count(F.lit(1)).alias("copies"))] if parts else []
+    nothing = "CAST(NULL AS BIGINT) AS whole", "CAST(NULL AS DOUBLE) AS real"
+    values += [text_classes(table, slot).selectExpr("slot", *nothing, f"{text_key('value')} AS words", "copies")
+               for table, columns in every for slot, data_type in columns if is_collated(data_type)]
+    return union_all(values)
+
+
+def exact_tally(values: DataFrame) -> DataFrame:
+    """(slot, rows, nulls, distincts), exact, from ``distinct_values``.
+
+    Each reducer's share is folded to one row per column before it moves. A table without rows gives no row.
     """
-    long = reduce(DataFrame.unionByName, [_keys(table, chunk) for table, chunk in scans(sources)])
-    values = long.groupBy("slot", "number", "bytes").agg(F.count(F.lit(1)).alias("copies"))
-    present = F.col("number").isNotNull() | F.col("bytes").isNotNull()
     return values.groupBy("slot").agg(
         F.sum("copies").alias("rows"),
-        F.sum(F.when(present, 0).otherwise(F.col("copies"))).alias("nulls"),
-        F.count_if(present).alias("distincts"),
+        F.sum(F.when(is_set(), 0).otherwise(F.col("copies"))).alias("nulls"),
+        F.count_if(is_set()).alias("distincts"),
     )
 
 
 def _scan_tally(sources: Sequence[Source], distincts: Callable[[str, T.DataType], str]) -> DataFrame:
-    """The counts of each table in one aggregation, of which every task sends a single row."""
-    def tally(table: DataFrame, chunk: Chunk) -> DataFrame:
+    """The counts of each table in one aggregation, of which every task sends a single row.
+
+    Nulls are the rows less a plain count of the column, which a source can answer from its own statistics.
+    """
+    def tally(table: DataFrame, columns: list[tuple[int, T.DataType]]) -> DataFrame:
         counts = ", ".join(
             f"named_struct('slot', {slot}, 'rows', count(1),"
-            f" 'nulls', count_if(NOT {is_present(f'c{slot}', data_type)}),"
-            f" 'distincts', {distincts(f'c{slot}', data_type)})" for slot, data_type in chunk)
+            f" 'nulls', count(1) - count({null_if_nan(f'c{slot}', data_type)}),"
+            f" 'distincts', {distincts(f'c{slot}', data_type)})" for slot, data_type in columns)
         return table.selectExpr(f"array({counts}) AS counts").selectExpr("inline(counts)")
 
-    return reduce(DataFrame.unionByName, [tally(table, chunk) for table, chunk in scans(sources)])
+    return union_all([tally(table, columns) for table, columns in scans(sources)])
 
 
 def approx_tally(sources: Sequence[Source]) -> DataFrame:
     """As ``exact_tally`` with estimated distinct counts, from sketches of a few KB per column."""
     def sketch(value: str, data_type: T.DataType) -> str:
-        number, raw = distinct_key(value, data_type)
-        key = number if is_fixed_width(data_type) else raw
+        whole, real, words = distinct_key(value, data_type)
+        # A sketch takes whole numbers and texts; the hash of one double never meets another's.
+        key = words if not is_fixed_width(data_type) else f"xxhash64({real})" if "NULL AS BIGINT" in whole else whole
+        if key.startswith("xxhash64"):
+            key = f"IF({real} IS NULL, NULL, {key})"
         return f"hll_sketch_estimate(hll_sketch_agg({key}, {SKETCH_LG_K}))"
 
     return _scan_tally(sources, sketch)

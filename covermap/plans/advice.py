@@ -17,7 +17,7 @@ from covermap.sources.spec import Source
 
 @dataclass(frozen=True)
 class Advice:
-    """The result of each step; every field but ``profile`` is lazy."""
+    """The result of each step; every field but a kept ``profile`` is lazy."""
 
     profile: DataFrame
     concept_map: DataFrame
@@ -29,12 +29,13 @@ class Advice:
 
 
 def advise(sources: Sequence[Source], rules: DataFrame | None = None, templates: DataFrame | None = None,
-           suggestions: DataFrame | None = None, **profile_options) -> Advice:
-    """Profile once, then map, score and report from the kept profile."""
+           suggestions: DataFrame | None = None, kept: bool = True, **profile_options) -> Advice:
+    """Profile once, then map, score and report from the kept profile; ``kept=False`` leaves the profile lazy."""
     spark = sources[0].df.sparkSession
     rules = concept_rules(spark) if rules is None else rules
     templates = scenario_templates(spark) if templates is None else templates
-    profile = keep(profile_catalog(sources, **profile_options))
+    profile = profile_catalog(sources, **profile_options)
+    profile = keep(profile) if kept else profile
     concept_map = map_concepts(profile, rules, suggestions)
     available = available_concepts(concept_map)
     scored = score_templates(templates, available)

@@ -2,28 +2,19 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
-from functools import cache
 
 from pyspark.sql import DataFrame, SparkSession
 
 _SETTING = "spark.checkpoint.dir"
 
 
-@cache
-def _local_folder(application: str) -> str:
-    return tempfile.mkdtemp(prefix="kept-")
-
-
 def shared_folder(spark: SparkSession) -> str:
-    """The folder the session names for kept results; only a local session may make its own."""
-    folder = spark.conf.get(_SETTING, None)
-    if folder is None:
-        if not spark.sparkContext.master.startswith("local"):
-            raise ValueError(f"set {_SETTING} to a folder that all executors share")
-        folder = _local_folder(spark.sparkContext.applicationId)
-    return folder
+    """The folder for kept results that all executors share: the session's setting, or its checkpoint directory."""
+    folder = spark.conf.get(_SETTING, None) or spark.sparkContext.getCheckpointDir()
+    if not folder:
+        raise ValueError(f"set {_SETTING} to a folder that all executors share")
+    return folder.rstrip("/")
 
 
 def keep(df: DataFrame) -> DataFrame:
@@ -33,7 +24,16 @@ def keep(df: DataFrame) -> DataFrame:
     sources again, and being Parquet they read only the columns they need. Columns are written
     under positional names, so any names can be kept, repeated ones too.
     """
-    path = f"{shared_folder(df.sparkSession).rstrip('/')}/kept-{uuid.uuid4().hex}"
+    path = f"{shared_folder(df.sparkSession)}/kept-{uuid.uuid4().hex}"
     positional = df.toDF(*[f"c{i}" for i in range(len(df.columns))])
     positional.write.parquet(path)
     return df.sparkSession.read.schema(positional.schema).parquet(path).toDF(*df.columns)
+
+
+def drop_kept(spark: SparkSession) -> int:
+    """Delete all kept results in the shared folder; how many there were. Nothing may still read them."""
+    jvm = spark.sparkContext._jvm
+    pattern = jvm.org.apache.hadoop.fs.Path(f"{shared_folder(spark)}/kept-*")
+    files = pattern.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    found = files.globStatus(pattern) or []
+    return sum(files.delete(one.getPath(), True) for one in found)

@@ -4,13 +4,13 @@ from __future__ import annotations
 
 import os
 from collections.abc import Callable, Mapping, Sequence
-from functools import reduce
 
 import pyarrow as pa
 from py4j.protocol import Py4JJavaError
 from pyspark.errors import PySparkException
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from covermap.operators.unions import union_all
 from covermap.sources.spec import Source, SourceSpec
 
 _LOG = pa.schema([("name", pa.string()), ("source_type", pa.string()), ("table_name", pa.string()),
@@ -18,11 +18,17 @@ _LOG = pa.schema([("name", pa.string()), ("source_type", pa.string()), ("table_n
 LOADED, DISABLED, FAILED, FALLBACK = "loaded", "disabled", "failed", "synthetic"
 
 
-def read(spark: SparkSession, spec: SourceSpec) -> DataFrame:
+class MissingPassword(PySparkException):
+    """A source wants a password that the environment does not hold."""
+
+    def __init__(self, message: str):
+        super().__init__(message=message)
+
+
+def read(spark: SparkSession, spec: SourceSpec, environment: Mapping[str, str] = os.environ) -> DataFrame:
     """A lazy, distributed read of one spec.
 
-    For a large database table give ``partitionColumn``, ``lowerBound``, ``upperBound`` and
-    ``numPartitions`` among the options: Spark then reads ranges of it in parallel.
+    For a large database table give ``system_spec`` a ``Split``: Spark then reads ranges of it in parallel.
     """
     if sum(part is not None for part in (spec.table, spec.query, spec.path)) != 1:
         raise ValueError(f"{spec.source_type}: give exactly one of table, query and path")
@@ -31,20 +37,26 @@ def read(spark: SparkSession, spec: SourceSpec) -> DataFrame:
     else:
         reader = spark.read.format(spec.format).options(**spec.options)
         if spec.password_env:
-            reader = reader.option("password", os.environ.get(spec.password_env, ""))
+            if not environment.get(spec.password_env):
+                raise MissingPassword(f"{spec.source_type}: {spec.password_env} is not set")
+            reader = reader.option("password", environment[spec.password_env])
         if spec.path is not None:
             df = reader.load(spec.path)
         elif spec.table is not None:
             df = reader.option("dbtable", spec.table).load()
         else:
             df = reader.option("query", spec.query).load()
-    return df if spec.row_cap is None else df.limit(spec.row_cap)
+    return df
 
 
 def first_available(spark: SparkSession, name: str, candidates: Sequence[SourceSpec],
-                    fallback: Callable[[], Source]) -> tuple[Source, list[dict]]:
+                    fallback: Callable[[], Source] | None = None,
+                    environment: Mapping[str, str] = os.environ, stage: bool = False) -> tuple[Source, list[dict]]:
     """The first candidate that is enabled and yields a row or an empty result, else the fallback.
 
+    ``stage`` reads a chosen database table once, into the shared folder: a live table would otherwise be queried by
+    every scan, and could change between them. Without a fallback it is an error when no candidate works.
+
     Spark reads lazily, so each candidate is probed with one row before it is chosen, and later
     candidates are not touched. An error after the probe is not hidden: it fails the job. The
     second value is the log, one entry per candidate tried.
@@ -60,14 +72,18 @@ def first_available(spark: SparkSession, name: str, candidates: Sequence[SourceS
             note(spec, DISABLED)
             continue
         try:
-            df = read(spark, spec)
+            df = read(spark, spec, environment)
             df.limit(1).collect()
         except (PySparkException, Py4JJavaError) as error:
             cause = error.java_exception.toString() if isinstance(error, Py4JJavaError) else str(error)
             note(spec, FAILED, cause.splitlines()[0])
             continue
         note(spec, LOADED)
-        return Source(name, spec.source_type, spec.table_name, df), log
+        source = Source(name, spec.source_type, spec.table_name, df)
+        return source.staged() if stage and spec.format == "jdbc" else source, log
+    if fallback is None:
+        tried = "; ".join(f"{entry['source_type']}: {entry['error'] or entry['status']}" for entry in log)
+        raise ValueError(f"no source of {name} works ({tried})")
     source = fallback()
     note(source, FALLBACK)
     return source, log
@@ -79,11 +95,12 @@ def log_table(spark: SparkSession, entries: Sequence[dict]) -> DataFrame:
 
 
 def load_catalog(spark: SparkSession, candidates: Mapping[str, Sequence[SourceSpec]],
-                 fallbacks: Mapping[str, Callable[[], Source]]) -> tuple[dict[str, Source], DataFrame]:
+                 fallbacks: Mapping[str, Callable[[], Source]] | None = None,
+                 environment: Mapping[str, str] = os.environ, stage: bool = False) -> tuple[dict[str, Source], DataFrame]:
     """Load every logical table; returns the sources and the log as a DataFrame."""
     sources, entries = {}, []
     for name, specs in candidates.items():
-        sources[name], log = first_available(spark, name, specs, fallbacks[name])
+        sources[name], log = first_available(spark, name, specs, (fallbacks or {}).get(name), environment, stage)
         entries += log
     return sources, log_table(spark, entries)
 
@@ -96,4 +113,4 @@ def load_report(sources: Sequence[Source]) -> DataFrame:
             F.lit(source.table_name).alias("table_name"), F.lit(source.is_synthetic).alias("is_synthetic"),
             "rows", F.lit(len(source.df.columns)).alias("columns"))
 
-    return reduce(DataFrame.unionByName, [line(source) for source in sources])
+    return union_all([line(source) for source in sources])

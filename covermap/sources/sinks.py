@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 
 
 def save(df: DataFrame, path: str | None = None, table: str | None = None, format: str = "parquet",
-         mode: str = "overwrite", partition_by: Sequence[str] = ()) -> None:
+         mode: str = "errorifexists", partition_by: Sequence[str] = ()) -> None:
     """Write a result to a path, or as a table of the session's catalog."""
     if (path is None) == (table is None):
         raise ValueError("give either path or table")

@@ -19,10 +19,12 @@ class Source:
     df: DataFrame
     is_synthetic: bool = False
 
-    def sample_rows(self, count: int, order_by: list[str] | None = None) -> Source:
-        """Keep ``count`` rows only; with ``order_by`` the same ones every time."""
-        df = self.df.orderBy(*order_by) if order_by else self.df
-        return replace(self, df=df.limit(count))
+    def sample_rows(self, count: int, order_by: list[str]) -> Source:
+        """Keep the first ``count`` rows in the given order only, which must tell rows apart to be repeatable.
+
+        Follow it with ``staged`` where several steps read the sample, so that the order is made once.
+        """
+        return replace(self, df=self.df.orderBy(*order_by).limit(count))
 
     def staged(self) -> Source:
         """Read the source once, into the session's shared folder.
@@ -50,5 +52,4 @@ class SourceSpec:
     query: str | None = None
     path: str | None = None
     password_env: str | None = None
-    row_cap: int | None = None
     enabled: bool = True

@@ -50,21 +50,21 @@ def orders(spark: SparkSession, rows: int = fixed.SYNTHETIC_ROWS["orders"]) -> D
     draw = _Draw(fixed.SYNTHETIC_SEEDS["orders"])
     return spark.range(rows).select(
         (F.col("id") + 1).alias("order_id"),
-        draw.integer(1000, 1200).alias("customer_id"),
-        _day(draw.integer(0, 240)).alias("order_date"),
-        draw.normal(85000, 30000).alias("order_amount"),
-        draw.integer(0, 10).alias("shipping_delay_days"),
+        draw.integer(*fixed.ORDER_CUSTOMERS).alias("customer_id"),
+        _day(draw.integer(*fixed.ORDER_DAYS)).alias("order_date"),
+        draw.normal(*fixed.ORDER_AMOUNT).alias("order_amount"),
+        draw.integer(*fixed.ORDER_DELAYS).alias("shipping_delay_days"),
         draw.choice(fixed.PRODUCT_CATEGORIES).alias("product_category"))
 
 
 def customers(spark: SparkSession, rows: int = fixed.SYNTHETIC_ROWS["customers"]) -> DataFrame:
     draw = _Draw(fixed.SYNTHETIC_SEEDS["customers"])
     return spark.range(rows).select(
-        (F.col("id") + 1000).alias("customer_id"),
-        _day(-draw.integer(30, 900)).alias("signup_date"),
+        (F.col("id") + fixed.FIRST_CUSTOMER).alias("customer_id"),
+        _day(-draw.integer(*fixed.SIGNUP_DAYS_AGO)).alias("signup_date"),
         F.format_string("user%d@example.com", "id").alias("email"),
-        _day(-draw.integer(0, 200)).alias("last_login_at"),
-        draw.normal(500000, 150000).alias("total_spend"),
+        _day(-draw.integer(*fixed.LOGIN_DAYS_AGO)).alias("last_login_at"),
+        draw.normal(*fixed.CUSTOMER_SPEND).alias("total_spend"),
         draw.choice(fixed.REGIONS).alias("region"))
 
 
@@ -72,10 +72,10 @@ def inventory(spark: SparkSession, rows: int = fixed.SYNTHETIC_ROWS["inventory"]
     draw = _Draw(fixed.SYNTHETIC_SEEDS["inventory"])
     return spark.range(rows).select(
         F.format_string("SKU-%05d", "id").alias("sku"),
-        draw.integer(1, 6).alias("warehouse_id"),
-        draw.integer(0, 500).alias("stock_qty"),
-        draw.integer(20, 100).alias("reorder_point"),
-        draw.normal(12000, 4000).alias("unit_cost"))
+        draw.integer(*fixed.WAREHOUSES).alias("warehouse_id"),
+        draw.integer(*fixed.STOCK).alias("stock_qty"),
+        draw.integer(*fixed.REORDER_POINTS).alias("reorder_point"),
+        draw.normal(*fixed.UNIT_COST).alias("unit_cost"))
 
 
 _TABLES = {"orders": orders, "customers": customers, "inventory": inventory}

@@ -4,13 +4,16 @@ from __future__ import annotations
 
 import os
 from collections.abc import Callable, Mapping
-from dataclasses import replace
+from dataclasses import dataclass, replace
 
 from covermap import fixed_values as fixed
 from covermap.sources.spec import SourceSpec
 
 _Settings = dict[str, str]
 
+#: Rows that a database driver fetches at a time.
+FETCH_ROWS = 10_000
+
 
 def settings_of(system: str, environment: Mapping[str, str]) -> _Settings:
     """The system's settings with defaults filled in; the password is left out."""
@@ -63,27 +66,45 @@ _JDBC: dict[str, Callable[[_Settings], dict[str, str]]] = {
 }
 
 
+@dataclass(frozen=True)
+class Split:
+    """How a database table is read in parallel: ranges of a numeric, date or timestamp column."""
+
+    column: str
+    lower: str
+    upper: str
+    parts: int
+
+    def options(self) -> dict[str, str]:
+        return {"partitionColumn": self.column, "lowerBound": self.lower, "upperBound": self.upper,
+                "numPartitions": str(self.parts)}
+
+
+def _streaming(system: str, rows: int) -> dict[str, str]:
+    """Options with which the driver fetches rows in portions instead of holding the whole result."""
+    portions = {"fetchsize": str(rows)}
+    if system == "mysql":
+        portions["useCursorFetch"] = "true"
+    return portions
+
+
 def system_spec(system: str, table: str, environment: Mapping[str, str] = os.environ,
-                row_cap: int | None = None, table_name: str | None = None) -> SourceSpec:
-    """The spec that reads ``table`` from ``system``."""
+                table_name: str | None = None, split: Split | None = None, fetch_rows: int = FETCH_ROWS) -> SourceSpec:
+    """The spec that reads ``table`` from ``system``: in portions, and with ``split`` in parallel ranges."""
     settings = settings_of(system, environment)
-    spec = SourceSpec(system, table_name or table, "jdbc", enabled=is_enabled(system, environment), row_cap=row_cap)
+    spec = SourceSpec(system, table_name or table, "jdbc", enabled=is_enabled(system, environment))
     if system == "onelake":
         return replace(spec, format="delta", path=f"{settings['path']}/Tables/{table}")
     # A user key carries its own login, so no password goes with it.
     password_env = None if settings.get("userkey") else fixed.SYSTEM_SETTINGS[system]["password"]
-    return replace(spec, options=_JDBC[system](settings), table=table, password_env=password_env)
+    options = _JDBC[system](settings) | _streaming(system, fetch_rows) | (split.options() if split else {})
+    return replace(spec, options=options, table=table, password_env=password_env)
 
 
 def default_candidates(environment: Mapping[str, str] = os.environ,
-                       capped: bool = False) -> dict[str, list[SourceSpec]]:
-    """For each built-in logical table, the systems to try in order.
-
-    Tables are read whole; ``capped=True`` reads the customary sample of the first rows instead.
-    """
-    def cap(system: str) -> int | None:
-        return fixed.ROW_CAP if capped and system not in fixed.UNCAPPED_SYSTEMS else None
-
-    return {name: [system_spec(system, table, environment, cap(system), table_name=name)
+                       splits: Mapping[str, Split] | None = None) -> dict[str, list[SourceSpec]]:
+    """For each built-in logical table, the systems to try in order; ``splits`` by logical table. Tables are read whole."""
+    splits = splits or {}
+    return {name: [system_spec(system, table, environment, table_name=name, split=splits.get(name))
                    for system, table in priority]
             for name, priority in fixed.SOURCE_PRIORITY.items()}

@@ -17,16 +17,18 @@ def matched(spark, names, rules=fixed.CONCEPT_RULES):
     return {row["column"]: row["concept"] for row in found}
 
 
-def first_rule(name, rules):
-    """The definition: the first concept with a keyword inside the name, case ignored."""
-    return next((c for c, words in rules.items() if any(w.lower() in name.lower() for w in words)), None)
+def lowest_hits(names, rules):
+    """Of all (rule number, name) pairs in which the name holds one of the rule's keywords, each name's lowest."""
+    listing = [(number, name) for number, words in enumerate(rules.values()) for word in words
+               for name in names if word.casefold() in name.casefold()]
+    concepts = list(rules)
+    return {name: concepts[min(n for n, other in listing if other == name)] for _, name in listing}
 
 
 def test_every_builtin_keyword_finds_its_first_concept(spark):
     words = [word for keywords in fixed.CONCEPT_RULES.values() for word in keywords]
     names = words + [f"x_{word.upper()}_y" for word in words] + ["nothing", ""]
-    expected = {name: concept for name in names if (concept := first_rule(name, fixed.CONCEPT_RULES))}
-    assert matched(spark, names) == expected
+    assert matched(spark, names) == lowest_hits(names, fixed.CONCEPT_RULES)
 
 
 def test_rule_order_decides_not_keyword_length(spark):
@@ -51,8 +53,7 @@ def test_no_rules(spark):
        words=st.lists(st.lists(st.text(alphabet="abB_주", min_size=1, max_size=3), max_size=3), max_size=5))
 def test_matches_the_definition(spark, names, words):
     rules = {string.ascii_lowercase[i]: keywords for i, keywords in enumerate(words)}
-    expected = {name: concept for name in names if (concept := first_rule(name, rules))}
-    assert matched(spark, names, rules) == expected
+    assert matched(spark, names, rules) == lowest_hits(names, rules)
 
 
 def test_suggestions_fill_only_what_rules_leave(spark):

@@ -11,21 +11,13 @@ def connection(sf_dir):
     return duckdb_tables(sf_dir)
 
 
-@pytest.mark.parametrize("name", sorted(driver.oracle_sql()))
+@pytest.mark.parametrize("name", sorted(QUERIES))
 def test_query_equals_its_sql(spark, sf_dir, connection, name):
     assert spark_rows(QUERIES[name](spark, sf_dir)) == duckdb_rows(connection, driver.oracle_sql()[name])
 
 
-def test_every_query_but_the_approximate_one_has_sql():
-    assert set(driver.queries()) - set(driver.oracle_sql()) == {"approx_distinct"}
-
-
-def test_approximate_counts_are_close(spark, sf_dir):
-    exact = {(r.source_name, r.column): r for r in QUERIES["distinct_count"](spark, sf_dir).collect()}
-    for row in QUERIES["approx_distinct"](spark, sf_dir).collect():
-        true = exact[row.source_name, row.column]
-        assert (row.rows, row.nulls) == (true.rows, true.nulls)
-        assert abs(row.distincts - true.distincts) <= 0.06 * true.distincts
+def test_every_query_has_sql():
+    assert set(QUERIES) <= set(driver.oracle_sql())
 
 
 def test_tables_are_listed_as_they_are(spark, sf_dir):
@@ -36,4 +28,4 @@ def test_tables_are_listed_as_they_are(spark, sf_dir):
 
 def test_entry(spark):
     result = driver.entry(spark)
-    assert result.columns[:3] == ["place", "name", "coverage_pct"] and result.count() == 6
+    assert result.columns[:3] == ["name", "coverage_pct", "readiness"] and result.count() == 6

@@ -1,8 +1,8 @@
 import pytest
 
 from covermap import (
-    Source, SourceSpec, advise, default_candidates, first_available, keep, load_catalog, load_report, profile_table,
-    read, save, synthetic_fallbacks, synthetic_source, system_spec)
+    Source, SourceSpec, Split, advise, default_candidates, drop_kept, first_available, keep, load_catalog, load_report,
+    profile_table, read, save, synthetic_fallbacks, synthetic_source, system_spec)
 from covermap.sources.systems import is_enabled
 
 ALL_SET = {
@@ -31,11 +31,30 @@ def test_order_of_candidates():
         "inventory": [("hana", "INVENTORY", "inventory"), ("databricks", "inventory", "inventory")]}
 
 
-def test_row_caps_are_optional_and_spare_uncapped_systems():
-    assert {s.row_cap for specs in default_candidates(ALL_SET).values() for s in specs} == {None}
-    capped = {(s.source_type, s.row_cap) for specs in default_candidates(ALL_SET, capped=True).values() for s in specs}
-    assert capped == {("postgres", 2000), ("mysql", 2000), ("mssql", 2000), ("onelake", 2000), ("hana", None),
-                      ("databricks", 2000)}
+@pytest.mark.parametrize("system", ["postgres", "mysql", "mssql", "hana", "databricks"])
+def test_databases_are_read_in_portions_and_on_wish_in_parallel(system):
+    assert system_spec(system, "t", ALL_SET).options["fetchsize"] == "10000"
+    split = Split("id", "0", "1000", 8)
+    options = system_spec(system, "t", ALL_SET, split=split, fetch_rows=5).options
+    assert (options["partitionColumn"], options["lowerBound"], options["upperBound"], options["numPartitions"],
+            options["fetchsize"]) == ("id", "0", "1000", "8", "5")
+    assert (options.get("useCursorFetch") == "true") is (system == "mysql")
+
+
+def test_splits_reach_the_candidates_of_their_table():
+    found = default_candidates(ALL_SET, {"customers": Split("customer_id", "1", "9", 2)})
+    assert {name: [s.options.get("numPartitions") for s in specs if s.format == "jdbc"] for name, specs in found.items()} == {
+        "orders": [None, None, None], "customers": ["2"], "inventory": [None, None]}
+
+
+def test_no_scan_of_the_library_carries_a_limit_without_order():
+    """Only the probe of a candidate and the ordered sample cap rows."""
+    from pathlib import Path
+    import covermap
+    files = [p for p in Path(covermap.__file__).parent.rglob("*.py") if "llm" not in p.parts]
+    limits = {p.name: p.read_text().count(".limit(") for p in files if ".limit(" in p.read_text()}
+    assert limits == {"reading.py": 1, "spec.py": 1}
+    assert "orderBy(*order_by).limit(" in next(p for p in files if p.name == "spec.py").read_text()
 
 
 @pytest.mark.parametrize("system, url, options", [
@@ -77,6 +96,23 @@ def test_password_is_read_from_the_environment_when_reading(spark, monkeypatch):
     read(spark, spec)
     assert seen == {"password": "secret", "dbtable": "t"}
     assert "secret" not in repr(spec)
+    read(spark, spec, {"PG_DIAGNOSE_PASSWORD": "other"})
+    assert seen["password"] == "other"
+
+
+def test_a_password_that_is_not_set_fails_its_candidate_only(spark, monkeypatch):
+    monkeypatch.delenv("PG_DIAGNOSE_PASSWORD", raising=False)
+    spec = system_spec("postgres", "t", ALL_SET)
+    source, log = first_available(spark, "t", [spec], lambda: synthetic_source(spark, "orders"), environment={})
+    assert source.is_synthetic and "PG_DIAGNOSE_PASSWORD is not set" in log[0]["error"]
+
+
+def test_own_tables_need_no_stand_in(spark, sf_dir):
+    works = SourceSpec("files", "region", "parquet", path=f"{sf_dir}/region.parquet")
+    sources, _ = load_catalog(spark, {"mine": [works]}, {})
+    assert sources["mine"].df.count() == 5
+    with pytest.raises(ValueError, match="no source of mine works"):
+        load_catalog(spark, {"mine": [SourceSpec("files", "t", "parquet", path="/none")]})
 
 
 def test_query_scan(spark, monkeypatch):
@@ -84,8 +120,8 @@ def test_query_scan(spark, monkeypatch):
     reader = type(spark.read)
     monkeypatch.setattr(reader, "option", lambda self, key, value: seen.update({key: value}) or self)
     monkeypatch.setattr(reader, "load", lambda self, path=None: spark.range(5000))
-    df = read(spark, SourceSpec("postgres", "t", "jdbc", query="SELECT 1", row_cap=2000))
-    assert seen == {"query": "SELECT 1"} and df.count() == 2000
+    df = read(spark, SourceSpec("postgres", "t", "jdbc", query="SELECT 1"))
+    assert seen == {"query": "SELECT 1"} and df.count() == 5000
 
 
 @pytest.mark.parametrize("parts", [{}, {"table": "t", "query": "q"}, {"table": "t", "path": "p"}])
@@ -219,6 +255,8 @@ def test_save_round_trip(spark, tmp_path):
     assert sorted(map(str, back.collect())) == sorted(map(str, advice.scored.collect()))
     save(advice.scored, path=path, mode="append", partition_by=["readiness"])
     assert spark.read.parquet(path).count() == 12
+    with pytest.raises(Exception, match="(?i)exists"):
+        save(advice.scored, path=path)
 
 
 @pytest.mark.parametrize("target", [{}, {"path": "p", "table": "t"}])
@@ -236,16 +274,24 @@ def test_keep_uses_the_shared_folder_and_cuts_lineage(spark, plan_of):
     assert "Exchange" not in plan_of(kept) and "Range" not in plan_of(kept)
 
 
-def test_only_a_local_session_makes_its_own_folder(spark, monkeypatch):
+def test_no_session_makes_a_folder_of_its_own(spark, monkeypatch):
     from covermap.plans import checkpointing
+    context = type(spark.sparkContext)
     monkeypatch.setattr(checkpointing, "_SETTING", "spark.covermap.unset")
-    folder = checkpointing.shared_folder(spark)
-    assert folder == checkpointing.shared_folder(spark) and keep(spark.range(3)).count() == 3
-    monkeypatch.setitem(spark.sparkContext.__dict__, "master", "spark://somewhere:7077")
+    monkeypatch.setattr(context, "getCheckpointDir", lambda self: "file:/shared/checkpoints/")
+    assert checkpointing.shared_folder(spark) == "file:/shared/checkpoints"
+    monkeypatch.setattr(context, "getCheckpointDir", lambda self: None)
     with pytest.raises(ValueError, match="executors share"):
         checkpointing.shared_folder(spark)
 
 
+def test_kept_results_can_be_dropped(spark, monkeypatch, tmp_path):
+    from covermap.plans import checkpointing
+    monkeypatch.setattr(checkpointing, "shared_folder", lambda spark: str(tmp_path))
+    keep(spark.range(3)), keep(spark.range(4))
+    assert drop_kept(spark) == 2 and drop_kept(spark) == 0
+
+
 def test_staged_source(spark):
     source = synthetic_source(spark, "inventory").staged()
     assert source.is_synthetic and source.df.count() == 300 and source.df.columns[0] == "sku"

@@ -1,0 +1,57 @@
+import random
+
+import pytest
+
+WORDS = [a + b for a in ("ka", "lo", "mi", "ne", "pu", "ra", "si", "to", "vu", "ze") for b in ("dan", "fel", "gor", "hin", "jas", "kul")]
+DOCUMENTS = "doc_id bigint, text string, lang string, source string, n_chars bigint"
+
+
+def prose(seed: int, words: int) -> str:
+    draw = random.Random(seed)
+    return " ".join(draw.choice(WORDS) + draw.choice(["", "", "", ",", "."]) for _ in range(words))
+
+
+def near(text: str, seed: int, changes: int) -> str:
+    draw, words = random.Random(seed), text.split()
+    for _ in range(changes):
+        words[draw.randrange(len(words))] = draw.choice(WORDS)
+    return " ".join(words)
+
+
+def texts() -> list[str | None]:
+    """Prose with copies, near copies, shared passages, nulls, empty, blank, very long and degenerate texts."""
+    base = [prose(seed, 40 + 13 * seed % 150) for seed in range(24)]
+    passage = prose(99, 60)
+    return [*base, base[3], base[3], base[7] + " ", base[7].replace(" ", "  "), near(base[1], 5, 1), near(base[2], 6, 3),
+            base[4] + "\n" + passage, passage + "\t" + base[5], passage, None, None, "", " ", " \n\t", "a", "a a a a",
+            "%" * 700, "ab" * 400, "Ünïcode é ñ " * 30, "nul \x00 byte and \x0b tab", prose(7, 9000), "x" * 4000 + passage]
+
+
+@pytest.fixture(scope="session")
+def fixture_texts():
+    return texts()
+
+
+@pytest.fixture(scope="session")
+def documents(spark, fixture_texts):
+    """Rows with clashing extra columns, ids out of order, a repeated row and null ids."""
+    rows = [((7 * number) % 53, text, "en", [None, "b", "a", "ä"][number % 4], len(text or "")) for number, text in enumerate(fixture_texts)]
+    rows += [rows[5], (None, rows[2][1], None, None, None), (None, prose(500, 30), None, "a", 1)]
+    frame = spark.createDataFrame(rows, DOCUMENTS).selectExpr(
+        "*", "'x' AS fp", "1 AS size", "2 AS score", "'k' AS digest", "3 AS block", "array(1) AS features", "0 AS label")
+    return frame.repartition(3)
+
+
+@pytest.fixture(scope="session")
+def rows_of(documents):
+    return [(row.doc_id, row.text, row.source) for row in documents.select("doc_id", "text", "source").collect()]
+
+
+@pytest.fixture(scope="session")
+def nothing(spark):
+    return spark.createDataFrame([], DOCUMENTS)
+
+
+@pytest.fixture
+def collected():
+    return lambda df: sorted((tuple(row) for row in df.collect()), key=repr)

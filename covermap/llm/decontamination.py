@@ -39,8 +39,9 @@ LEAST_COMMON = 0.75
 LEAST_COMMON_WITH_ANSWER = 0.6
 LEAST_ANSWER = 0.75
 ANSWER_WORDS = 4
-#: Pieces of fewer words must be there entirely.
+#: Pieces of fewer words must be there entirely, one word after the other; still shorter ones say too little to be found.
 SHORT_PIECE = 8
+LEAST_WORDS = 5
 
 _CAPITALS, _SMALL = bytes(range(65, 91)), bytes(range(97, 123))
 _PUNCTUATION = bytes(b for b in range(33, 127) if not chr(b).isalnum() and b != 39)
@@ -77,7 +78,7 @@ def pieces_of(items: list[tuple[object, bytes]]) -> Pieces:
         count = max(1, -(-len(words) // PIECE_WORDS))
         for number in range(count):
             part = words[len(words) * number // count : len(words) * (number + 1) // count]
-            if part:
+            if len(part) >= LEAST_WORDS:
                 ids.append(item_id)
                 pieces.append(part)
     vocabulary = {word: number for number, word in enumerate(sorted({word for piece in pieces for word in piece}))}
@@ -201,6 +202,10 @@ def _candidates(words: list[bytes], pieces: Pieces, least_cosine: float) -> Iter
             yield int(first + rich[row]) * STRIDE, int(piece), float(cosines[row, piece])
 
 
+def _contains(words: list[bytes], piece: list[bytes]) -> bool:
+    return b" " + b" ".join(piece) + b" " in b" " + b" ".join(words) + b" "
+
+
 def leaked_items(text: bytes, pieces: Pieces, least_cosine: float = LEAST_COSINE) -> list[tuple]:
     """(item_id, first_word, cosine, common_share, answer_share) of each item found in a whole text, best place first."""
     words = plain_words(text)
@@ -216,7 +221,7 @@ def leaked_items(text: bytes, pieces: Pieces, least_cosine: float = LEAST_COSINE
         share = common_subsequence(own, around) / len(own)
         answer = pieces.answer(piece)
         told = sum(word in around for word in answer) / len(answer)
-        if share >= 1.0 if len(own) < SHORT_PIECE else share >= LEAST_COMMON or (share >= LEAST_COMMON_WITH_ANSWER and told >= LEAST_ANSWER):
+        if _contains(around, own) if len(own) < SHORT_PIECE else share >= LEAST_COMMON or (share >= LEAST_COMMON_WITH_ANSWER and told >= LEAST_ANSWER):
             found[item] = (item, start, cosine, share, told)
     return list(found.values())
 
@@ -240,7 +245,8 @@ def benchmark_leaks(documents: DataFrame, benchmark: DataFrame, rank: int = RANK
 
     first_word is the place of the passage, in words; an item of several pieces is found if one of them is.
     Null and empty texts and items contain and match nothing; an item without words is never found. Repeated
-    documents are reported each, items that share an id count as one. An empty benchmark gives no rows. Other columns
+    documents are reported each, items that share an id count as one. Items of fewer than LEAST_WORDS words are too
+    common to be told from clean text, and are not looked for. An empty benchmark gives no rows. Other columns
     are not read.
     """
     schema = "doc_id bigint, item_id bigint, first_word bigint, cosine double, common_share double, answer_share double"

@@ -27,9 +27,9 @@ BLOCKS = 2048
 SHARDS = 16
 SEED = 17
 #: Totals by source go to the driver; more sources than this are refused rather than collected.
-MOST_SOURCES = 20_000
+MOST_SOURCES = 5_000
 #: Untaken documents of each source and size class that may close the gap to its target.
-CANDIDATES = 4
+CANDIDATES = 32
 
 
 def word_count(text: Column) -> Column:

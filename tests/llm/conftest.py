@@ -3,6 +3,7 @@ import random
 import pytest
 
 WORDS = [a + b for a in ("ka", "lo", "mi", "ne", "pu", "ra", "si", "to", "vu", "ze") for b in ("dan", "fel", "gor", "hin", "jas", "kul")]
+WORDS += [a + b for a in WORDS[:60] for b in ("ba", "ce", "di", "fo", "gu", "ly", "mo", "na")]
 DOCUMENTS = "doc_id bigint, text string, lang string, source string, n_chars bigint"
 
 

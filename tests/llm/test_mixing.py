@@ -1,0 +1,101 @@
+import re
+
+import numpy as np
+import pytest
+from hypothesis import given, settings, strategies as st
+
+from covermap.llm.mixing import mix, plan_mix, split_quotas, taken_words, targets
+
+
+def size(text):
+    return len(re.findall(r"[^\x20\x09-\x0D]+", text or ""))
+
+
+def test_targets():
+    assert targets([100, 100, 100]) == pytest.approx([50, 100, 150])
+    # The third may give 3 times its own; the rest goes to the others by weight, of which the second is then bounded too.
+    assert targets([1000, 10, 10]) == pytest.approx([960, 30, 30])
+    assert targets([0, 0]) == [0, 0] and targets([]) == []
+
+
+@settings(max_examples=60, deadline=None)
+@given(st.lists(st.integers(0, 10_000), min_size=1, max_size=12))
+def test_targets_by_their_definition(sizes):
+    found = targets(sizes)
+    assert sum(found) == pytest.approx(sum(sizes), abs=1e-6)
+    assert all(target <= 3 * own + 1e-6 for target, own in zip(found, sizes))
+    free = [target / (i % 3 + 1) for i, (target, own) in enumerate(zip(found, sizes)) if target < 3 * own - 1e-6]
+    assert not free or max(free) == pytest.approx(min(free))
+    bounded = [3 * own / (i % 3 + 1) for i, (target, own) in enumerate(zip(found, sizes)) if target >= 3 * own - 1e-6]
+    assert not free or not bounded or max(bounded) <= min(free) + 1e-6
+
+
+@settings(max_examples=40, deadline=None)
+@given(st.lists(st.integers(0, 400), min_size=1, max_size=8), st.integers(1, 17))
+def test_split_is_exact_and_even(quotas, shards):
+    found = split_quotas(quotas, shards, 3)
+    assert found.sum(axis=0).tolist() == quotas and found.min() >= 0
+    assert found.sum(axis=1).max() - found.sum(axis=1).min() <= 1
+    assert (found == split_quotas(quotas, shards, 3)).all()
+
+
+def test_split_is_proportional_on_average():
+    draws = np.mean([split_quotas([300, 100], 4, seed) for seed in range(200)], axis=0)
+    assert np.abs(draws - [[75, 25]]).max() < 2
+
+
+@pytest.fixture(scope="module")
+def many(spark):
+    draw = np.random.default_rng(8)
+    rows = [(i, "w " * int(draw.integers(0, 60) if i % 50 else 900), None if i % 7 == 0 else f"s{i % 7 % 4}") for i in range(2000)]
+    return spark.createDataFrame(rows, "doc_id bigint, text string, source string").repartition(5)
+
+
+def test_taken_words_come_near_the_targets(many):
+    rows = many.collect()
+    found = taken_words(many).collect()
+    sizes = {}
+    for row in rows:
+        sizes[row.source] = sizes.get(row.source, 0) + size(row.text)
+    names = sorted(sizes, key=lambda s: (s is None, (s or "").encode()))
+    wanted = dict(zip(names, targets([sizes[name] for name in names])))
+    source_of = {row.doc_id: row.source for row in rows}
+    text_of = {row.doc_id: row.text for row in rows}
+    taken = dict.fromkeys(names, 0)
+    for row in found:
+        source = source_of[row.doc_id]
+        assert (row.size, row.source_size) == (size(text_of[row.doc_id]), sizes[source]) and row.target == pytest.approx(wanted[source])
+        assert row.taken <= 3 * row.size and row.taken == row.size * row.times and len(row.shards) == row.times
+        taken[source] += row.taken
+    assert len(found) == 2000
+    assert max(abs(taken[name] - wanted[name]) / wanted[name] for name in names) <= 0.005
+
+
+def test_reruns_and_partitions_agree(many, collected):
+    first = collected(taken_words(many))
+    assert collected(taken_words(many)) == first and collected(taken_words(many.repartition(2))) == first
+
+
+def test_shards_are_even_in_blocks(many):
+    shards = [shard for row in plan_mix(many, blocks=256, shards=8).collect() for shard in row.shards]
+    counts = np.bincount(shards, minlength=8)
+    assert len(counts) == 8 and counts.min() > 0.7 * counts.mean()
+
+
+def test_mix_repeats_whole_rows(documents, rows_of):
+    plan = plan_mix(documents)
+    times = {}
+    for row in plan.collect():
+        times[row.doc_id, row.size] = times.get((row.doc_id, row.size), 0) + row.times
+    drawn = mix(documents, plan)
+    assert drawn.columns == documents.columns
+    found = {}
+    for row in drawn.collect():
+        found[row.doc_id, size(row.text)] = found.get((row.doc_id, size(row.text)), 0) + 1
+    assert found == {key: n for key, n in times.items() if n}
+
+
+def test_empty_table_and_sources_without_words(spark, nothing):
+    assert taken_words(nothing).collect() == [] and mix(nothing).collect() == []
+    rows = spark.createDataFrame([(1, None, "a"), (2, " ", None)], "doc_id bigint, text string, source string")
+    assert sorted((r.doc_id, r.size, r.target, r.taken) for r in taken_words(rows).collect()) == [(1, 0, 0.0, 0), (2, 0, 0.0, 0)]

@@ -22,6 +22,8 @@ PRIMES = (2147483647, 2147483629)
 BASES = (1103515245, 654435769)
 #: So short that a sum of byte times power below 2**31 stays under 2**64.
 CHUNK_BYTES = 1 << 18
+#: Ways into which the rows of one fingerprint are split, so that a very large group is not one task's.
+SALTS = 16
 
 _SPACES = b" \t\n\r\x0b\x0c"
 
@@ -108,7 +110,9 @@ def confirmed(documents: DataFrame, repeated: DataFrame, chunk_bytes: int = CHUN
     ``repeated`` holds the fingerprints that occur more than once. Their texts are joined chunk by chunk
     with the first text's chunks; no task ever holds a group, and a large group is split by the join.
     """
-    texts = fingerprints(documents, chunk_bytes, with_chunks=True).join(repeated, "fingerprint", "left_semi")
+    salted = repeated.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    texts = (fingerprints(documents, chunk_bytes, with_chunks=True)
+             .withColumn("salt", F.pmod(F.xxhash64("doc_id"), F.lit(SALTS)).cast("int")).join(salted, ["fingerprint", "salt"], "left_semi"))
     chunks = kept(texts.select("fingerprint", "text_sha256", "doc_id", F.posexplode("chunks").alias("number", "chunk")))
     first = chunks.groupBy("fingerprint", "number").agg(
         F.min_by("chunk", F.struct(F.col("doc_id").isNull(), "doc_id", "text_sha256")).alias("first_chunk"))

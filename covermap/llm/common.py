@@ -6,6 +6,7 @@ exactly how Python splits bytes; A-Z are lower-cased byte by byte, so other lett
 
 from __future__ import annotations
 
+import gc
 import uuid
 import zlib
 from collections.abc import Callable, Iterator
@@ -39,6 +40,12 @@ def kept(df: DataFrame, codec: str = "zstd") -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def release(spark: SparkSession) -> None:
+    """Let Spark delete the shuffle files of finished steps now; it does so when the driver's garbage is collected."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 def remainder(doc_id: Column, divisor: int) -> Column:
     """crc32 of the id's decimal text, modulo the divisor; a null id counts as the empty text (0)."""
     return F.crc32(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary")) % divisor

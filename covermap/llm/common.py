@@ -26,11 +26,8 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def shared_folder(spark: SparkSession) -> str:
     """The folder named in spark.checkpoint.dir; where none is named, one in the warehouse, which executors share too."""
-    folder = spark.conf.get(SETTING, None)
-    if folder is None:
-        folder = spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/kept"
-        spark.conf.set(SETTING, folder)
-    return folder.rstrip("/")
+    folder = spark.conf.get(SETTING, None) or spark.sparkContext.getCheckpointDir()
+    return (folder or spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/kept").rstrip("/")
 
 
 def kept(df: DataFrame, codec: str = "zstd") -> DataFrame:

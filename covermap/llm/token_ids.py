@@ -11,9 +11,9 @@
 from __future__ import annotations
 
 import os
-import re
 import uuid
 import zlib
+from array import array
 from collections.abc import Iterator
 from itertools import chain
 
@@ -28,9 +28,10 @@ from covermap.llm.rans import Block, Coder, scaled_frequencies
 END_ID = 1
 BLOCK_TOKENS = 1 << 20
 #: Words remembered by a Python worker.
-REMEMBERED = 500_000
-# Letters, of which bytes beyond ASCII may be some, and a comma or full stop that follows an ASCII one.
-_LETTERS = re.compile(rb"([A-Za-z\x80-\xff]*[A-Za-z])([.,]?)\Z")
+REMEMBERED = 800_000
+_LETTERS = bytes(b for b in range(256) if b >= 128 or chr(b).isalpha())
+_STOPS = (b",", b".")
+
 
 _BLOCK_SCHEMA = ("range_no int, block_no int, doc_ids array<bigint>, lengths array<bigint>, n_tokens bigint, lanes int, words binary, "
                  "states array<binary>, offsets array<bigint>, checksums array<bigint>")
@@ -54,7 +55,7 @@ class WordTokenizer:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_str(definition)
-        self.kind = f"<u{width}"
+        self.kind = {2: "H", 4: "I"}[width]
         # Where the tokenizer lower-cases, and parts a comma or full stop from letters, words share their known forms.
         normalizer, splitter = self.tokenizer.normalizer, self.tokenizer.pre_tokenizer
         self.lowers = normalizer is not None and normalizer.normalize_str("AZ") == "az"
@@ -62,15 +63,10 @@ class WordTokenizer:
         self.known: dict[bytes, bytes] = {}
         self.before: dict[bytes, bytes] = {}
 
-    def _form(self, word: bytes) -> tuple[bytes, ...]:
-        """The parts whose ids, one after the other, are the word's."""
-        letters = _LETTERS.match(word)
-        if not letters:
-            return (word,)
-        plain = letters.group(1).lower() if self.lowers else letters.group(1)
-        if not letters.group(2):
-            return (plain,)
-        return (plain, letters.group(2)) if self.parts else (plain + letters.group(2),)
+    def _form(self, word: bytes) -> bytes:
+        """The word, or a form that more words share: small letters, without a comma or full stop at the end."""
+        plain = word[:-1] if self.parts and word.endswith(_STOPS) and word[-2:-1].isalpha() else word
+        return word if plain.translate(None, _LETTERS) else plain.lower() if self.lowers else plain
 
     def ids(self, texts: list[bytes]) -> list[bytes]:
         """As little-endian numbers."""
@@ -82,13 +78,17 @@ class WordTokenizer:
         fresh = set(chain.from_iterable(split)).difference(known)
         before = self.before
         known.update((word, before[word]) for word in fresh if word in before)
-        forms = {word: self._form(word) for word in fresh if word not in known}
-        wanted = set(chain.from_iterable(forms.values())).difference(known)
+        lacking = [word for word in fresh if word not in known]
+        forms = list(map(self._form, lacking))
+        wanted = set(forms).difference(known)
         known.update((word, before[word]) for word in wanted if word in before)
         new = [word for word in wanted if word not in known]
+        new += [stop for stop in _STOPS if stop not in known]
         found = self.tokenizer.encode_batch_fast([word.decode("utf-8", "replace") for word in new], add_special_tokens=False)
-        known.update((word, np.array(one.ids, dtype=self.kind).tobytes()) for word, one in zip(new, found))
-        known.update((word, b"".join(map(known.__getitem__, parts))) for word, parts in forms.items())
+        known.update((word, array(self.kind, one.ids).tobytes()) for word, one in zip(new, found))
+        for word, form in zip(lacking, forms):
+            if word is not form:
+                known[word] = known[form] + known[word[-1:]] if len(word) > len(form) else known[form]
         return [b"".join(map(known.__getitem__, words)) for words in split]
 
 

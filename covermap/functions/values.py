@@ -46,12 +46,6 @@ def is_fixed_width(data_type: T.DataType) -> bool:
         data_type, (*_WHOLE, T.BooleanType, T.DateType, T.TimestampType, T.TimestampNTZType))
 
 
-def is_present(value: str, data_type: T.DataType) -> str:
-    """Neither null nor NaN."""
-    present = f"{value} IS NOT NULL"
-    return f"({present} AND NOT isnan({value}))" if _is_floating(data_type) else f"({present})"
-
-
 def _one_form(value: str, data_type: T.DataType, depth: int = 0) -> str:
     """Rewrite a nested value so that equal values look the same: map entries sorted, no -0.0."""
     item = f"x{depth}"

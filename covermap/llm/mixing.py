@@ -26,6 +26,8 @@ MOST_REPEATS = 3
 BLOCKS = 2048
 SHARDS = 16
 SEED = 17
+#: Pieces of a shard that different tasks may shuffle.
+PIECES = 1 << 14
 #: Totals by source go to the driver; more sources than this are refused rather than collected.
 MOST_SOURCES = 5_000
 #: Untaken documents of each source and size class that may close the gap to its target.
@@ -184,7 +186,10 @@ def _fillers(taken: DataFrame) -> DataFrame:
 
 
 def mix(documents: DataFrame, plan: DataFrame | None = None, seed: int = SEED) -> DataFrame:
-    """The drawn documents with all their columns: each as often as it is taken, dealt to shards and shuffled there."""
+    """The drawn documents with all their columns: each as often as it is taken, dealt to shards and shuffled there.
+
+    A shard that is too large for a task is shuffled in pieces, to which its rows are dealt by hash.
+    """
     plan = plan_mix(documents, seed=seed) if plan is None else plan
     place = F.xxhash64(F.lit(seed), F.col("doc_id").cast("bigint"), F.xxhash64(F.col("text").cast("string")))
     # Rows that share id and place are equal, and are taken alike but for the place of the cut.
@@ -193,7 +198,7 @@ def mix(documents: DataFrame, plan: DataFrame | None = None, seed: int = SEED) -
     numbered = documents.select(place.alias("_mix_place"), F.struct(*[documents[name] for name in names]).alias("_mix_row"))
     drawn = (numbered.join(turns.select(F.col("place").alias("_mix_place"), "shards"), "_mix_place")
              .select("_mix_row", "_mix_place", F.posexplode("shards").alias("_mix_turn", "_mix_shard")))
-    shuffled = (drawn.repartition("_mix_shard", F.pmod("_mix_place", F.lit(16)))
+    shuffled = (drawn.repartition("_mix_shard", F.pmod("_mix_place", F.lit(PIECES)))
                 .sortWithinPartitions("_mix_shard", F.xxhash64(F.lit(seed + 1), "_mix_place", "_mix_turn")))
     return shuffled.select(*[F.col("_mix_row").getField(name).alias(name) for name in names])
 

@@ -17,7 +17,7 @@ from dataclasses import dataclass
 import numpy as np
 
 PRECISION = 20
-LANES = 1024
+LANES = 2048
 #: Tokens between two checkpoints; a multiple of the lanes.
 SEGMENT_TOKENS = 1 << 18
 

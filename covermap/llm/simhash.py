@@ -248,14 +248,43 @@ def links(distinct: DataFrame, radius: int = RADIUS, partitions: int = PARTITION
     return found.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
 
-def _components(rows: DataFrame, radius: int, partitions: int) -> DataFrame:
-    """(fp, component_id, component) for the fingerprints of (doc_id, fp) rows; component names the group by its smallest fingerprint."""
+def _grouped(rows: DataFrame, radius: int, partitions: int) -> DataFrame:
+    """(fp, lowest, component) for the fingerprints of (doc_id, fp) rows; component names the group by its smallest fingerprint."""
     distinct = kept(rows.groupBy("fp").agg(F.min("doc_id").alias("lowest")))
     found = components(links(distinct, radius, partitions), "a", "b")
-    grouped = distinct.join(found, distinct["fp"] == found["node"], "left").select("fp", "lowest", F.coalesce("component", "fp").alias("component"))
+    return distinct.join(found, distinct["fp"] == found["node"], "left").select("fp", "lowest", F.coalesce("component", "fp").alias("component"))
+
+
+def _identified(grouped: DataFrame) -> DataFrame:
     return grouped.join(grouped.groupBy("component").agg(F.min("lowest").alias("component_id")), "component")
 
 
+def _components(rows: DataFrame, radius: int, partitions: int) -> DataFrame:
+    """(fp, component_id, component) for the fingerprints of (doc_id, fp) rows."""
+    return _identified(_grouped(rows, radius, partitions))
+
+
+def _wider_components(documents: DataFrame, radius: int, partitions: int, similarity: float) -> DataFrame:
+    """As _components, with groups joined that hold texts of at least ``similarity`` in their five-word shingles."""
+    from covermap.llm import similar_texts
+
+    def signed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for start, texts in slices(batch.column(1)):
+                bands = pa.array(list(similar_texts.band_keys(texts)), pa.list_(pa.int64()))
+                yield pa.RecordBatch.from_arrays(
+                    [batch.column(0).slice(start, len(texts)), pa.array(simhashes(texts).view(np.int64)), pa.array(similar_texts.content_keys(texts)), bands],
+                    names=["doc_id", "fp", "node", "bands"])
+
+    rows = kept(documents.select(F.col("doc_id").cast("bigint"), F.col("text").cast("string")).mapInArrow(
+        signed, "doc_id bigint, fp bigint, node bigint, bands array<bigint>"))
+    grouped = kept(_grouped(rows.select("doc_id", "fp"), radius, partitions))
+    nodes = rows.dropDuplicates(["node"]).join(grouped, "fp").select("node", "bands", F.col("component").alias("grp"))
+    joined = components(similar_texts.similar_groups(documents, kept(nodes), similarity), "a", "b").withColumnRenamed("component", "joined")
+    wider = grouped.join(joined, grouped["component"] == joined["node"], "left")
+    return _identified(kept(wider.select("fp", "lowest", F.coalesce("joined", "component").alias("component"))))
+
+
 def near_duplicates(documents: DataFrame, radius: int = RADIUS, partitions: int = PARTITIONS) -> DataFrame:
     """(doc_id, fingerprint, component_id), one row per row of ``documents``.
 
@@ -269,13 +298,18 @@ def near_duplicates(documents: DataFrame, radius: int = RADIUS, partitions: int
     return rows.join(named, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-def first_of_each(documents: DataFrame, radius: int = RADIUS, partitions: int = PARTITIONS) -> DataFrame:
+def first_of_each(documents: DataFrame, radius: int = RADIUS, partitions: int = PARTITIONS, similarity: float | None = None) -> DataFrame:
     """The rows of ``documents``, all columns, that stay: of each group of near duplicates the smallest doc_id.
 
+    With ``similarity``, texts whose five-word shingles have at least that Jaccard similarity are near duplicates too.
+
     A row without an id stays only where its group has none with one. Rows that repeat the id and fingerprint of
     the one that stays are the same document and stay with it.
     """
-    named = _components(kept(fingerprints(documents)), radius, partitions)
+    if similarity is None:
+        named = _components(kept(fingerprints(documents)), radius, partitions)
+    else:
+        named = _wider_components(documents, radius, partitions, similarity)
     stay = (named.where(F.col("lowest").eqNullSafe(F.col("component_id"))).groupBy("component")
             .agg(F.min("fp").alias("stay_fp"), F.first("component_id").alias("stay_id")).drop("component"))
     place, schema = documents.columns.index("text"), documents.schema

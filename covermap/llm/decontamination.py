@@ -3,7 +3,7 @@
 1. Benchmark items are cut into pieces of at most PIECE_WORDS words. The words' document frequencies are counted
    over all documents.
 2. A randomised singular value decomposition of the pieces' TF-IDF matrix, computed by distributed passes over its rows,
-   gives each word a place in a latent space of RANK dimensions.
+   gives each word a place in a latent space of a dimension for each piece, at most RANK in a block of items.
 3. Every document is read whole, as passages of PASSAGE_WORDS words that start every STRIDE words. A passage's latent vector
    is compared with those of all pieces of a block of items by cosine (a stated query set against all rows, in
    blocks). Passages too poor in benchmark words to reach the cosine are passed over, which loses none.
@@ -29,6 +29,7 @@ from covermap.llm.common import slices
 PIECE_WORDS = 64
 PASSAGE_WORDS = 32
 STRIDE = 16
+#: Pieces in a block of items, each with a dimension of its own: with fewer dimensions than pieces, whole passages would be missed.
 RANK = 256
 OVERSAMPLING = 8
 #: So many items are looked for in one pass over the documents; it bounds what is broadcast.
@@ -227,17 +228,29 @@ def leaked_items(text: bytes, pieces: Pieces, least_cosine: float = LEAST_COSINE
 
 
 def _blocks(documents: DataFrame, benchmark: DataFrame, rank: int) -> Iterator[Pieces]:
-    """The benchmark, which is a query set, in blocks of ITEMS_PER_PASS items in the order of their ids."""
+    """The benchmark, which is a query set, in blocks in the order of the items' ids.
+
+    A block has at most ITEMS_PER_PASS items and ``rank`` pieces, so that its latent space has a dimension for each piece and
+    loses none; an item of more pieces is a block of its own, with as many dimensions.
+    """
     block: list[tuple[object, bytes]] = []
+    count = 0
     rows = benchmark.select(F.col("item_id").cast("bigint"), F.col("text").cast("string")).orderBy("item_id", "text")
+
+    def indexed() -> Iterator[Pieces]:
+        pieces = pieces_of(block)
+        if pieces.words:
+            yield _index(documents.sparkSession, documents, pieces, len(pieces.words))
+
     for row in rows.toLocalIterator():
-        block.append((row.item_id, (row.text or "").encode()))
-        if len(block) == ITEMS_PER_PASS:
-            yield _index(documents.sparkSession, documents, pieces_of(block), rank)
-            block = []
-    pieces = pieces_of(block)
-    if pieces.words:
-        yield _index(documents.sparkSession, documents, pieces, rank)
+        item = (row.item_id, (row.text or "").encode())
+        own = len(pieces_of([item]).words)
+        if block and (len(block) == ITEMS_PER_PASS or count + own > rank):
+            yield from indexed()
+            block, count = [], 0
+        block.append(item)
+        count += own
+    yield from indexed()
 
 
 def benchmark_leaks(documents: DataFrame, benchmark: DataFrame, rank: int = RANK) -> DataFrame:

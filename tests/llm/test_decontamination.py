@@ -92,3 +92,16 @@ def test_empty_tables(spark, leaky, benchmark, nothing):
     assert benchmark_leaks(nothing, benchmark).collect() == [] and without_leaks(nothing, benchmark).collect() == []
     none = benchmark.where(F.lit(False))
     assert benchmark_leaks(leaky, none).collect() == [] and without_leaks(leaky, none).count() == leaky.count()
+
+
+def test_recall_over_more_pieces_than_dimensions(spark):
+    """Each of 700 pieces, as it is and with changed words, is found in its documents, and only there."""
+    draw = np.random.default_rng(3)
+    said = lambda words: " ".join(f"w{n}" for n in draw.integers(0, 4000, words))
+    items = [said(64 * (2 if n < 100 else 1) - 24) for n in range(600)]
+    rows = [(n, said(50) + " " + text + " " + said(50)) for n, text in enumerate(items)]
+    rows += [(1000 + n, said(50) + " " + " ".join("changed" if place % 8 == 3 else word for place, word in enumerate(text.split())) + " " + said(50))
+             for n, text in enumerate(items)]
+    found = {(row.doc_id, row.item_id) for row in benchmark_leaks(
+        spark.createDataFrame(rows, "doc_id bigint, text string").repartition(4), spark.createDataFrame(list(enumerate(items)), "item_id bigint, text string")).collect()}
+    assert found == {(n, n) for n in range(600)} | {(1000 + n, n) for n in range(600)}

@@ -1,7 +1,7 @@
 """Secret scans: candidates by shape, and a random forest that removes the false ones.
 
-A candidate is a run of at least LEAST_LENGTH key characters that holds a digit, or the value given to a word such as
-``password``. The forest sees its length, the changes between kinds of characters, how much of it the corpus's
+A candidate is a run of at least LEAST_LENGTH key characters that holds a digit, or the value of LEAST_GIVEN characters of any
+kind or more that is given to a word such as ``password``, as in code, JSON and YAML. The forest sees its length, the changes between kinds of characters, how much of it the corpus's
 own words cover, whether it is part of a path, address or number, and the words around it. It is trained from labelled
 findings; where none are given, those whose format settles the matter are the labels.
 """
@@ -52,10 +52,27 @@ _EMAIL, _IP = re.compile(r"[^@\s]+@[^@\s]+\.[A-Za-z]{2,}\Z"), re.compile(r"\d{1,
 _KEYS = frozenset(KEY_WORDS)
 _KEY_BYTES = frozenset(word.encode() for word in KEY_WORDS)
 _LETTERS = re.compile("[A-Za-z]+")
-
-
-def candidates(text: bytes) -> Iterator[tuple[int, int, bytes]]:
-    """(first byte, end, the word it is given to or nothing) of each candidate in a whole text."""
+_SIGN = re.compile(rb"=>|:=|==|[:=]")
+#: A key word before the sign: alone, as the last part of a longer name, or, from six letters on, at the end of any name.
+_NAME = re.compile(
+    rb"(?:(?<![A-Za-z])|(?<=[a-z])(?=[A-Z])|(?=[A-Za-z_]{6}))((?i:%s))[\"'`\\\]]{0,3}[ \t]*\Z" % b"|".join(sorted(_KEY_BYTES, key=lambda word: (-len(word), word))))
+_VALUE = re.compile(rb"[ \t]*(?:(?i:bearer|basic|token)[ \t]+)?(?:(\\?[\"'`])(.{%d,}?)\1|[\"'`]?([^\s\"'`:=][^\s\"'`]{%d,}))" % (LEAST_GIVEN, LEAST_GIVEN - 1))
+
+
+def _given_values(text: bytes) -> Iterator[tuple[int, int, bytes]]:
+    """(first byte, end, key word) of each value given to a key word, quoted or not, of at least LEAST_GIVEN characters of any kind."""
+    for sign in _SIGN.finditer(text):
+        name = _NAME.search(text[max(0, sign.start() - 40) : sign.start()])
+        value = name and _VALUE.match(text, sign.end())
+        if not value:
+            continue
+        if value.group(2) is not None:
+            yield *value.span(2), name.group(1).lower()
+        elif len(own := value.group(3).rstrip(b".,;:=)]}>")) >= LEAST_GIVEN:
+            yield value.start(3), value.start(3) + len(own), name.group(1).lower()
+
+
+def _runs(text: bytes) -> Iterator[tuple[int, int, bytes]]:
     for run in _RUN.finditer(text):
         found, start = run.group(), run.start()
         stripped = found.rstrip(b".:=")
@@ -66,6 +83,24 @@ def candidates(text: bytes) -> Iterator[tuple[int, int, bytes]]:
             yield start, start + len(stripped), b""
 
 
+def candidates(text: bytes) -> Iterator[tuple[int, int, bytes]]:
+    """(first byte, end, the word it is given to or nothing) of each candidate in a whole text; a run inside a given value is a part of it."""
+    values = {(start, end): word for start, end, word in _given_values(text)}
+    if not values:
+        yield from _runs(text)
+        return
+    found = dict(values)
+    spans, first, since, reach = sorted(values), 0, 0, 0
+    for start, end, word in _runs(text):
+        while first < len(spans) and spans[first][0] <= start:
+            if spans[first][1] > reach:
+                since, reach = spans[first]
+            first += 1
+        if not (reach > end or (reach == end and since < start)):
+            found[start, end] = word if not word or word in _KEY_BYTES else values.get((start, end), word)
+    yield from ((start, end, word) for (start, end), word in sorted(found.items()))
+
+
 def _changes(text: str, kind) -> int:
     kinds = [kind(c) for c in text]
     return sum(a is not None and b is not None and a != b for a, b in zip(kinds, kinds[1:]))
@@ -116,7 +151,8 @@ def format_label(own: str, values: list[float]) -> float | None:
     value = dict(zip(FEATURES, values))
     if value["issued"]:
         return 1.0
-    if value["number"] or value["address"] or value["path"] >= 2 or value["dictionary_cover"] >= 0.6:
+    given = value["given"] and value["key_word_near"] and value["digits"]
+    if value["number"] or value["address"] or value["path"] >= 2 or (value["dictionary_cover"] >= 0.6 and not given):
         return 0.0
     if value["given"] and value["key_word_near"] and value["digits"] and value["digits"] < 1 and value["letter_digit_changes"] >= 0.15:
         return 1.0

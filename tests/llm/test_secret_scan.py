@@ -22,6 +22,21 @@ def test_candidates():
     assert found("4041894974608795 me.42@mail8.example.com")[0] == ("4041894974608795", "")
 
 
+@pytest.mark.parametrize("text, value, word", [
+    ('password = "hunter22"', "hunter22", "password"), ('{"user": "me", "password": "s3cr3tPw1"}', "s3cr3tPw1", "password"),
+    ("password: Tr0ub4dor&3", "Tr0ub4dor&3", "password"), ("secret_key: qwertyuiopasdfghjkl", "qwertyuiopasdfghjkl", "secret_key"),
+    ("DB_PASSWORD=correcthorse", "correcthorse", "password"), ("dbPassword := 'a b c d 1'", "a b c d 1", "password"),
+    ("Authorization: Bearer abcdefgh", "abcdefgh", "authorization"), ('{\\"token\\": \\"qwerty\\"}', "qwerty", "token"),
+    ("password: \"mixed 4041894974608795x!\"", "mixed 4041894974608795x!", "password"), ("note: pwd = ünïcödé;", "ünïcödé", "pwd"),
+])
+def test_values_given_to_key_words(text, value, word):
+    assert found(text) == [(value, word)]
+
+
+def test_other_names_give_no_values():
+    assert found("monkey: banana, the keys: others; tokenizer = another") == [] and found('password = "abc"') == []
+
+
 def test_features_and_cover():
     assert dictionary_cover("riverbank99", frozenset({"river", "bank", "riverb"})) == (pytest.approx(6 / 11), 6)
     text = f'the token = "{HEX}" here'.encode()

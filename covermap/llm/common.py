@@ -19,6 +19,13 @@ WORD = r"[^\x20\x09-\x0D]+"
 #: Texts are worked on in slices of about so many bytes, so that a task's memory does not follow its input.
 SLICE_BYTES = 4 << 20
 
+_ALPHANUMERIC = bytearray(b" " * 128 + bytes(range(128, 256)))
+for _byte in b"abcdefghijklmnopqrstuvwxyz0123456789":
+    _ALPHANUMERIC[_byte] = _byte
+for _byte in b"ABCDEFGHIJKLMNOPQRSTUVWXYZ":
+    _ALPHANUMERIC[_byte] = _byte + 32
+_ALPHANUMERIC = bytes(_ALPHANUMERIC)
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -52,6 +59,11 @@ def id_remainder(doc_id: int | None, divisor: int) -> int:
     return zlib.crc32(b"" if doc_id is None else str(doc_id).encode()) % divisor
 
 
+def alphanumeric_words(text: bytes) -> list[bytes]:
+    """Runs of a-z (A-Z lower-cased), digits and all characters beyond ASCII."""
+    return text.translate(_ALPHANUMERIC).split()
+
+
 def text_bytes(column: pa.Array) -> list[bytes]:
     """The texts as bytes; null is empty."""
     return [value or b"" for value in column.cast(pa.binary()).to_pylist()]

@@ -73,7 +73,7 @@ def test_empty_documents(spark, nothing):
 
 def test_all_are_registered():
     names = [name for name in driver.queries() if name.startswith("op")]
-    assert sorted(int(name[2:].split("_")[0]) for name in names) == list(range(1, 11))
+    assert sorted(int(name[2:].split("_")[0]) for name in names) == list(range(1, 14))
     assert driver.queries()["pipeline"].__wrapped__ is corpus_pipeline.run and set(QUERIES) <= set(driver.queries())
     assert set(ORACLE_SQL) <= set(driver.oracle_sql())
 

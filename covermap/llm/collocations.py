@@ -2,11 +2,10 @@
 
 1. Words are counted by language. Phrases can only be frequent if all their parts are, so the text is written once more as
    numbers of the frequent words, with 0 for all other words and for the ends of pieces.
-2. All pairs of frequent words are candidates: their trie is complete, state ``first`` goes to ``(first, second)``, and need not
-   be stored. Tasks count its accepting states, and the shuffle sums them.
-3. From three words on, candidates are the phrases of the text whose parts without the first and without the last word
-   are both frequent. They go to double-array tries of bounded size, which are broadcast in turn. Numpy moves the states of all
-   text positions level by level, bincounts accepting states, and the shards' counts are summed.
+2. Level by level, candidates are the phrases of the text whose parts without the first and without the last word are both
+   frequent, and whose hash falls in a bucket that the text meets often enough. So candidates are few, and no frequent phrase is lost.
+3. Candidates go to double-array tries of bounded size, which are broadcast in turn. Numpy moves the states of all text positions
+   through the levels, bincounts accepting states, and the shards' counts are summed.
 4. Each cut of a frequent phrase meets the counts of its two parts in a join. All counts are exact, products are decimals.
 
 Passes read the numbers, not the texts. A higher ``least`` makes fewer candidates, and so fewer tries and passes.
@@ -35,12 +34,17 @@ DICTIONARY = 1 << 20
 TRIE_PHRASES = 1 << 18
 #: Numbers that are walked over together.
 WALK_WORDS = 1 << 20
+#: The hashes' buckets are 2 ** bits, about one for four words of the text within these bounds. When they are too few, more
+#: candidates pass, never fewer.
+LEAST_BITS = 12
+MOST_BITS = 24
 #: Distinct entries that a task holds before it sends them on.
 HELD = 1 << 20
 SALTS = 16
 #: Numbers of the words beyond the dictionary are dealt within so many groups.
 _GROUPS = 256
 
+_FACTOR = np.uint64(0x9E3779B97F4A7C15)
 _END = b"."
 _BYTES = bytearray(range(256))
 for _byte in range(ord("A"), ord("Z") + 1):
@@ -175,11 +179,6 @@ def _texts(column: pa.Array) -> Iterator[np.ndarray]:
         yield np.frombuffer(b"".join(part), dtype="<i4")
 
 
-def _folded(keys: list[np.ndarray], counts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
-    every, place = np.unique(np.concatenate(keys), return_inverse=True)
-    return every, np.bincount(place, weights=np.concatenate(counts), minlength=len(every)).astype(np.int64)
-
-
 def _names(size: int) -> list[str]:
     return [f"p{place}" for place in range(1, size + 1)]
 
@@ -193,34 +192,74 @@ def _batch(phrases: np.ndarray, *more: np.ndarray) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays(columns, names=_names(phrases.shape[1]) + ["a"] * len(more))
 
 
-def _pair_counts(numbers: DataFrame) -> DataFrame:
-    """(p1, p2, a) of each task: the complete trie of pairs, of which only the accepting states that occur are counted."""
+def _buckets(keys: np.ndarray, bits: int) -> np.ndarray:
+    return ((keys * _FACTOR) >> np.uint64(64 - bits)).astype(np.int64)
 
-    def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        keys, counts, held = [], [], 0
 
-        def flush() -> pa.RecordBatch:
-            states, sums = _folded(keys, counts)
-            return _batch(np.stack([states >> 32, states & 0xFFFFFFFF], axis=1), sums)
+class _Extensions:
+    """Phrases of one word more than the frequent ones of a trie (or single words, without one) as a text has them."""
+
+    def __init__(self, trie: DoubleArray | None, alone: bool):
+        self.trie, self.alone = trie, alone
+        if trie is not None:
+            hashes = np.zeros(len(trie.phrases), dtype=np.uint64)
+            for column in trie.phrases.T:
+                hashes = (hashes ^ column.astype(np.uint64)) * _FACTOR
+            self.hashes = hashes
+
+    def of(self, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(prefixes, last words, hashes); where the trie holds all frequent phrases, the parts without the first word are frequent too."""
+        if self.trie is None:
+            both = (ids[:-1] > 0) & (ids[1:] > 0)
+            first, last = ids[:-1][both].astype(np.int64), ids[1:][both].astype(np.int64)
+            return first, last, (first.astype(np.uint64) * _FACTOR) ^ last.astype(np.uint64)
+        at, row = self.trie.walk(ids)
+        if self.alone:
+            begins = np.zeros(len(ids) + 1, dtype=bool)
+            begins[at] = True
+            at, row = at[begins[at + 1]], row[begins[at + 1]]
+        inside = at + self.trie.depth < len(ids)
+        at, row = at[inside], row[inside]
+        last = ids[at + self.trie.depth].astype(np.int64)
+        at, row, last = at[last > 0], row[last > 0].astype(np.int64), last[last > 0]
+        return row, last, self.hashes[row] ^ last.astype(np.uint64)
+
+    def phrases(self, keys: np.ndarray) -> np.ndarray:
+        first = (keys >> 32)[:, None] if self.trie is None else self.trie.phrases[keys >> 32]
+        return np.column_stack([first, keys & 0xFFFFFFFF])
+
+
+def _full_buckets(numbers: DataFrame, shared, bits: int, least: int) -> np.ndarray:
+    """A bit for each bucket of hashes that the texts' extensions meet ``least`` times or more: no rarer one can be frequent.
+
+    Tasks bincount into arrays of a fixed size, cut off at ``least``, which are summed by parts; the bits reach the driver.
+    """
+    least, part = min(least, 65_535), 1 << min(bits, 16)
 
+    def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(1 << bits, dtype=np.int32)
         for batch in batches:
             for ids in _texts(batch.column(0)):
-                first, second = ids[:-1], ids[1:]
-                both = (first > 0) & (second > 0)
-                states, own = np.unique((first[both].astype(np.int64) << 32) | second[both], return_counts=True)
-                keys.append(states)
-                counts.append(own)
-                held += len(states)
-                if held > HELD:
-                    states, sums = _folded(keys, counts)
-                    keys, counts, held = [states], [sums], len(states)
-                    if held > HELD // 2:
-                        yield flush()
-                        keys, counts, held = [], [], 0
-        if held:
-            yield flush()
-
-    return numbers.mapInArrow(counted, _schema(2, "a bigint"))
+                np.add.at(total, _buckets(shared.value.of(ids)[2], bits), np.int32(1))
+        total = np.minimum(total, least).astype("<u2").reshape(-1, part)
+        for number in np.flatnonzero(total.any(axis=1)):
+            yield pa.RecordBatch.from_arrays([pa.array([number], pa.int32()), pa.array([total[number].tobytes()], pa.binary())], names=["part", "counts"])
+
+    def summed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        totals: dict[int, np.ndarray] = {}
+        for batch in batches:
+            for number, raw in zip(batch.column(0).to_pylist(), batch.column(1)):
+                counts = np.frombuffer(raw.as_py(), dtype="<u2")
+                totals[number] = totals.get(number, 0) + counts.astype(np.int64)
+        for number, total in totals.items():
+            yield pa.RecordBatch.from_arrays([pa.array([number], pa.int32()), pa.array([np.packbits(total >= least).tobytes()], pa.binary())], names=["part", "counts"])
+
+    schema = "part int, counts binary"
+    parts = numbers.mapInArrow(counted, schema).repartition("part").mapInArrow(summed, schema)
+    result = np.zeros((1 << bits) // 8, dtype=np.uint8)
+    for row in parts.collect():
+        result[row.part * part // 8 : (row.part + 1) * part // 8] = np.frombuffer(bytes(row.counts), dtype=np.uint8)
+    return result
 
 
 def _tries(phrases: DataFrame, size: int, most: int) -> Iterator[DoubleArray]:
@@ -231,35 +270,43 @@ def _tries(phrases: DataFrame, size: int, most: int) -> Iterator[DoubleArray]:
         yield DoubleArray(own.select(*_names(size)).toPandas().to_numpy(dtype=np.int32).reshape(-1, size))
 
 
-def _safe_candidates(numbers: DataFrame, frequent: DataFrame, size: int, most: int) -> DataFrame:
-    """(p1, ...): the phrases of the text of one word more than the ``frequent`` ones, whose first and last parts are all frequent."""
-    context, found = numbers.sparkSession.sparkContext, []
-    for trie in _tries(frequent, size, most):
-        shared = context.broadcast(trie)
+def _safe_candidates(numbers: DataFrame, frequent: DataFrame, size: int, least: int, most: int, bits: int) -> DataFrame:
+    """(p1, ...): the phrases of the text of one word more than the ``frequent`` ones that can be frequent.
 
-        def extended(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
-            trie, seen = shared.value, np.empty(0, dtype=np.int64)
-            whole = seen
+    Their first and last parts are all frequent, and their bucket is full.
+    """
+    context, found = numbers.sparkSession.sparkContext, []
+    tries = [None] if size == 1 else _tries(frequent, size, most)
+    alone = size == 1 or frequent.count() <= most
+    for trie in tries:
+        shared = context.broadcast(_Extensions(trie, alone))
+        full = context.broadcast(_full_buckets(numbers, shared, bits, least))
+
+        def extended(batches: Iterator[pa.RecordBatch], shared=shared, full=full) -> Iterator[pa.RecordBatch]:
+            extensions, seen = shared.value, np.empty(0, dtype=np.int64)
             for batch in batches:
                 for ids in _texts(batch.column(0)):
-                    at, row = trie.walk(ids)
-                    inside = at + size < len(ids)
-                    at, row = at[inside], row[inside]
-                    after = ids[at + size]
-                    seen = np.union1d(seen, (row[after > 0].astype(np.int64) << 32) | after[after > 0])
+                    first, last, hashes = extensions.of(ids)
+                    bucket = _buckets(hashes, bits)
+                    there = (full.value[bucket >> 3] >> (7 - (bucket & 7)).astype(np.uint8)) & 1 == 1
+                    seen = np.union1d(seen, (first[there] << 32) | last[there])
                     if len(seen) > HELD:
-                        yield _batch(np.column_stack([trie.phrases[seen >> 32], seen & 0xFFFFFFFF]))
-                        seen = whole
+                        yield _batch(extensions.phrases(seen))
+                        seen = seen[:0]
             if len(seen):
-                yield _batch(np.column_stack([trie.phrases[seen >> 32], seen & 0xFFFFFFFF]))
+                yield _batch(extensions.phrases(seen))
 
-        # Written here, so that the broadcast can go before the next trie comes.
+        # Written here, so that the broadcasts can go before the next trie comes.
         found.append(kept(numbers.mapInArrow(extended, _schema(size + 1)).distinct()))
         shared.destroy()
+        full.destroy()
     if not found:
         return numbers.sparkSession.createDataFrame([], _schema(size + 1))
+    candidates = reduce(DataFrame.union, found)
+    if alone:
+        return candidates
     later = frequent.select(*[F.col(f"p{place}").alias(f"p{place + 1}") for place in range(1, size + 1)])
-    return kept(reduce(DataFrame.union, found).join(later, _names(size + 1)[1:], "left_semi").select(*_names(size + 1)))
+    return kept(candidates.join(later, _names(size + 1)[1:], "left_semi").select(*_names(size + 1)))
 
 
 def _counts(numbers: DataFrame, candidates: DataFrame, size: int, least: int, most: int) -> DataFrame:
@@ -291,7 +338,7 @@ def _salted_join(rows: DataFrame, small: DataFrame, key: str, *, salts: int = SA
 
 
 def collocations(documents: DataFrame, least: int = LEAST, longest: int = LONGEST, top: int = TOP, least_share: int = 100,
-                 dictionary: int = DICTIONARY, trie_phrases: int = TRIE_PHRASES) -> DataFrame:
+                 dictionary: int = DICTIONARY, trie_phrases: int = TRIE_PHRASES, most_bits: int = MOST_BITS) -> DataFrame:
     """(lang, rank, phrase, a, l, r, n, score), at most ``top`` rows a language.
 
     Pieces end at ``.,;:!?`` and line ends, words at spaces and tabs; A-Z are lower-cased. a counts the phrase, l and r the parts
@@ -308,13 +355,11 @@ def collocations(documents: DataFrame, least: int = LEAST, longest: int = LONGES
     numbers = _as_numbers(rows, listed, rest)
     singles = numbered.select(F.col("id").alias("p1"), F.col("n").alias("a"))
     levels = [singles]
+    total = frequent_words.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+    bits = min(max(int(total).bit_length() - 2, LEAST_BITS), most_bits)
     for size in range(2, longest + 1):
-        if size == 2:
-            sums = _pair_counts(numbers).groupBy("p1", "p2").agg(F.sum("a").alias("a"))
-            levels.append(kept(sums.where(F.col("a") >= least)))
-        else:
-            candidates = _safe_candidates(numbers, levels[-1], size - 1, trie_phrases)
-            levels.append(_counts(numbers, candidates, size, least, trie_phrases))
+        candidates = _safe_candidates(numbers, levels[-1], size - 1, least, trie_phrases, bits)
+        levels.append(_counts(numbers, candidates, size, least, trie_phrases))
     phrases = kept(reduce(DataFrame.unionByName, [level.select(F.array(*_names(size)).alias("p"), "a") for size, level in enumerate(levels, 1)]))
     several = phrases.where(F.size("p") > 1)
 

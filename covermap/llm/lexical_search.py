@@ -2,7 +2,8 @@
 
 1. One reading of the documents counts terms and folds each document into a sketch: two rows of coordinates, by hashes of the
    terms, each with the largest count of its terms. A term's impact grows with its count, so the impact of a coordinate's count is the
-   maximum of its terms' impacts. A sketch has sixteen to 32 coordinates a row for each different term.
+   maximum of its terms' impacts. A sketch has sixteen to 32 coordinates a row for each different term, most of
+   them 0, and travels compressed.
 2. A block of queries looks up its terms in every sketch. The sum of the lower of both impacts, weighted, bounds the score from above.
 3. The documents with the highest bounds are scored exactly from their texts; the last place of each query is its threshold.
    No document with a bound below it can have a place, so all documents from there up are scored exactly, and the first are the result.
@@ -16,7 +17,7 @@ from collections import Counter
 from collections.abc import Iterator
 from functools import reduce
 from math import floor, log
-from zlib import crc32
+from zlib import compress, crc32, decompress
 
 import numpy as np
 import pyarrow as pa
@@ -87,7 +88,7 @@ def _indexed(documents: DataFrame) -> DataFrame:
                         counts = Counter(words)
                         frequency.update(counts.keys())
                         bits, sketch = sketch_of(_hashes(list(counts)), np.fromiter(counts.values(), dtype=np.int64, count=len(counts)))
-                        for name, value in zip(rows, (doc_id, len(words), bits, sketch.tobytes())):
+                        for name, value in zip(rows, (doc_id, len(words), bits, compress(sketch.tobytes(), 1))):
                             rows[name].append(value)
                 yield batch_of(len(rows["n"]), rows)
                 if len(frequency) > 400_000:
@@ -142,7 +143,7 @@ class Block:
                 self._at[b] = _coordinates(self.hashes, b)
             by_count = (1_000_000_000 * counts) // (1000 * counts + 20 * self.length_part(n))
             by_count[MOST] = IMPACT_BOUND
-            sketch = np.frombuffer(raw, dtype=np.uint8).reshape(2, -1)
+            sketch = np.frombuffer(decompress(raw), dtype=np.uint8).reshape(2, -1)
             first, second = self._at[b]
             impacts[row] = by_count[np.minimum(sketch[0][first], sketch[1][second])]
         return self._sums(impacts)

@@ -6,7 +6,7 @@ Written from the definitions of the results, per column and per concept, and not
 from __future__ import annotations
 
 from checks.controls import ALIGNED_RULES, SUGGESTIONS, TEMPLATES
-from checks.tables import MISSING, TABLES
+from checks.tables import MISSING, RANGED, TABLES
 from covermap import fixed_values as fixed
 
 DUCKDB_TYPES = {"BIGINT": "bigint", "INTEGER": "int", "VARCHAR": "string", "DOUBLE": "double", "TIMESTAMP": "timestamp_ntz",
@@ -210,6 +210,10 @@ def oracle_sql() -> dict[str, str]:
                    NULL::BIGINT AS rows, NULL::INTEGER AS columns
             UNION ALL SELECT 'orders', 'onelake', 'failed', NULL, NULL
             UNION ALL SELECT 'orders', 'parquet', 'loaded', count(*), (SELECT count(*) FROM (DESCRIBE orders)) FROM orders""",
+        "equi_depth_ranges": "\nUNION ALL ".join(
+            f"SELECT '{table}' AS source_name, '{column}' AS \"column\", count(*) AS rows, TRUE AS whole, TRUE AS even FROM {table}"
+            for table, column in RANGED),
+        "saved_again": _with(_profile_parts(gaps=True), 'SELECT source_name, "column", null_ratio FROM profile'),
         "sample_limit": _sample_limit(),
         "profile_catalog": _with([*_profile_parts(), f"samples AS ({_sample_lines(TABLES, False)})"], """
             SELECT p.* EXCLUDE (distincts), CASE WHEN dtype = 'array<float>' THEN least(3, distincts) || ' samples'
@@ -227,6 +231,10 @@ def oracle_sql() -> dict[str, str]:
         "sample_values": _with(_gap_tables(), _sample_lines(TABLES, True)),
         "approx_distinct": _with(_profile_parts(gaps=True),
                                  'SELECT source_name, "column", rows, nulls, TRUE AS within_error FROM counts'),
+        "bitmap_samples": _with([*_profile_parts(gaps=True), f"samples AS ({_sample_lines(TABLES, True)})"], """
+            SELECT source_name, "column", null_ratio, cardinality_ratio, sample_values
+            FROM profile JOIN samples USING (source_name, "column")"""),
+        "checked_flags": _with(_profile_parts(gaps=True), 'SELECT source_name, "column", null_ratio, is_probable_id FROM profile'),
         "concept_map": _with([*_concept_parts(suggestions=True), f"samples AS ({_sample_lines(TABLES, True)})"], """
             SELECT mapped.* REPLACE (replace(dtype, 'array<float>', 'array<bigint>') AS dtype), sample_values
             FROM mapped JOIN samples USING (source_name, "column")"""),

@@ -2,23 +2,28 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 from dataclasses import replace
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 from checks.controls import ALIGNED_RULES, SUGGESTIONS, TEMPLATES
-from checks.tables import catalog, catalog_with_gaps
+from checks.tables import MISSING, RANGED, catalog, catalog_with_gaps, read_table
 from covermap import fixed_values as fixed
 from covermap.operators.concepts import (
     RULE, SUGGESTED, available_concepts, map_concepts, suggest, unmatched_columns)
 from covermap.operators.profile import count_columns, profile_catalog, profile_table
 from covermap.operators.scoring import (
     gap_report, match_needs, rank_scenarios, readiness_label, scenario_cards, scopes_without, score_templates)
+from covermap.operators.unions import union_all
 from covermap.plans.advice import advise
 from covermap.plans.defaults import concept_rules, concept_suggestions, scenario_templates
+from covermap.sources.ranges import equi_depth_bounds, range_predicates
 from covermap.sources.reading import first_available, load_report, log_table
+from covermap.sources.sinks import REPLACE, save
 from covermap.sources.spec import Source, SourceSpec
+from covermap.sources.statistics import statistics_session
 from covermap.sources.synthetic import synthetic_source
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -63,6 +68,38 @@ def sample_limit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return profile_catalog(capped).select("column", *_RATIOS, "is_probable_id", _joined("sample_values"))
 
 
+def equi_depth_ranges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Whether eight ranges of equal depth hold every row of a table once, and none holds more than its share of rows or one key's."""
+    def line(name: str, column: str) -> DataFrame:
+        rows = read_table(spark, sf_dir, name)
+        conditions = range_predicates(column, equi_depth_bounds(rows, column, 8))
+        met = sum((F.expr(condition).cast("int") for condition in conditions), F.lit(0))
+        number = F.coalesce(*[F.when(F.expr(condition), F.lit(place)) for place, condition in enumerate(conditions)])
+        # Counted by key first, so that a range's largest key is known.
+        keys = rows.select(F.col(column).alias("key"), met.alias("met"), number.alias("number")).groupBy("key", "met", "number").agg(
+            F.count(F.lit(1)).alias("n"))
+        ranges = keys.groupBy("number").agg(F.sum("n").alias("n"), F.max("n").alias("largest"), F.min("met").alias("least"), F.max("met").alias("most"))
+        return ranges.agg(
+            F.lit(name).alias("source_name"), F.lit(column).alias("column"), F.sum("n").alias("rows"),
+            ((F.min("least") == 1) & (F.max("most") == 1)).alias("whole"),
+            (F.max(F.col("n") - F.col("largest")) <= F.sum("n") / 8 * 1.5).alias("even"))
+
+    return union_all([line(name, column) for name, column in RANGED])
+
+
+def saved_again(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Null ratios of all tables, saved by table; then those of the tables with gaps again, into their own partitions only."""
+    def ratios_of(sources: list[Source]) -> DataFrame:
+        return profile_catalog(sources, distinct="none", samples=False).select("source_name", "column", "null_ratio")
+
+    folder = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.sql.warehouse.dir")
+    path = f"{folder.rstrip('/')}/saved-{uuid.uuid4().hex}"
+    save(ratios_of(catalog(spark, sf_dir)), path, mode=REPLACE, partition_by=["source_name"])
+    for _ in range(2):
+        save(ratios_of(catalog_with_gaps(spark, sf_dir, *MISSING)), path, mode=REPLACE, partition_by=["source_name"])
+    return spark.read.parquet(path).select("source_name", "column", "null_ratio")
+
+
 # ---- profile ----
 
 def whole_profile(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -79,10 +116,29 @@ def one_profile(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return count_columns(catalog_with_gaps(spark, sf_dir)).select(
+    """Dense whole numbers and dates by bitmaps, all else by its values."""
+    return count_columns(catalog_with_gaps(spark, sf_dir), bitmaps=True).select(
         "source_name", "column", "rows", "nulls", "distincts")
 
 
+def null_ratio(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Whole numbers and texts that are stored as they are answer from the files' footers, all others are read."""
+    sources = catalog_with_gaps(statistics_session(spark), sf_dir)
+    return profile_catalog(sources, distinct="none", samples=False).select("source_name", "column", "null_ratio")
+
+
+def bitmap_samples(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The lowest values of all columns, those of dense ones from their bitmaps."""
+    sources = _shown_alike(catalog_with_gaps(spark, sf_dir))
+    return profile_catalog(sources, bitmaps=True).select("source_name", "column", *_RATIOS, _joined("sample_values"))
+
+
+def checked_flags(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The id flag of every column, from sketches, and from exact counts where a sketch could be wrong."""
+    return profile_catalog(catalog_with_gaps(spark, sf_dir), distinct="checked", samples=False).select(
+        "source_name", "column", "null_ratio", "is_probable_id")
+
+
 def ratios(name: str, distinct: str) -> Query:
     return lambda spark, sf_dir: profile_catalog(
         catalog_with_gaps(spark, sf_dir), distinct=distinct, samples=False).select("source_name", "column", name)
@@ -219,17 +275,21 @@ def advice(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Query] = {
     "load_report": load,
     "first_available": first_source,
+    "equi_depth_ranges": equi_depth_ranges,
+    "saved_again": saved_again,
     "sample_limit": sample_limit,
     "profile_catalog": whole_profile,
     "profile_table": one_profile,
     "distinct_count": counts,
-    "null_ratio": ratios("null_ratio", "none"),
+    "null_ratio": null_ratio,
     "cardinality_ratio": ratios("cardinality_ratio", "exact"),
     "flag_datetime": flagged("is_probable_datetime"),
     "flag_id": flagged("is_probable_id"),
     "flag_pii": flagged("is_probable_pii"),
     "sample_values": sample_values,
+    "bitmap_samples": bitmap_samples,
     "approx_distinct": approx_distinct,
+    "checked_flags": checked_flags,
     "concept_map": concept_map,
     "concept_rules": matched_by(RULE),
     "concept_suggestions": matched_by(SUGGESTED),

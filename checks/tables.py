@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from dataclasses import replace
+
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from covermap.sources.spec import Source
@@ -44,6 +46,9 @@ MISSING = {
     "labels": {"toxic": ("toxic = 0", "null")},
 }
 
+# Columns, skewed and even ones, whose tables are read in ranges of equal depth.
+RANGED = (("lineitem", "l_orderkey"), ("orders", "o_orderdate"), ("events", "user_id"), ("customer", "c_acctbal"), ("pages", "url"))
+
 
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -64,5 +69,5 @@ def catalog_with_gaps(spark: SparkSession, sf_dir: str, *names: str) -> list[Sou
             for column, (condition, kind) in MISSING.get(source.name, {}).items()
         }
         df = source.df.withColumns(gaps) if gaps else source.df
-        sources.append(Source(source.name, source.source_type, source.table_name, df))
+        sources.append(replace(source, df=df, computed=tuple(gaps)))
     return sources

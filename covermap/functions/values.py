@@ -22,10 +22,14 @@ _JSON_OPTIONS = (
 )
 
 
-def _is_floating(data_type: T.DataType) -> bool:
+def is_floating(data_type: T.DataType) -> bool:
     return isinstance(data_type, (T.FloatType, T.DoubleType))
 
 
+def is_nested(data_type: T.DataType) -> bool:
+    return isinstance(data_type, _NESTED)
+
+
 def _contains(data_type: T.DataType, kinds: tuple) -> bool:
     if isinstance(data_type, T.ArrayType):
         inner = [data_type.elementType]
@@ -42,14 +46,14 @@ def is_fixed_width(data_type: T.DataType) -> bool:
     """Whether the whole value goes into a key, in order: numbers, dates and times of at most eight bytes."""
     if isinstance(data_type, T.DecimalType):
         return data_type.precision <= 18
-    return _is_floating(data_type) or isinstance(
+    return is_floating(data_type) or isinstance(
         data_type, (*_WHOLE, T.BooleanType, T.DateType, T.TimestampType, T.TimestampNTZType))
 
 
 def _one_form(value: str, data_type: T.DataType, depth: int = 0) -> str:
     """Rewrite a nested value so that equal values look the same: map entries sorted, no -0.0."""
     item = f"x{depth}"
-    if _is_floating(data_type):
+    if is_floating(data_type):
         return f"({value} + CAST(0 AS {data_type.simpleString()}))"
     if isinstance(data_type, T.ArrayType):
         return f"transform({value}, {item} -> {_one_form(item, data_type.elementType, depth + 1)})"
@@ -79,7 +83,7 @@ def as_text(value: str, data_type: T.DataType) -> str:
     return f"CAST({value} AS STRING)"
 
 
-def _as_whole(value: str, data_type: T.DataType) -> str:
+def as_whole(value: str, data_type: T.DataType) -> str:
     """A fixed-width value as a bigint, in its own order; ``from_key`` undoes it."""
     if isinstance(data_type, T.DateType):
         return f"CAST(unix_date({value}) AS BIGINT)"
@@ -97,7 +101,7 @@ def _as_whole(value: str, data_type: T.DataType) -> str:
 
 def from_key(whole: str, real: str, data_type: T.DataType) -> str:
     """The text of a fixed-width value from its key."""
-    if _is_floating(data_type):
+    if is_floating(data_type):
         return f"CAST(CAST({real} AS {data_type.simpleString()}) AS STRING)"
     if isinstance(data_type, T.BooleanType):
         return f"CAST({whole} = 1 AS STRING)"
@@ -118,7 +122,7 @@ def from_key(whole: str, real: str, data_type: T.DataType) -> str:
     return f"CAST({whole} AS STRING)"
 
 
-def _comparable_text(value: str, data_type: T.DataType) -> str:
+def comparable_text(value: str, data_type: T.DataType) -> str:
     """A text that is equal exactly when two values are."""
     if isinstance(data_type, (T.ArrayType, T.MapType, T.StructType)):
         return f"to_json({_one_form(value, data_type)}, {_JSON_OPTIONS})"
@@ -145,12 +149,15 @@ def distinct_key(value: str, data_type: T.DataType) -> tuple[str, str, str]:
     no_whole, no_real, no_text = "CAST(NULL AS BIGINT)", "CAST(NULL AS DOUBLE)", "CAST(NULL AS STRING)"
     if isinstance(data_type, T.NullType):
         return f"CAST({value} AS BIGINT)", no_real, no_text
-    if _is_floating(data_type):
+    if is_floating(data_type):
         return no_whole, f"IF(isnan({value}), NULL, CAST({value} AS DOUBLE))", no_text
     if is_fixed_width(data_type):
-        return _as_whole(value, data_type), no_real, no_text
-    return no_whole, no_real, text_key(_comparable_text(value, data_type))
+        return as_whole(value, data_type), no_real, no_text
+    return no_whole, no_real, text_key(comparable_text(value, data_type))
 
 
 def null_if_nan(value: str, data_type: T.DataType) -> str:
-    return f"IF(isnan({value}), NULL, {value})" if _is_floating(data_type) else value
+    """What a count counts. Nested values are tested one by one: a file's statistics are about their parts, not about them."""
+    if is_nested(data_type):
+        return f"IF({value} IS NULL, NULL, 1)"
+    return f"IF(isnan({value}), NULL, {value})" if is_floating(data_type) else value

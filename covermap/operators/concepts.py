@@ -5,11 +5,13 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from covermap.plans.checkpointing import keep
 
 RULE, SUGGESTED, UNMATCHED = "rule", "suggested", "unmatched"
+#: Portions in which names are asked about where answers outlive a run.
+PORTIONS = 32
 
 
 def match_rules(columns: DataFrame, rules: DataFrame) -> DataFrame:
@@ -38,12 +40,14 @@ def _label(text: str) -> Column:
 
 
 def suggest(unmatched: DataFrame, guess: Callable[[str, list[str]], str | None],
-            parallelism: int | None = None, kept: bool = True) -> DataFrame:
+            parallelism: int | None = None, kept: bool = True, answers: str | None = None, portions: int = PORTIONS) -> DataFrame:
     """(column, concept) from a user function of (name, sample values), asked once per name.
 
     ``guess`` may call a slow service, so the names are spread over ``parallelism`` tasks (the session's shuffle
     partitions if not given), and the answers are kept in the shared folder, so that no later step asks again.
-    ``kept=False`` leaves the answers lazy.
+    ``kept=False`` leaves the answers lazy. ``answers`` is a folder that holds answers from run to run: only names without an
+    answer there (no concept is one too) are asked, in ``portions`` by a hash of the name, each written when it is complete. So a
+    run that fails half-way, or a later one with more tables, does not ask again what was paid for; the portion under way is.
     """
     tasks = parallelism or int(unmatched.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     names = unmatched.groupBy("column").agg(F.min("sample_values").alias("sample_values"))
@@ -55,8 +59,26 @@ def suggest(unmatched: DataFrame, guess: Callable[[str, list[str]], str | None],
             answers = [guess(name, list(values)) for name, values in zip(batch["column"], batch["sample_values"])]
             yield pd.DataFrame({"column": batch["column"], "concept": pd.Series(answers, dtype="object")})
 
-    answers = names.mapInPandas(ask, "column string, concept string")
-    return keep(answers) if kept else answers
+    asked = "column string, concept string"
+    if answers is None:
+        answered = names.mapInPandas(ask, asked)
+        return keep(answered) if kept else answered
+    spark = unmatched.sparkSession
+    names = keep(names)
+    known = spark.read.schema(asked).parquet(answers).select("column") if _is_folder(spark, answers) else spark.createDataFrame([], "column string")
+    # Kept, since the folder that they are read from is written to.
+    missing = keep(names.join(known, "column", "left_anti").withColumn("portion", F.pmod(F.xxhash64("column"), F.lit(portions))))
+    for row in missing.select("portion").distinct().sort("portion").collect():
+        own = missing.where(F.col("portion") == row.portion).drop("portion").repartition(tasks, F.xxhash64("column"))
+        own.mapInPandas(ask, asked).write.mode("append").parquet(answers)
+    if not _is_folder(spark, answers):
+        return spark.createDataFrame([], asked)
+    return spark.read.schema(asked).parquet(answers).join(names.select("column"), "column", "left_semi")
+
+
+def _is_folder(spark: SparkSession, path: str) -> bool:
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(where)
 
 
 def map_concepts(profile: DataFrame, rules: DataFrame, suggestions: DataFrame | None = None,

@@ -12,7 +12,8 @@ from pyspark.sql import DataFrame, Window, functions as F, types as T
 
 from covermap import fixed_values as fixed
 from covermap.functions.values import (
-    HEAD_CHARACTERS, as_text, distinct_key, from_key, is_collated, is_fixed_width, text_key)
+    HEAD_CHARACTERS, as_text, comparable_text, from_key, is_collated, is_fixed_width, text_key)
+from covermap.operators.bitmaps import Bitmaps, lowest_of_bitmaps
 from covermap.operators.tally import Scan, distinct_values, is_set, scans, text_classes
 from covermap.operators.unions import union_all
 from covermap.sources.spec import Source
@@ -37,20 +38,23 @@ def _numbers(lowest: DataFrame, types: dict[int, T.DataType]) -> DataFrame:
 
 
 def _texts(scan: Scan) -> DataFrame:
-    """One row (slot, words, value) per text of the scan, keyed as in ``distinct_values``."""
+    """One row (slot, value, same) per text of the scan: as it is shown and, where that differs, as it is compared."""
     table, columns = scan
-    flat = ", ".join(f"{slot} AS s{slot}, {distinct_key(f'c{slot}', data_type)[2]} AS k{slot},"
-                     f" {as_text(f'c{slot}', data_type)} AS c{slot}" for slot, data_type in columns)
-    rows = ", ".join(f"(s{slot}, k{slot}, c{slot})" for slot, _ in columns)
+    plain = "CAST(NULL AS STRING)"
+    compared = {slot: comparable_text(f"c{slot}", data_type) for slot, data_type in columns}
+    shown = {slot: as_text(f"c{slot}", data_type) for slot, data_type in columns}
+    flat = ", ".join(f"{slot} AS s{slot}, {shown[slot]} AS c{slot}, {plain if compared[slot] == shown[slot] else compared[slot]} AS k{slot}"
+                     for slot, _ in columns)
+    rows = ", ".join(f"(s{slot}, c{slot}, k{slot})" for slot, _ in columns)
     return table.sparkSession.sql(
-        f"SELECT slot, words, value FROM (SELECT {flat} FROM {{table}})"
-        f" UNPIVOT INCLUDE NULLS ((slot, words, value) FOR name IN ({rows})) WHERE words IS NOT NULL", table=table)
+        f"SELECT slot, value, same FROM (SELECT {flat} FROM {{table}})"
+        f" UNPIVOT INCLUDE NULLS ((slot, value, same) FOR name IN ({rows})) WHERE value IS NOT NULL", table=table)
 
 
 def _text_parts(scan: Scan) -> list[DataFrame]:
     table, columns = scan
     plain = [column for column in columns if not is_collated(column[1])]
-    collated = [text_classes(table, slot).where("value IS NOT NULL").selectExpr("slot", f"{text_key('value')} AS words", "value")
+    collated = [text_classes(table, slot).where("value IS NOT NULL").selectExpr("slot", "value", "CAST(NULL AS STRING) AS same")
                 for slot, data_type in columns if is_collated(data_type)]
     return ([_texts((table, plain))] if plain else []) + collated
 
@@ -59,23 +63,27 @@ def _lowest_texts(lowest: DataFrame, text_scans: Sequence[Scan], count: int) ->
     """(slot, value, place): the lowest texts, whole.
 
     Keys order texts by their first characters, so no text whose beginning lies above that of the last of the lowest
-    keys can be among the lowest texts. A second scan carries the texts up to there, each distinct one
-    once; a column with fewer distinct texts than wanted has no bound. The bounds are a short text per column.
+    keys can be among the lowest texts. A second scan compares the beginnings, and only texts up to there are
+    digested, so that each distinct one travels once; a column with fewer distinct texts than wanted has no bound. The
+    bounds are a short text per column.
     """
-    head = F.substring("words", 1, HEAD_CHARACTERS)
     bounds = lowest.where((F.col("place") == count) & F.col("words").isNotNull()).select(
-        F.col("slot").alias("of"), head.alias("bound"))
+        F.col("slot").alias("of"), F.substring("words", 1, HEAD_CHARACTERS).alias("bound"))
     texts = union_all([part for scan in text_scans for part in _text_parts(scan)])
+    head = F.substring(F.coalesce("same", "value"), 1, HEAD_CHARACTERS)
     near = texts.join(F.broadcast(bounds), texts["slot"] == bounds["of"], "left").where(
         F.col("bound").isNull() | (head <= F.col("bound")))
-    few = near.groupBy("slot", "words").agg(F.min("value").alias("value"))
+    few = near.groupBy("slot", F.expr(text_key("coalesce(same, value)")).alias("words")).agg(F.min("value").alias("value"))
     place = Window.partitionBy("slot").orderBy("value")
     return few.select("slot", "value", F.row_number().over(place).alias("place")).where(F.col("place") <= count)
 
 
-def samples_of(values: DataFrame, sources: Sequence[Source], count: int = fixed.SAMPLE_VALUES) -> DataFrame:
-    """(slot, sample_values) from ``distinct_values`` of the same sources."""
+def samples_of(values: DataFrame, sources: Sequence[Source], count: int = fixed.SAMPLE_VALUES,
+               bitmaps: Bitmaps | None = None) -> DataFrame:
+    """(slot, sample_values) from ``distinct_values`` of the same sources, and the ``bitmaps`` of the columns they leave out."""
     lowest = _lowest_keys(values, count)
+    if bitmaps is not None:
+        lowest = lowest.drop("copies").unionByName(lowest_of_bitmaps(bitmaps, count))
     numbers, text_scans = {}, []
     for table, columns in scans(sources):
         numbers |= {slot: data_type for slot, data_type in columns if is_fixed_width(data_type)}

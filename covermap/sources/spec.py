@@ -11,13 +11,17 @@ from covermap.plans.checkpointing import keep
 
 @dataclass(frozen=True)
 class Source:
-    """A table that can be read, with the labels that follow it through every result."""
+    """A table that can be read, with the labels that follow it through every result.
+
+    ``computed`` names columns that are not stored as they are, so that no file's statistics speak of them.
+    """
 
     name: str
     source_type: str
     table_name: str
     df: DataFrame
     is_synthetic: bool = False
+    computed: tuple[str, ...] = ()
 
     def sample_rows(self, count: int, order_by: list[str]) -> Source:
         """Keep the first ``count`` rows in the given order only, which must tell rows apart to be repeatable.
@@ -41,7 +45,7 @@ class SourceSpec:
 
     Exactly one of ``table``, ``query`` and ``path`` is set. ``password_env`` names the
     environment variable that holds the password; it is looked up when the reader is built, so
-    the password is in no spec and no log.
+    the password is in no spec and no log. ``predicates`` are conditions that divide the rows, one for each parallel read.
     """
 
     source_type: str
@@ -53,3 +57,4 @@ class SourceSpec:
     path: str | None = None
     password_env: str | None = None
     enabled: bool = True
+    predicates: tuple[str, ...] = ()

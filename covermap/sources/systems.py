@@ -89,16 +89,25 @@ def _streaming(system: str, rows: int) -> dict[str, str]:
 
 
 def system_spec(system: str, table: str, environment: Mapping[str, str] = os.environ,
-                table_name: str | None = None, split: Split | None = None, fetch_rows: int = FETCH_ROWS) -> SourceSpec:
-    """The spec that reads ``table`` from ``system``: in portions, and with ``split`` in parallel ranges."""
+                table_name: str | None = None, split: Split | None = None, fetch_rows: int = FETCH_ROWS,
+                query: str | None = None, predicates: tuple[str, ...] = ()) -> SourceSpec:
+    """The spec that reads ``table``, or ``query`` under its name, from ``system``: in portions, and in parallel ranges.
+
+    ``split`` gives even ranges of a column, ``predicates`` a condition for each range, such as ``range_predicates`` of equal
+    depth for keys that lie unevenly.
+    """
+    if split and predicates:
+        raise ValueError("give either split or predicates")
     settings = settings_of(system, environment)
     spec = SourceSpec(system, table_name or table, "jdbc", enabled=is_enabled(system, environment))
     if system == "onelake":
+        if query is not None:
+            raise ValueError("a lakehouse table is read by its path, not by a query")
         return replace(spec, format="delta", path=f"{settings['path']}/Tables/{table}")
     # A user key carries its own login, so no password goes with it.
     password_env = None if settings.get("userkey") else fixed.SYSTEM_SETTINGS[system]["password"]
     options = _JDBC[system](settings) | _streaming(system, fetch_rows) | (split.options() if split else {})
-    return replace(spec, options=options, table=table, password_env=password_env)
+    return replace(spec, options=options, table=table if query is None else None, query=query, password_env=password_env, predicates=predicates)
 
 
 def default_candidates(environment: Mapping[str, str] = os.environ,

@@ -15,7 +15,7 @@ import uuid
 import zlib
 from array import array
 from collections.abc import Iterator
-from itertools import chain
+from itertools import accumulate, chain
 
 import numpy as np
 import pyarrow as pa
@@ -29,6 +29,8 @@ END_ID = 1
 BLOCK_TOKENS = 1 << 20
 #: Words remembered by a Python worker.
 REMEMBERED = 800_000
+#: New words that are encoded together.
+TOGETHER = 500
 _LETTERS = bytes(b for b in range(256) if b >= 128 or chr(b).isalpha())
 _STOPS = (b",", b".")
 
@@ -68,15 +70,31 @@ class WordTokenizer:
         plain = word[:-1] if self.parts and word.endswith(_STOPS) and word[-2:-1].isalpha() else word
         return word if plain.translate(None, _LETTERS) else plain.lower() if self.lowers else plain
 
+    def _encoded(self, words: list[str]) -> list[bytes]:
+        """The ids of each word: all are encoded as one text, and cut where a token begins past a word's end."""
+        encoding = self.tokenizer.encode(" ".join(words), add_special_tokens=False)
+        begins = [first for first, _ in encoding.offsets]
+        ends = list(accumulate(len(word) + 1 for word in words))
+        cuts = np.searchsorted(begins, ends).tolist()
+        ids = array(self.kind, encoding.ids).tobytes()
+        width = array(self.kind).itemsize
+        return [ids[width * a : width * b] for a, b in zip([0, *cuts], cuts)]
+
     def ids(self, texts: list[bytes]) -> list[bytes]:
         """As little-endian numbers."""
         split = [text.split() for text in texts]
+        if len(self.known) > REMEMBERED:  # words seen lately stay known through the dictionary before
+            self.before, self.known = self.known, {}
+        found = [list(map(self.known.get, words)) for words in split]
+        holes = [row for row, own in enumerate(found) if None in own]
+        self._learn({word for row in holes for word, own in zip(split[row], found[row]) if own is None})
         known = self.known
-        if len(known) > REMEMBERED:  # words seen lately stay known through the dictionary before
-            self.before, known = known, {}
-            self.known = known
-        fresh = set(chain.from_iterable(split)).difference(known)
-        before = self.before
+        for row in holes:
+            found[row] = [own or known[word] for word, own in zip(split[row], found[row])]
+        return list(map(b"".join, found))
+
+    def _learn(self, fresh: set[bytes]) -> None:
+        known, before = self.known, self.before
         known.update((word, before[word]) for word in fresh if word in before)
         lacking = [word for word in fresh if word not in known]
         forms = list(map(self._form, lacking))
@@ -84,12 +102,12 @@ class WordTokenizer:
         known.update((word, before[word]) for word in wanted if word in before)
         new = [word for word in wanted if word not in known]
         new += [stop for stop in _STOPS if stop not in known]
-        found = self.tokenizer.encode_batch_fast([word.decode("utf-8", "replace") for word in new], add_special_tokens=False)
-        known.update((word, array(self.kind, one.ids).tobytes()) for word, one in zip(new, found))
+        for start in range(0, len(new), TOGETHER):
+            part = new[start : start + TOGETHER]
+            known.update(zip(part, self._encoded([word.decode("utf-8", "replace") for word in part])))
         for word, form in zip(lacking, forms):
             if word is not form:
                 known[word] = known[form] + known[word[-1:]] if len(word) > len(form) else known[form]
-        return [b"".join(map(known.__getitem__, words)) for words in split]
 
 
 _tokenizers: dict[tuple[str, int], WordTokenizer] = {}

@@ -14,7 +14,7 @@ Passes read the numbers, not the texts. A higher ``least`` makes fewer candidate
 from __future__ import annotations
 
 from collections import Counter, defaultdict
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from functools import reduce
 
 import numpy as np
@@ -38,7 +38,9 @@ WALK_WORDS = 1 << 20
 #: candidates pass, never fewer.
 LEAST_BITS = 12
 MOST_BITS = 24
-#: Distinct entries that a task holds before it sends them on.
+#: Counts of a trie's phrases that are summed together.
+COUNT_PART = 1 << 13
+#: Candidates that a task holds before it sends them on.
 HELD = 1 << 20
 SALTS = 16
 #: Numbers of the words beyond the dictionary are dealt within so many groups.
@@ -192,6 +194,29 @@ def _batch(phrases: np.ndarray, *more: np.ndarray) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays(columns, names=_names(phrases.shape[1]) + ["a"] * len(more))
 
 
+_PARTS = "part int, counts binary"
+
+
+def _parts_of(arrays: np.ndarray) -> Iterator[pa.RecordBatch]:
+    """(part, counts): the rows of a matrix that are not all 0."""
+    for number in np.flatnonzero(arrays.any(axis=1)):
+        yield pa.RecordBatch.from_arrays([pa.array([number], pa.int32()), pa.array([arrays[number].tobytes()], pa.binary())], names=["part", "counts"])
+
+
+def _summed(rows: DataFrame, kind: str, finish: Callable[[int, np.ndarray], pa.RecordBatch], schema: str) -> DataFrame:
+    """What ``finish`` makes of each part's sums over all tasks."""
+
+    def summed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        totals: dict[int, np.ndarray] = {}
+        for batch in batches:
+            for number, raw in zip(batch.column(0).to_pylist(), batch.column(1)):
+                totals[number] = totals.get(number, 0) + np.frombuffer(raw.as_py(), dtype=kind).astype(np.int64)
+        for number, total in totals.items():
+            yield finish(number, total)
+
+    return rows.repartition("part").mapInArrow(summed, schema)
+
+
 def _buckets(keys: np.ndarray, bits: int) -> np.ndarray:
     return ((keys * _FACTOR) >> np.uint64(64 - bits)).astype(np.int64)
 
@@ -242,20 +267,12 @@ def _full_buckets(numbers: DataFrame, shared, bits: int, least: int) -> np.ndarr
             for ids in _texts(batch.column(0)):
                 np.add.at(total, _buckets(shared.value.of(ids)[2], bits), np.int32(1))
         total = np.minimum(total, least).astype("<u2").reshape(-1, part)
-        for number in np.flatnonzero(total.any(axis=1)):
-            yield pa.RecordBatch.from_arrays([pa.array([number], pa.int32()), pa.array([total[number].tobytes()], pa.binary())], names=["part", "counts"])
+        yield from _parts_of(total)
 
-    def summed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        totals: dict[int, np.ndarray] = {}
-        for batch in batches:
-            for number, raw in zip(batch.column(0).to_pylist(), batch.column(1)):
-                counts = np.frombuffer(raw.as_py(), dtype="<u2")
-                totals[number] = totals.get(number, 0) + counts.astype(np.int64)
-        for number, total in totals.items():
-            yield pa.RecordBatch.from_arrays([pa.array([number], pa.int32()), pa.array([np.packbits(total >= least).tobytes()], pa.binary())], names=["part", "counts"])
+    def full(number: int, total: np.ndarray) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array([number], pa.int32()), pa.array([np.packbits(total >= least).tobytes()], pa.binary())], names=["part", "counts"])
 
-    schema = "part int, counts binary"
-    parts = numbers.mapInArrow(counted, schema).repartition("part").mapInArrow(summed, schema)
+    parts = _summed(numbers.mapInArrow(counted, _PARTS), "<u2", full, _PARTS)
     result = np.zeros((1 << bits) // 8, dtype=np.uint8)
     for row in parts.collect():
         result[row.part * part // 8 : (row.part + 1) * part // 8] = np.frombuffer(bytes(row.counts), dtype=np.uint8)
@@ -284,6 +301,15 @@ def _safe_candidates(numbers: DataFrame, frequent: DataFrame, size: int, least:
 
         def extended(batches: Iterator[pa.RecordBatch], shared=shared, full=full) -> Iterator[pa.RecordBatch]:
             extensions, seen = shared.value, np.empty(0, dtype=np.int64)
+
+            def dealt() -> Iterator[pa.RecordBatch]:
+                part = _buckets(seen.astype(np.uint64), 8)
+                order = np.argsort(part, kind="stable")
+                edges = np.searchsorted(part[order], np.arange(257)).tolist()
+                for number, (a, b) in enumerate(zip(edges, edges[1:])):
+                    if a < b:
+                        yield pa.RecordBatch.from_arrays([pa.array([number], pa.int32()), pa.array([seen[order[a:b]].tobytes()], pa.binary())], names=["part", "counts"])
+
             for batch in batches:
                 for ids in _texts(batch.column(0)):
                     first, last, hashes = extensions.of(ids)
@@ -291,13 +317,21 @@ def _safe_candidates(numbers: DataFrame, frequent: DataFrame, size: int, least:
                     there = (full.value[bucket >> 3] >> (7 - (bucket & 7)).astype(np.uint8)) & 1 == 1
                     seen = np.union1d(seen, (first[there] << 32) | last[there])
                     if len(seen) > HELD:
-                        yield _batch(extensions.phrases(seen))
+                        yield from dealt()
                         seen = seen[:0]
-            if len(seen):
-                yield _batch(extensions.phrases(seen))
+            yield from dealt()
+
+        def united(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
+            """Each candidate once: what one task sends another may have sent too."""
+            parts: dict[int, np.ndarray] = {}
+            for batch in batches:
+                for number, raw in zip(batch.column(0).to_pylist(), batch.column(1)):
+                    parts[number] = np.union1d(parts.get(number, np.empty(0, dtype=np.int64)), np.frombuffer(raw.as_py(), dtype=np.int64))
+            for keys in parts.values():
+                yield _batch(shared.value.phrases(keys))
 
         # Written here, so that the broadcasts can go before the next trie comes.
-        found.append(kept(numbers.mapInArrow(extended, _schema(size + 1)).distinct()))
+        found.append(kept(numbers.mapInArrow(extended, _PARTS).repartition("part").mapInArrow(united, _schema(size + 1))))
         shared.destroy()
         full.destroy()
     if not found:
@@ -321,11 +355,14 @@ def _counts(numbers: DataFrame, candidates: DataFrame, size: int, least: int, mo
             for batch in batches:
                 for ids in _texts(batch.column(0)):
                     total += np.bincount(trie.walk(ids)[1], minlength=len(total))
-            rows = np.flatnonzero(total)
-            yield _batch(trie.phrases[rows], total[rows])
+            yield from _parts_of(np.append(total, np.zeros(-len(total) % COUNT_PART, dtype=np.int64)).reshape(-1, COUNT_PART))
+
+        def frequent(number: int, total: np.ndarray, shared=shared) -> pa.RecordBatch:
+            phrases = shared.value.phrases[number * COUNT_PART : (number + 1) * COUNT_PART]
+            rows = np.flatnonzero(total[: len(phrases)] >= least)
+            return _batch(phrases[rows], total[rows])
 
-        sums = numbers.mapInArrow(counted, _schema(size, "a bigint")).groupBy(*_names(size)).agg(F.sum("a").alias("a"))
-        found.append(kept(sums.where(F.col("a") >= least)))
+        found.append(kept(_summed(numbers.mapInArrow(counted, _PARTS), "<i8", frequent, _schema(size, "a bigint"))))
         shared.destroy()
     return reduce(DataFrame.union, found) if found else numbers.sparkSession.createDataFrame([], _schema(size, "a bigint"))
 

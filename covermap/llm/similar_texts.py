@@ -1,10 +1,10 @@
 """Texts that share most of their shingles: pairs of at least a given Jaccard similarity of SHINGLE_WORDS-word shingles.
 
 Texts are candidates where all ROWS min-hashes of one of BANDS bands are equal; a pair of similarity s is one with
-probability 1 - (1 - s ** ROWS) ** BANDS, 0.9998 for 0.8. Candidates are verified on their whole sets of shingles. In a band's
-group every text meets the group's first LEADERS texts, so groups of up to that size are compared entirely; texts of larger
-groups that are near no leader go on to a round of their own with twice as many, until none is left. So a group of very
-many copies makes rows in proportion to its size.
+probability 1 - (1 - s ** ROWS) ** BANDS, 0.9998 for 0.8. Candidates are verified on their whole sets of shingles. Groups of up to
+LEADERS texts of a band are compared entirely. In larger ones every text meets a few leaders, other ones in each band; texts that are
+near none of them are dealt to finer groups by FINER further bands, again until no large group is left. Texts that have no more in common than
+a frequent line part at once, and very many copies are near their leaders, so rows stay in proportion to the texts either way.
 """
 
 from __future__ import annotations
@@ -24,8 +24,16 @@ SHINGLE_WORDS = 5
 BANDS = 16
 ROWS = 4
 LEADERS = 8
+#: Leaders of a larger group, and the further bands that its other texts are dealt by.
+LARGE_LEADERS = 2
+FINER = 4
 
-_FACTORS = np.random.default_rng(29).integers(0, 1 << 63, BANDS * ROWS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+
+def _factors(seed: int, bands: int) -> np.ndarray:
+    return np.random.default_rng(seed).integers(0, 1 << 63, (bands, ROWS), dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+
+
+_FACTORS = _factors(29, BANDS)
 _MIXER = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -34,24 +42,27 @@ def content_keys(texts: list[bytes]) -> np.ndarray:
     return np.array([xxhash.xxh64_intdigest(b" ".join(text.lower().split())) for text in texts], dtype=np.uint64).view(np.int64)
 
 
-def band_keys(texts: list[bytes]) -> np.ndarray:
-    """[text, band]: the min-hashes of each band in one number. Texts without words get that of no shingle."""
-    result = np.zeros((len(texts), BANDS), dtype=np.uint64)
-    hashes = [shingle_hashes(text, SHINGLE_WORDS)[0] for text in texts]
-    filled = [row for row, own in enumerate(hashes) if own]
+def _bands(sets: list[bytes], factors: np.ndarray, kind: str) -> np.ndarray:
+    """[text, band]: the min-hashes of each band in one number, from the texts' shingles. Texts without words get that of no shingle."""
+    result = np.zeros((len(sets), len(factors)), dtype=np.uint64)
+    filled = [row for row, own in enumerate(sets) if own]
     if filled:
-        values = np.frombuffer(b"".join(hashes[row] for row in filled), dtype=">u8").astype(np.uint64)
-        sizes = np.array([len(hashes[row]) // 8 for row in filled])
+        values = np.frombuffer(b"".join(sets[row] for row in filled), dtype=kind).astype(np.uint64)
+        sizes = np.array([len(sets[row]) // 8 for row in filled])
         starts = np.concatenate([[0], np.cumsum(sizes)[:-1]])
-        for band in range(BANDS):
+        for band, rows in enumerate(factors):
             key = np.full(len(filled), band + 1, dtype=np.uint64)
-            for factor in _FACTORS[band * ROWS : (band + 1) * ROWS]:
+            for factor in rows:
                 key = (key ^ np.minimum.reduceat(values * factor, starts)) * _MIXER
                 key ^= key >> np.uint64(32)
             result[filled, band] = key
     return result.view(np.int64)
 
 
+def band_keys(texts: list[bytes]) -> np.ndarray:
+    return _bands([shingle_hashes(text, SHINGLE_WORDS)[0] for text in texts], _FACTORS, ">u8")
+
+
 def _with_keys(documents: DataFrame) -> DataFrame:
     """(node, text): each text and the key of its content."""
 
@@ -96,27 +107,54 @@ def _verified(pairs: DataFrame, sets: DataFrame, least: float) -> DataFrame:
     return joined.select("a", "b", "sa", "sb").mapInArrow(compared, "a bigint, b bigint")
 
 
+def _met(members: DataFrame) -> DataFrame:
+    """(key, node, grp, n): the members of keys that two groups share, and how many they are."""
+    sizes = members.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min("grp").alias("low"), F.max("grp").alias("high"))
+    return members.join(sizes.where("low < high").select("key", "n"), "key").select("key", "node", "grp", "n")
+
+
+def _finer(rest: DataFrame, sets: DataFrame, seed: int) -> DataFrame:
+    """(key, node, grp): the members of large groups by finer keys."""
+    factors = _factors(seed, FINER)
+
+    def banded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for start, part in slices(batch.column(1)):
+                yield pa.RecordBatch.from_arrays(
+                    [batch.column(0).slice(start, len(part)), pa.array(list(_bands(part, factors, "<u8")), pa.list_(pa.int64()))], names=["node", "more"])
+
+    own = rest.select("node").distinct().join(sets, "node").select("node", "shingles").mapInArrow(banded, "node bigint, more array<bigint>")
+    return rest.select("key", "node", "grp").join(own, "node").select(
+        F.col("key").alias("old"), "node", "grp", F.posexplode("more").alias("band", "value")).select(
+        F.xxhash64("old", "band", "value").alias("key"), "node", "grp")
+
+
 def similar_groups(documents: DataFrame, nodes: DataFrame, least: float) -> DataFrame:
     """(a, b), a < b: groups that hold two texts of at least the ``least`` similarity.
 
     ``nodes`` are (node, bands, grp), one row for each different content of ``documents``; texts of one group need no comparison.
     """
-    members = nodes.select("node", "grp", F.explode("bands").alias("key"))
-    crowded = members.groupBy("key").agg(F.min("grp").alias("low"), F.max("grp").alias("high")).where("low < high").select("key")
-    rest = kept(members.join(crowded, "key", "left_semi"))
-    texts = kept(_with_keys(documents).join(rest.select("node").distinct(), "node", "left_semi").dropDuplicates(["node"]))
+    rest = kept(_met(nodes.select("node", "grp", F.explode("bands").alias("key"))))
+    texts = _with_keys(documents).join(rest.select("node").distinct(), "node", "left_semi").dropDuplicates(["node"])
     sets = kept(_shingle_sets(texts))
-    found, leaders = [], LEADERS
+    found, seed = [], 31
     while not rest.isEmpty():
-        first = (rest.withColumn("place", F.row_number().over(Window.partitionBy("key").orderBy("node")))
-                 .where(F.col("place") <= leaders).select("key", F.col("node").alias("a"), F.col("grp").alias("grp_a")))
-        met = kept(rest.join(first, "key").where("a < node").select("key", "a", "grp_a", F.col("node").alias("b"), F.col("grp").alias("grp_b")))
+        # Leaders by a hash of key and text: the same text leads in few of its groups.
+        ordered = rest.withColumn("place", F.xxhash64("node", "key"))
+        rank = F.row_number().over(Window.partitionBy("key").orderBy("place", "node"))
+        first = (ordered.withColumn("rank", rank).where(F.col("rank") <= LEADERS)
+                 .where((F.col("rank") <= LARGE_LEADERS) | (F.col("n") <= LEADERS))
+                 .select("key", F.col("node").alias("a"), F.col("grp").alias("grp_a"), F.col("place").alias("place_a")))
+        pairs = ordered.join(first, "key").where("place_a < place OR (place_a = place AND a < node)")
+        met = kept(pairs.select("key", "a", "grp_a", F.col("node").alias("b"), F.col("grp").alias("grp_b"), "n"))
         good = kept(_verified(met.where("grp_a != grp_b").select("a", "b").distinct(), sets, least))
         linked = met.join(good, ["a", "b"], "left_semi")
-        found.append(linked.select(F.least("grp_a", "grp_b").alias("a"), F.greatest("grp_a", "grp_b").alias("b")))
-        settled = linked.union(met.select(linked.columns).where("grp_a = grp_b")).select("key", F.col("b").alias("node"))
-        settled = settled.union(first.select("key", F.col("a").alias("node"))).distinct()
-        rest = kept(rest.join(settled, ["key", "node"], "left_anti"))
-        leaders *= 2
+        found.append(linked.select(F.least("grp_a", "grp_b").alias("a"), F.greatest("grp_a", "grp_b").alias("b")).distinct())
+        # Of large groups, those go on that are neither leaders nor near one.
+        large = F.col("n") > LEADERS
+        settled = linked.where(large).select("key", F.col("b").alias("node")).union(met.where(large & (F.col("grp_a") == F.col("grp_b"))).select("key", "b"))
+        settled = settled.union(first.select("key", "a")).distinct()
+        rest = kept(_met(_finer(rest.where(large).join(settled, ["key", "node"], "left_anti"), sets, seed)))
+        seed += 1
     none = documents.sparkSession.createDataFrame([], "a bigint, b bigint")
-    return reduce(DataFrame.union, found, none).distinct()
+    return kept(reduce(DataFrame.union, found, none).distinct())

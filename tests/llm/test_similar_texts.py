@@ -45,3 +45,39 @@ def test_known_pairs_do_not_both_stay(spark, pair):
     assert similarity(*texts) >= 0.8
     assert first_of_each(documents).count() == 2
     assert [row.doc_id for row in corpus_pipeline.drop_near_duplicates(spark, documents, SF_DIR).collect()] == [min(pair)]
+
+
+def test_a_line_in_a_third_of_all_texts_costs_no_link_and_no_square(spark, monkeypatch):
+    from covermap.llm import similar_texts
+    line, made = prose(77, 60), []
+    texts = {n: f"{line} {prose(3000 + n, 40)}" for n in range(400)}
+    texts |= {1000 + n: near(texts[n], n, 1) for n in range(60)}
+    texts |= {2000 + n: prose(9000 + n, 100) for n in range(500)}
+    frame = spark.createDataFrame(list(texts.items()), "doc_id bigint, text string").repartition(3)
+    real = similar_texts._verified
+    monkeypatch.setattr(similar_texts, "_verified", lambda pairs, sets, least: made.append(pairs.count()) or real(pairs, sets, least))
+    close = {(n, 1000 + n) for n in range(60) if similarity(texts[n], texts[1000 + n]) >= 0.8}
+    left = {row.doc_id for row in first_of_each(frame, 0, similarity=0.8).collect()}
+    lost = [pair for pair in close if set(pair) <= left]
+    assert len(close) > 40 and len(lost) <= len(close) // 20
+    assert sum(made) < 40 * len(texts) and len(made) < 8
+    assert left >= {n for n in texts if 60 <= n < 400 or n >= 2000}
+
+
+def test_recall_on_the_given_documents(spark):
+    """All pairs of 0.8 or more that brute force finds end up in one group."""
+    from collections import Counter, defaultdict
+    documents = spark.read.parquet(f"{SF_DIR}/documents.parquet").where("doc_id % 4 = 1 OR doc_id IN (1132, 7818, 5402, 6173)").select("doc_id", "text")
+    sets = {row.doc_id: shingles(row.text or "") for row in documents.collect()}
+    holders = defaultdict(list)
+    for doc_id, own in sets.items():
+        for shingle in own:
+            holders[shingle].append(doc_id)
+    pairs = []
+    for doc_id, own in sets.items():
+        for other, count in Counter(o for shingle in own for o in holders[shingle] if o > doc_id).items():
+            if count >= 0.8 * (len(own) + len(sets[other]) - count):
+                pairs.append((doc_id, other))
+    left = {row.doc_id for row in first_of_each(documents, similarity=0.8).collect()}
+    lost = [pair for pair in pairs if set(pair) <= left]
+    assert pairs and len(lost) <= 0.01 * len(pairs)

@@ -22,6 +22,8 @@ from covermap.llm.lm_scoring import common_words, count_words
 
 LEAST_LENGTH = 12
 LEAST_GIVEN = 6
+#: Characters of a finding that are shown, and the parts of it of which one is shown at most.
+SHOWN = 4
 #: Words whose value is a secret, in alphabetical order.
 KEY_WORDS = (
     "access_key", "accesskey", "api_key", "apikey", "auth", "authorization", "bearer", "client_secret", "credential", "credentials",
@@ -59,8 +61,20 @@ _NAME = re.compile(
 _VALUE = re.compile(rb"[ \t]*(?:(?i:bearer|basic|token)[ \t]+)?(?:(\\?[\"'`])(.{%d,}?)\1|[\"'`]?([^\s\"'`:=][^\s\"'`]{%d,}))" % (LEAST_GIVEN, LEAST_GIVEN - 1))
 
 
+_ANY_KEY = b"|".join(sorted(_KEY_BYTES, key=lambda word: (-len(word), word)))
+#: The password in a URL's user information.
+_USER = re.compile(rb"://[^\s/:@]*:([^\s/@]{%d,})@" % LEAST_GIVEN)
+#: An element, and an option or setting of a command line, whose name ends in a key word.
+_ELEMENT = re.compile(rb"<(?:[\w.\-]*?[._\-])?((?i:%s))>[ \t]*([^<>\s]{%d,})[ \t]*</" % (_ANY_KEY, LEAST_GIVEN))
+_OPTION = re.compile(rb"(?<![\w\-])(?:--?(?:\w[\w\-]*?[\-_])?|(?:export|setenv|setx|set)[ \t]+(?:-\w+[ \t]+)?(?:\w*?_)?)((?i:%s))[ \t]+[\"']?([^\s\"'=:]{%d,})"
+                     % (_ANY_KEY, LEAST_GIVEN))
+
+
 def _given_values(text: bytes) -> Iterator[tuple[int, int, bytes]]:
-    """(first byte, end, key word) of each value given to a key word, quoted or not, of at least LEAST_GIVEN characters of any kind."""
+    """(first byte, end, key word) of each value given to a key word, quoted or not, of at least LEAST_GIVEN characters of any kind.
+
+    A value is given by a sign, as the text of an element, after an option of a command line, or as the password of a URL.
+    """
     for sign in _SIGN.finditer(text):
         name = _NAME.search(text[max(0, sign.start() - 40) : sign.start()])
         value = name and _VALUE.match(text, sign.end())
@@ -70,6 +84,11 @@ def _given_values(text: bytes) -> Iterator[tuple[int, int, bytes]]:
             yield *value.span(2), name.group(1).lower()
         elif len(own := value.group(3).rstrip(b".,;:=)]}>")) >= LEAST_GIVEN:
             yield value.start(3), value.start(3) + len(own), name.group(1).lower()
+    for user in _USER.finditer(text):
+        yield *user.span(1), b"password"
+    for form in (_ELEMENT, _OPTION):
+        for given in form.finditer(text):
+            yield *given.span(2), given.group(1).lower()
 
 
 def _runs(text: bytes) -> Iterator[tuple[int, int, bytes]]:
@@ -96,8 +115,9 @@ def candidates(text: bytes) -> Iterator[tuple[int, int, bytes]]:
             if spans[first][1] > reach:
                 since, reach = spans[first]
             first += 1
-        if not (reach > end or (reach == end and since < start)):
-            found[start, end] = word if not word or word in _KEY_BYTES else values.get((start, end), word)
+        # A run that is exactly a given value adds nothing: the value keeps its key word.
+        if (start, end) not in values and not (reach > end or (reach == end and since < start)):
+            found[start, end] = word
     yield from ((start, end, word) for (start, end), word in sorted(found.items()))
 
 
@@ -152,9 +172,13 @@ def format_label(own: str, values: list[float]) -> float | None:
     if value["issued"]:
         return 1.0
     given = value["given"] and value["key_word_near"] and value["digits"]
+    # Before all that speaks against it: a mixed key may well hold slashes.
+    mixed = value["letter_digit_changes"] >= 0.15 or value["case_changes"] >= 0.25
+    if given and value["digits"] < 1 and mixed and not value["address"] and value["dictionary_cover"] < 0.6:
+        return 1.0
     if value["number"] or value["address"] or value["path"] >= 2 or (value["dictionary_cover"] >= 0.6 and not given):
         return 0.0
-    if value["given"] and value["key_word_near"] and value["digits"] and value["digits"] < 1 and value["letter_digit_changes"] >= 0.15:
+    if given and value["digits"] < 1 and value["letter_digit_changes"] >= 0.15:
         return 1.0
     return None
 
@@ -187,13 +211,13 @@ def _findings(documents: DataFrame, words: list[tuple[bytes, int]]) -> DataFrame
 def scan_secrets(documents: DataFrame, labels: DataFrame | None = None, training_rows: int = TRAINING_ROWS) -> DataFrame:
     """(doc_id, start, end, masked, score, is_secret), one row per candidate.
 
-    start and end are bytes of the text, masked is the candidate with all but its first four characters hidden, score the
+    start and end are bytes of the text, masked is the candidate with all but its first quarter, SHOWN characters at most, hidden, score the
     forest's probability that it is a secret. ``labels`` are (doc_id, start, secret 0/1); without them the formats' own
     verdicts are the labels. Null and empty texts have no candidates. Repeated rows are reported each. With labels of
     fewer than two classes, every candidate gets that class, or counts as a secret. Other columns are not read.
     """
     texts = documents.select("doc_id", "text")
-    dictionary = common_words(count_words(texts), DICTIONARY)
+    dictionary = common_words(kept(count_words(texts)), DICTIONARY)
     found = _findings(texts, dictionary)
     if labels is not None:
         marked = labels.groupBy(F.col("doc_id").alias("of"), F.col("start").alias("at")).agg(F.max(F.col("secret").cast("double")).alias("marked"))
@@ -208,5 +232,6 @@ def scan_secrets(documents: DataFrame, labels: DataFrame | None = None, training
         training = kept(found.where(F.col("label").isNotNull() & chosen).select("features", "label").repartition(4))
         model = RandomForestClassifier(numTrees=TREES, maxDepth=DEPTH, seed=13).fit(training)
         scored = model.transform(found).withColumn("score", vector_to_array("probability")[1])
-    masked = F.concat(F.substring("found", 1, 4), F.repeat(F.lit("*"), F.greatest(F.length("found") - 4, F.lit(0))))
+    shown = F.least(F.lit(SHOWN), F.floor(F.length("found") / SHOWN).cast("int"))
+    masked = F.concat(F.left("found", shown), F.repeat(F.lit("*"), F.length("found") - shown))
     return scored.select("doc_id", "start", "end", masked.alias("masked"), "score", (F.col("score") >= 0.5).alias("is_secret"))

@@ -9,13 +9,16 @@ from __future__ import annotations
 import gc
 import uuid
 import zlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from functools import wraps
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 SETTING = "spark.checkpoint.dir"
 WORD = r"[^\x20\x09-\x0D]+"
+#: The columns that operators read.
+DOCUMENT_COLUMNS = ("doc_id", "text", "lang", "source")
 #: Texts are worked on in slices of about so many bytes, so that a task's memory does not follow its input.
 SLICE_BYTES = 4 << 20
 
@@ -50,6 +53,21 @@ def release(spark: SparkSession) -> None:
     spark.sparkContext._jvm.System.gc()
 
 
+def keeps_columns(stage: Callable[..., DataFrame]) -> Callable[..., DataFrame]:
+    """A stage that returns rows of its first argument, whatever its other columns are called: with dots, quotes or twice the same.
+
+    The stage sees DOCUMENT_COLUMNS (the first of each name) as they are, and all others under names by position.
+    """
+
+    @wraps(stage)
+    def run(documents: DataFrame, *args, **named) -> DataFrame:
+        names = documents.columns
+        plain = [name if name in DOCUMENT_COLUMNS and names.index(name) == place else f"_column_{place}" for place, name in enumerate(names)]
+        return stage(documents.toDF(*plain), *args, **named).select(*plain).toDF(*names)
+
+    return run
+
+
 def remainder(doc_id: Column, divisor: int) -> Column:
     """crc32 of the id's decimal text, modulo the divisor; a null id counts as the empty text (0)."""
     return F.crc32(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary")) % divisor

@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 
-from covermap.llm.common import slices
+from covermap.llm.common import keeps_columns, slices
 
 PIECE_WORDS = 64
 PASSAGE_WORDS = 32
@@ -282,6 +282,7 @@ def benchmark_leaks(documents: DataFrame, benchmark: DataFrame, rank: int = RANK
     return result
 
 
+@keeps_columns
 def without_leaks(documents: DataFrame, benchmark: DataFrame, rank: int = RANK) -> DataFrame:
     """The rows of ``documents``, all columns, in whose text no benchmark item is found."""
     place = documents.columns.index("text")

@@ -19,7 +19,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from covermap.llm.common import WORD, kept
+from covermap.llm.common import WORD, keeps_columns, kept
 
 WEIGHTS = (1, 2, 3)
 MOST_REPEATS = 3
@@ -100,7 +100,7 @@ def plan_mix(documents: DataFrame, blocks: int = BLOCKS, shards: int = SHARDS, s
     ``times`` says how often the mix takes the document, ``shards`` to which output shard each time,
     ``place`` is its position in the permutation. Null and empty texts have size 0, and a null source is a source.
     Rows that are equal in id and text share a place; an empty table gives no rows; other columns are not read.
-    A source of size 0 has target 0 and is not taken.
+    A source of size 0 has target 0 and is not taken. A text of size 0 is taken MOST_REPEATS times at most, as any other.
     """
     spark = documents.sparkSession
     place = F.xxhash64(F.lit(seed), F.col("doc_id").cast("bigint"), F.xxhash64(F.col("text").cast("string")))
@@ -147,7 +147,8 @@ def plan_mix(documents: DataFrame, blocks: int = BLOCKS, shards: int = SHARDS, s
     times = (F.col("full") + F.when(F.coalesce(more, F.lit(False)), 1).otherwise(0)).cast("int")
     # The block's rank among the source's taken ones decides its shard, pass after pass.
     shard = lambda turn: F.size(F.filter("ends", lambda end: end <= turn.cast("bigint") * F.col("blocks") + F.col("number")))
-    taken = taken.withColumn("times", F.when(F.col("source_size") > 0, times).otherwise(0))
+    # Texts without words fill no target, so a block of them may be whole at the bound too.
+    taken = taken.withColumn("times", F.when(F.col("source_size") > 0, F.least(times, F.lit(MOST_REPEATS))).otherwise(0))
     taken = kept(taken.select(
         "doc_id", "source", "place", "size", "source_size", "target", "full", "times",
         F.when(F.col("times") > 0, F.transform(F.sequence(F.lit(0), F.col("times") - 1), shard)).otherwise(F.array().cast("array<int>")).alias("shards")))
@@ -185,6 +186,7 @@ def _fillers(taken: DataFrame) -> DataFrame:
         "of": pa.array([source for source, _ in found], pa.string()), "filler": pa.array([place for _, place in found], pa.int64())}))
 
 
+@keeps_columns
 def mix(documents: DataFrame, plan: DataFrame | None = None, seed: int = SEED) -> DataFrame:
     """The drawn documents with all their columns: each as often as it is taken, dealt to shards and shuffled there.
 

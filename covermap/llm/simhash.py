@@ -20,7 +20,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, functions as F, types as T
 
-from covermap.llm.common import kept, slices
+from covermap.llm.common import keeps_columns, kept, slices
 from covermap.llm.components import components
 
 SHINGLE_WORDS = 3
@@ -298,6 +298,7 @@ def near_duplicates(documents: DataFrame, radius: int = RADIUS, partitions: int
     return rows.join(named, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+@keeps_columns
 def first_of_each(documents: DataFrame, radius: int = RADIUS, partitions: int = PARTITIONS, similarity: float | None = None) -> DataFrame:
     """The rows of ``documents``, all columns, that stay: of each group of near duplicates the smallest doc_id.
 

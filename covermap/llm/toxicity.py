@@ -19,7 +19,7 @@ from pyspark.ml.regression import IsotonicRegression
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
-from covermap.llm.common import kept, remainder, slices
+from covermap.llm.common import keeps_columns, kept, remainder, slices
 
 #: Plain insults, in alphabetical order; what else marks toxic documents is learnt.
 LEXICON = (
@@ -188,6 +188,7 @@ def toxic_scores(documents: DataFrame, labels: DataFrame) -> DataFrame:
     return scored.select("doc_id", held_out.alias("held_out"), "score", (F.col("score") >= THRESHOLD).cast("int").alias("predicted"))
 
 
+@keeps_columns
 def without_toxic(documents: DataFrame, labels: DataFrame) -> DataFrame:
     """The rows of ``documents``, all columns, whose score is below the threshold."""
     held_out = remainder(F.col("doc_id"), 3) == 1

@@ -99,3 +99,13 @@ def test_empty_table_and_sources_without_words(spark, nothing):
     assert taken_words(nothing).collect() == [] and mix(nothing).collect() == []
     rows = spark.createDataFrame([(1, None, "a"), (2, " ", None)], "doc_id bigint, text string, source string")
     assert sorted((r.doc_id, r.size, r.target, r.taken) for r in taken_words(rows).collect()) == [(1, 0, 0.0, 0), (2, 0, 0.0, 0)]
+
+
+def test_texts_without_words_are_not_taken_oftener_than_others(spark):
+    """A source at its bound, with empty texts: target and size agree, so nothing is left for them."""
+    rows = [(n, "a b c" if n % 3 else "", "small") for n in range(90)] + [(1000 + n, "x " * 50, "z") for n in range(400)]
+    frame = spark.createDataFrame(rows, "doc_id bigint, text string, source string")
+    plan = plan_mix(frame).collect()
+    assert max(row.times for row in plan) == 3 and all(len(row.shards) == row.times for row in plan)
+    drawn = mix(frame).groupBy("doc_id").count().collect()
+    assert {row.doc_id: row["count"] for row in drawn} == {row.doc_id: row.times for row in plan if row.times}

@@ -259,11 +259,13 @@ def search(documents: DataFrame, queries: DataFrame, top: int = TOP, block_terms
     blocks = -(-wanted.count() // block_terms)
     found = []
     for number in range(blocks):
-        own = wanted.where(F.pmod(F.xxhash64("query"), F.lit(blocks)) == number).select("query", "item_id", "term", "df").toPandas()
-        if own.empty:
+        own = wanted.where(F.pmod(F.xxhash64("query"), F.lit(blocks)) == number).select("query", "item_id", "term", "df").toArrow().to_pylist()
+        if not own:
             continue
-        items = [(rows["item_id"].tolist()[0], [bytes(term) for term in rows["term"]]) for _, rows in own.groupby("query", sort=True)]
-        block = Block([terms for _, terms in items], dict(zip(map(bytes, own["term"]), own["df"].tolist())), count, words)
+        items: dict[int, tuple] = {}
+        for row in own:
+            items.setdefault(row["query"], (row["item_id"], []))[1].append(row["term"])
+        block = Block([terms for _, terms in items.values()], {row["term"]: row["df"] for row in own}, count, words)
         shared = spark.sparkContext.broadcast(block)
         likely = _first(_highest_bounds(sketches, shared, top), top).select("doc_id").distinct()
         last = np.ones(block.size, dtype=np.int64)
@@ -273,7 +275,7 @@ def search(documents: DataFrame, queries: DataFrame, top: int = TOP, block_terms
             ids[row["query"]] = row["doc_id"] if row["doc_id"] is not None else np.iinfo(np.int64).max
         rest = kept(_not_excluded(sketches, shared, spark.sparkContext.broadcast((last, ids))))
         ranked = _first(_scored(texts, rest, shared, top), top)
-        names = spark.createDataFrame([(place, item) for place, (item, _) in enumerate(items)], f"query int, item_id {kind}")
+        names = spark.createDataFrame([(place, item) for place, (item, _) in enumerate(items.values())], f"query int, item_id {kind}")
         found.append(kept(ranked.join(names, "query").select("item_id", "rank", "doc_id", "score")))
         shared.destroy()
     none = spark.createDataFrame([], f"item_id {kind}, rank int, doc_id bigint, score bigint")

@@ -1,0 +1,90 @@
+import random
+import re
+from collections import Counter, defaultdict
+
+import pytest
+
+from covermap.llm import collocations as module
+from covermap.llm.collocations import collocations
+
+NAMES = ["lang", "rank", "phrase", "a", "l", "r", "n", "score"]
+
+
+def brute(rows, least, top, longest=5):
+    """As the docstring says it, phrase by phrase with whole numbers of any size."""
+    counts, total = defaultdict(Counter), Counter()
+    for lang, text in rows:
+        lang = lang if lang is not None else "und"
+        lowered = "".join(c.lower() if "A" <= c <= "Z" else c for c in text or "")
+        for piece in re.split(r"[.,;:!?\x0A-\x0D]", lowered):
+            words = re.findall(r"[^\x20\x09]+", piece)
+            total[lang] += len(words)
+            for size in range(1, longest + 1):
+                for at in range(len(words) - size + 1):
+                    counts[lang][tuple(words[at:at + size])] += 1
+    result = []
+    for lang, own in counts.items():
+        frequent = {phrase: a for phrase, a in own.items() if len(phrase) > 1 and a >= least}
+        found = []
+        for phrase, a in frequent.items():
+            inside = lambda other: any(other[i:i + len(phrase)] == phrase for i in range(len(other) - len(phrase) + 1))
+            if any(len(other) > len(phrase) and 100 * f >= 100 * a and inside(other) for other, f in frequent.items()):
+                continue
+            score, _, left, right = min((1000 * a * total[lang] // (own[phrase[:k]] * own[phrase[k:]]), k, own[phrase[:k]], own[phrase[k:]]) for k in range(1, len(phrase)))
+            found.append((-score, -a, " ".join(phrase).encode(), left, right))
+        for rank, (score, a, phrase, left, right) in enumerate(sorted(found)[:top], 1):
+            result.append((lang, rank, phrase.decode(), -a, left, right, total[lang], -score))
+    return sorted(result)
+
+
+def texts():
+    draw, rows = random.Random(5), []
+    words = ["Ä", "ä", "the", "The", "of", "nul\x00l", "x\x1cy", "é", "blue", "moon", "rise", "🌕"]
+    for n in range(160):
+        parts = [" ".join(draw.choice(words) for _ in range(draw.randrange(12))) for _ in range(6)]
+        rows.append((["en", "de", None, "und"][n % 4], draw.choice([". ", ",", "\n", "\x0b", "! ? ", "\t"]).join(parts)))
+    rows += [("en", "blue moon rise of the"), ("en", "a a a a a a a a"), ("en", None), ("de", ""), (None, " \t\n. "), ("fr", "seldom"), ("en", "rise " * 9000)]
+    return rows + [rows[3]] * 5
+
+
+@pytest.fixture(scope="module")
+def frame(spark):
+    rows = [(n % 50, text, lang, "s", 1, 2, b"x", "y") for n, (lang, text) in enumerate(texts())]
+    return spark.createDataFrame(rows, "doc_id bigint, text string, lang string, word string, n int, a int, ids binary, p1 string").repartition(3)
+
+
+@pytest.mark.parametrize("options", [{}, {"dictionary": 4}, {"dictionary": 0, "trie_phrases": 90, "most_bits": 12}])
+def test_equals_brute_force(frame, options):
+    result = collocations(frame, least=9, top=40, **options)
+    assert result.columns == NAMES
+    assert sorted(map(tuple, result.collect())) == brute(texts(), 9, 40)
+
+
+def test_ties_stand_by_bytes_and_the_cut_is_exact(frame):
+    whole, cut = brute(texts(), 6, 10_000), collocations(frame, least=6, top=5)
+    assert sorted(map(tuple, cut.collect())) == [row for row in whole if row[1] <= 5]
+
+
+def test_nothing(spark, nothing):
+    assert collocations(nothing).collect() == [] and collocations(nothing).columns == NAMES
+    few = spark.createDataFrame([(1, "one two three", "en"), (2, None, None)], "doc_id bigint, text string, lang string")
+    assert collocations(few).collect() == []
+
+
+def test_products_pass_64_bits(spark):
+    """Counts as of a very large corpus: score and cut come from whole numbers."""
+    a, n, left, right = 9_000_000_000, 4_000_000_000_000, 9_000_000_001, 9_000_000_007
+    row = spark.sql(f"SELECT (CAST(1000 * CAST({a}L AS DECIMAL(19, 0)) AS DECIMAL(22, 0)) * CAST({n}L AS DECIMAL(15, 0)))"
+                    f" div (CAST({left}L AS DECIMAL(19, 0)) * CAST({right}L AS DECIMAL(19, 0))) AS score").first()
+    assert row.score == 1000 * a * n // (left * right)
+
+
+def test_candidates_are_few(frame, monkeypatch):
+    """Only phrases of full buckets are sent to the tries."""
+    sizes = []
+    real = module._tries
+    monkeypatch.setattr(module, "_tries", lambda phrases, size, most: sizes.append((size, phrases.count())) or real(phrases, size, most))
+    collocations(frame, least=9).collect()
+    pairs = [count for size, count in sizes if size == 2]
+    frequent = sum(len(row[2].split()) == 2 for row in brute(texts(), 9, 10_000))
+    assert frequent and max(pairs) < 500

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
-from covermap.llm.common import kept
+from covermap.llm.common import kept, release
 
 
 def _state(edges: DataFrame) -> tuple:
@@ -37,6 +37,7 @@ def components(links: DataFrame, left: str, right: str) -> DataFrame:
         if new == state:
             break
         state = new
+        release(links.sparkSession)
     centres = edges.select("v").distinct()
     return edges.select(F.col("u").alias("node"), F.col("v").alias("component")).union(
         centres.select(F.col("v").alias("node"), F.col("v").alias("component")))

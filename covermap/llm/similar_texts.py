@@ -2,9 +2,9 @@
 
 Texts are candidates where all ROWS min-hashes of one of BANDS bands are equal; a pair of similarity s is one with
 probability 1 - (1 - s ** ROWS) ** BANDS, 0.9998 for 0.8. Candidates are verified on their whole sets of shingles. Groups of up to
-LEADERS texts of a band are compared entirely. In larger ones every text meets a few leaders, other ones in each band; texts that are
-near none of them are dealt to finer groups by FINER further bands, again until no large group is left. Texts that have no more in common than
-a frequent line part at once, and very many copies are near their leaders, so rows stay in proportion to the texts either way.
+LEADERS texts of a band are compared entirely. In larger ones every text meets a leader, another one in each band; texts that are
+not near it are dealt to finer groups by FINER further bands, again until no large group is left. Texts that have no more in common than
+a frequent line part at once, and very many copies are near their leader, so rows stay in proportion to the texts either way.
 """
 
 from __future__ import annotations
@@ -17,15 +17,15 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, Window, functions as F
 
-from covermap.llm.common import kept, slices
+from covermap.llm.common import kept, release, slices
 from covermap.llm.simhash import shingle_hashes
 
 SHINGLE_WORDS = 5
 BANDS = 16
 ROWS = 4
 LEADERS = 8
-#: Leaders of a larger group, and the further bands that its other texts are dealt by.
-LARGE_LEADERS = 2
+#: The leader of a larger group, and the further bands that its other texts are dealt by.
+LARGE_LEADERS = 1
 FINER = 4
 
 
@@ -156,5 +156,6 @@ def similar_groups(documents: DataFrame, nodes: DataFrame, least: float) -> Data
         settled = settled.union(first.select("key", "a")).distinct()
         rest = kept(_met(_finer(rest.where(large).join(settled, ["key", "node"], "left_anti"), sets, seed)))
         seed += 1
+        release(documents.sparkSession)
     none = documents.sparkSession.createDataFrame([], "a bigint, b bigint")
     return kept(reduce(DataFrame.union, found, none).distinct())

@@ -16,6 +16,9 @@ HIDDEN = 24
 CLASS_WORDS = 64
 WINDOW = 48
 MOST_LANES = 512
+#: Training uses as many lanes as leave a pass about so many steps, at most TRAINING_LANES.
+TRAINING_STEPS = 64
+TRAINING_LANES = 256
 LEARNING_RATE = 0.01
 _CLIP = {"gates": 6.0, "recurrent": 3.0, "class_weights": 2.5, "class_bias": 12.0, "word_weights": 2.5, "word_bias": 12.0}
 
@@ -141,12 +144,13 @@ class Gru:
             if edges[number] < edges[number + 1]:
                 yield number, order[edges[number] : edges[number + 1]]
 
-    def train(self, documents: list[np.ndarray], lanes: int = 64) -> float:
+    def train(self, documents: list[np.ndarray], lanes: int | None = None) -> float:
         """One pass of truncated backpropagation over the documents, by Adam; the mean loss per token.
 
         States run on over the windows, gradients end at them.
         """
-        tokens, owner, first = lanes_of(documents, lanes)
+        lanes = lanes or sum(map(len, documents)) // (WINDOW * TRAINING_STEPS)
+        tokens, owner, first = lanes_of(documents, min(max(lanes, 16), TRAINING_LANES))
         rows = self._inputs(tokens, first)
         state = np.zeros((len(tokens), HIDDEN), np.float32)
         moments = {name: (np.zeros_like(w), np.zeros_like(w)) for name, w in self.weights.items()}
@@ -196,19 +200,27 @@ class Gru:
             back[chosen] += odds @ weights["word_weights"][number].T
         into = np.zeros((states.shape[0] * states.shape[1], HIDDEN), np.float32)
         into[there] = back
-        into = into.reshape(states.shape)
+        # [step, lane, ...], so that a step's numbers lie together.
+        into = np.ascontiguousarray(into.reshape(states.shape).transpose(1, 0, 2))
+        before, update, reset, new, u = map(np.stack, zip(*keep))
+        by_update, by_new, by_reset = (before - new) * update * (1 - update), (1 - update) * (1 - new * new), u * reset * (1 - reset)
+        going_on = (~first.T[:, :, None]).astype(np.float32)
+        back_through = np.ascontiguousarray(weights["recurrent"].T)
         carried = np.zeros((states.shape[0], HIDDEN), np.float32)
-        sums = np.empty((*rows.shape, 3 * HIDDEN), np.float32)
-        for step in range(rows.shape[1] - 1, -1, -1):
-            before, update, reset, new, u = keep[step]
-            d = carried + into[:, step]
-            d_new = d * (1 - update) * (1 - new * new)
-            sums[:, step, :HIDDEN] = d * (before - new) * update * (1 - update)
-            sums[:, step, HIDDEN : 2 * HIDDEN] = d_new * u * reset * (1 - reset)
-            sums[:, step, 2 * HIDDEN :] = d_new
-            inner = sums[:, step].copy()
-            inner[:, 2 * HIDDEN :] *= reset
-            gradients["recurrent"] += before.T @ inner
-            carried = np.where(first[:, step, None], np.float32(0), d * update + inner @ weights["recurrent"].T)
-        np.add.at(gradients["gates"], rows.ravel(), sums.reshape(-1, 3 * HIDDEN))
+        sums = np.empty((*into.shape[:2], 3 * HIDDEN), np.float32)
+        inner = np.empty_like(sums)
+        for step in range(len(keep) - 1, -1, -1):
+            d = carried + into[step]
+            d_new = d * by_new[step]
+            np.multiply(d, by_update[step], out=sums[step, :, :HIDDEN])
+            np.multiply(d_new, by_reset[step], out=sums[step, :, HIDDEN : 2 * HIDDEN])
+            sums[step, :, 2 * HIDDEN :] = d_new
+            inner[step, :, : 2 * HIDDEN] = sums[step, :, : 2 * HIDDEN]
+            np.multiply(d_new, reset[step], out=inner[step, :, 2 * HIDDEN :])
+            carried = (d * update[step] + inner[step] @ back_through) * going_on[step]
+        gradients["recurrent"] += before.reshape(-1, HIDDEN).T @ inner.reshape(-1, 3 * HIDDEN)
+        order = np.argsort(rows.T, axis=None, kind="stable")
+        own = rows.T.ravel()[order]
+        starts = np.flatnonzero(np.append(True, own[1:] != own[:-1]))
+        gradients["gates"][own[starts]] = np.add.reduceat(sums.reshape(-1, 3 * HIDDEN)[order], starts, axis=0)
         return gradients, loss

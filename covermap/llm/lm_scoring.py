@@ -3,8 +3,8 @@
 1. All words of the documents that may be learnt from are counted. The commonest make a dictionary of bounded size.
 2. The commonest of these have classes of their own with a softmax over the class's words. Every other word belongs to
    a class by its ending; within it, it has the add-one share of its count, and one unseen word is allowed for.
-3. The recurrent weights are trained by truncated backpropagation over a sample that grows with the corpus, in
-   rounds: each task trains on its part, and the weights are averaged.
+3. The recurrent weights are trained by truncated backpropagation over all documents that may be learnt from, each once.
+   A round takes a part of them, chosen by hash: each task trains on its shard, and the weights are averaged.
 4. Every document is read whole, its state carried from window to window. Words outside the dictionary meet their
    counts in a join, and their shares are added to the document's score.
 """
@@ -29,12 +29,12 @@ DICTIONARY = 1 << 18
 LONGEST = 64
 HEAD_CLASSES = 32
 TAIL_CLASSES = 32
-#: The recurrent weights see one in SAMPLE_SHARE documents, but at least about SAMPLE_LEAST.
-SAMPLE_SHARE = 64
-SAMPLE_LEAST = 3_000
-#: Documents that one task trains on in a round.
-SHARD_DOCUMENTS = 500
+#: Documents that one task trains on in a round, about.
+SHARD_DOCUMENTS = 2_000
+#: Each round trains on one part in ROUNDS of the documents.
 ROUNDS = 4
+#: So many tasks' weights are averaged by one task, again and again until as few are left for the driver.
+AVERAGED = 32
 #: Texts laid side by side in lanes, in bytes.
 LANE_BYTES = 12 << 20
 
@@ -154,16 +154,12 @@ def _trained(documents: DataFrame, lexicon: Lexicon, trained: int) -> dict[str,
     weights = new_weights(lexicon.vocabulary, *lexicon.shares())
     if not trained:
         return weights
-    wanted = max(SAMPLE_LEAST, trained / SAMPLE_SHARE)
-    part = F.pmod(F.xxhash64(F.lit(29), "doc_id", "text"), F.lit(1 << 20))
-    sample = documents.where(part < int(min(1.0, wanted / trained) * (1 << 20))).select(F.col("text").cast("string"))
-    shards = max(4, round(min(wanted, trained) / SHARD_DOCUMENTS))
-    # Written once, a file for each shard, so that every round and every repeated task reads the same shards.
-    sample = kept(sample.repartition(shards))
+    part = F.pmod(F.xxhash64(F.lit(29), "doc_id", "text"), F.lit(ROUNDS))
+    shards = max(1, round(trained / ROUNDS / SHARD_DOCUMENTS))
     shared = spark.sparkContext.broadcast(lexicon)
     names, shapes = list(weights), {name: w.shape for name, w in weights.items()}
 
-    for _ in range(ROUNDS):
+    for turn in range(ROUNDS):
         start = spark.sparkContext.broadcast({name: w.astype(np.float32) for name, w in weights.items()})
 
         def train(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -185,11 +181,14 @@ def _trained(documents: DataFrame, lexicon: Lexicon, trained: int) -> dict[str,
                 yield pa.RecordBatch.from_arrays(
                     [pa.array([tokens]), pa.array([(total / tokens).astype("<f4").tobytes()], pa.binary())], names=["tokens", "weights"])
 
-        # Shards are averaged in groups before the driver averages the groups.
-        rows = sample.mapInArrow(train, "tokens double, weights binary")
-        if shards > 64:
-            rows = rows.repartition(16).mapInArrow(average, "tokens double, weights binary")
+        rows = documents.where(part == turn).select(F.col("text").cast("string")).repartition(shards).mapInArrow(train, "tokens double, weights binary")
+        left = shards
+        while left > AVERAGED:
+            left = -(-left // AVERAGED)
+            rows = rows.repartition(left).mapInArrow(average, "tokens double, weights binary")
         rows = rows.collect()
+        if not rows:
+            continue
         total = sum(row.tokens for row in rows)
         flat = sum((row.tokens / total) * np.frombuffer(bytes(row.weights), dtype="<f4").astype(np.float64) for row in rows)
         edges = np.cumsum([0] + [int(np.prod(shapes[name])) for name in names])

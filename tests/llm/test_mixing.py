@@ -4,13 +4,27 @@ import numpy as np
 import pytest
 from hypothesis import given, settings, strategies as st
 
-from covermap.llm.mixing import mix, plan_mix, split_quotas, taken_words, targets
+from covermap.llm import mixing
+from covermap.llm.mixing import mix, plan_mix, source_targets, split_quotas, taken_words
 
 
 def size(text):
     return len(re.findall(r"[^\x20\x09-\x0D]+", text or ""))
 
 
+def targets(sizes, weights=(1, 2, 3), most=3):
+    """By the definition, source after source."""
+    shares, total, bounded = [weights[i % len(weights)] for i in range(len(sizes))], sum(sizes), set()
+    while True:
+        rest = total - sum(most * sizes[i] for i in bounded)
+        free = sum(share for i, share in enumerate(shares) if i not in bounded)
+        result = [float(most * size) if i in bounded else rest * shares[i] / free for i, size in enumerate(sizes)]
+        above = {i for i, size in enumerate(sizes) if i not in bounded and result[i] > most * size}
+        if not above:
+            return result
+        bounded |= above
+
+
 def test_targets():
     assert targets([100, 100, 100]) == pytest.approx([50, 100, 150])
     # The third may give 3 times its own; the rest goes to the others by weight, of which the second is then bounded too.
@@ -30,6 +44,46 @@ def test_targets_by_their_definition(sizes):
     assert not free or not bounded or max(bounded) <= min(free) + 1e-6
 
 
+@pytest.mark.parametrize("sizes", [[100, 100, 100], [1000, 10, 10], [0, 0], [5], [], [3, 10**12, 1, 0, 40], [10**k for k in range(15)], [7] * 40 + [9000]])
+def test_targets_in_spark_are_those_of_the_definition(spark, sizes):
+    names = sorted(f"s{chr(0x2000 + 77 * i)}{i}" for i in range(len(sizes) - 1)) + [None]
+    rows = list(zip(names, sizes)) if sizes else []
+    found = source_targets(spark.createDataFrame(rows, "source string, size bigint").repartition(3)).orderBy("number").collect()
+    assert [(row.source, row.source_size, row.number) for row in found] == [(name, size, i) for i, (name, size) in enumerate(rows)]
+    assert [row.target for row in found] == pytest.approx(targets(sizes))
+
+
+def test_any_number_of_sources(spark):
+    """20,000 sources: targets as by the definition, every source near its own, quotas split over even shards."""
+    draw = np.random.default_rng(5)
+    sizes = {f"host{n:05d}": int(size) for n, size in enumerate(draw.integers(1, 60, 20_000))} | {"host00007": 40_000}
+    rows = [(n, "w " * min(size, 50), name) for n, (name, size) in enumerate(sizes.items())]
+    rows += [(100_000 + n, "w " * 50, "host00007") for n in range(799)]
+    frame = spark.createDataFrame(rows, "doc_id bigint, text string, source string").repartition(4)
+    plan = plan_mix(frame).collect()
+    totals = {}
+    for row in plan:
+        totals[row.source] = totals.get(row.source, 0) + row.size
+    names = sorted(totals)
+    wanted = dict(zip(names, targets([totals[name] for name in names])))
+    assert len(plan) == len(rows) and all(row.target == pytest.approx(wanted[row.source]) for row in plan)
+    assert max(row.times for row in plan) == 3 and all(len(row.shards) == row.times for row in plan)
+    taken = sum(row.times * row.size for row in plan if row.source == "host00007")
+    assert taken == pytest.approx(wanted["host00007"], abs=50)
+    counts = np.bincount([shard for row in plan for shard in row.shards], minlength=16)
+    assert len(counts) == 16 and counts.min() > 0.9 * counts.mean()
+
+
+def test_groups_of_sources_share_the_tree(spark, many, monkeypatch):
+    """With fewer groups than sources every shard still gets its blocks, and the same documents are taken."""
+    before = {(row.doc_id, row.times) for row in plan_mix(many).collect()}
+    monkeypatch.setattr(mixing, "QUOTA_GROUPS", 2)
+    plan = plan_mix(many, blocks=2048, shards=8).collect()
+    assert {(row.doc_id, row.times) for row in plan} == before
+    counts = np.bincount([shard for row in plan for shard in row.shards], minlength=8)
+    assert len(counts) == 8 and counts.min() > 0.7 * counts.mean()
+
+
 @settings(max_examples=40, deadline=None)
 @given(st.lists(st.integers(0, 400), min_size=1, max_size=8), st.integers(1, 17))
 def test_split_is_exact_and_even(quotas, shards):

@@ -1,7 +1,7 @@
 """Benchmark decontamination by latent semantic retrieval.
 
-1. Benchmark items are cut into pieces of at most PIECE_WORDS words. The words' document frequencies are counted
-   over all documents.
+1. Benchmark items are cut into pieces of at most PIECE_WORDS words; in scripts without spaces a character is a word. The
+   words' document frequencies are counted over all documents.
 2. A randomised singular value decomposition of the pieces' TF-IDF matrix, computed by distributed passes over its rows,
    gives each word a place in a latent space of a dimension for each piece, at most RANK in a block of items.
 3. Every document is read whole, as passages of PASSAGE_WORDS words that start every STRIDE words. A passage's latent vector
@@ -10,14 +10,18 @@
 4. Candidates are checked word by word: by the longest common subsequence of the piece and the passage's
    surroundings, and by the piece's answer, its most telling late words. So passages with changed, added or
    left out words are found, and passages on the same subject are not.
+5. Items of fewer than SHORT_PIECE words are looked for as they are, word after word.
+
+Blocks are indexed and searched BLOCKS_PER_PASS at a time, so that the documents are read twice for all of them.
 """
 
 from __future__ import annotations
 
+import re
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
-from itertools import repeat
+from itertools import islice, repeat
 
 import numpy as np
 import pyarrow as pa
@@ -32,25 +36,33 @@ STRIDE = 16
 #: Pieces in a block of items, each with a dimension of its own: with fewer dimensions than pieces, whole passages would be missed.
 RANK = 256
 OVERSAMPLING = 8
-#: So many items are looked for in one pass over the documents; it bounds what is broadcast.
-ITEMS_PER_PASS = 500
+#: Items in a block, and blocks in one pass over the documents; they bound what is broadcast.
+ITEMS_PER_BLOCK = 500
+BLOCKS_PER_PASS = 8
 LEAST_COSINE = 0.35
 #: The share of a piece's words that must stand in the document in order: alone, or where the answer is there too.
 LEAST_COMMON = 0.75
 LEAST_COMMON_WITH_ANSWER = 0.6
 LEAST_ANSWER = 0.75
 ANSWER_WORDS = 4
-#: Pieces of fewer words must be there entirely, one word after the other; still shorter ones say too little to be found.
+#: Items of fewer words must be there entirely, one word after the other; one or two words say too little to be told from clean text.
 SHORT_PIECE = 8
-LEAST_WORDS = 5
+LEAST_WORDS = 3
 
 _CAPITALS, _SMALL = bytes(range(65, 91)), bytes(range(97, 123))
 _PUNCTUATION = bytes(b for b in range(33, 127) if not chr(b).isalnum() and b != 39)
 _PLAIN = bytes.maketrans(_CAPITALS + _PUNCTUATION, _SMALL + b" " * len(_PUNCTUATION))
+#: UTF-8 of the punctuation of scripts without spaces, and of their characters: ideographs, kana, Thai, Lao, Myanmar, Khmer.
+_MARKS = re.compile(rb"\xe3\x80[\x80-\x84\x87-\xbf]|\xef\xbc[\x81-\x8f\x9a-\xa0\xbb-\xbf]|\xef\xbd[\x80\x9b-\xa5]")
+_UNSPACED = re.compile(rb"[\xe3-\xe9][\x80-\xbf]{2}|\xe0[\xb8-\xbb][\x80-\xbf]|\xe1[\x80-\x82\x9e\x9f][\x80-\xbf]|\xf0[\xa0-\xbf][\x80-\xbf]{2}")
 
 
 def plain_words(text: bytes) -> list[bytes]:
-    return text.translate(_PLAIN).split()
+    """Runs between white space and ASCII punctuation, A-Z lower-cased; each character of a script without spaces is a word."""
+    text = text.translate(_PLAIN)
+    if not text.isascii():
+        text = _UNSPACED.sub(rb" \g<0> ", _MARKS.sub(b" ", text))
+    return text.split()
 
 
 @dataclass
@@ -60,6 +72,8 @@ class Pieces:
     item_ids: list
     words: list[list[bytes]]
     vocabulary: dict[bytes, int]
+    short: list[tuple[object, list[bytes]]]  # (item, words) of items below SHORT_PIECE words, which have no place in the space
+    short_by_word: dict[bytes, list[tuple[object, list[bytes], int]]] | None = None  # by their rarest word: (item, words, its place)
     idf: np.ndarray | None = None  # of the vocabulary's words, and last of all others
     vectors: np.ndarray | None = None  # [word, dimension], with the idf in them
     latent: np.ndarray | None = None  # [piece, dimension], of length 1 in the full space
@@ -73,17 +87,19 @@ class Pieces:
 
 
 def pieces_of(items: list[tuple[object, bytes]]) -> Pieces:
-    ids, pieces = [], []
+    ids, pieces, short = [], [], []
     for item_id, text in items:
         words = plain_words(text)
+        if len(words) < SHORT_PIECE:
+            if len(words) >= LEAST_WORDS:
+                short.append((item_id, words))
+            continue
         count = max(1, -(-len(words) // PIECE_WORDS))
         for number in range(count):
-            part = words[len(words) * number // count : len(words) * (number + 1) // count]
-            if len(part) >= LEAST_WORDS:
-                ids.append(item_id)
-                pieces.append(part)
-    vocabulary = {word: number for number, word in enumerate(sorted({word for piece in pieces for word in piece}))}
-    return Pieces(ids, pieces, vocabulary)
+            ids.append(item_id)
+            pieces.append(words[len(words) * number // count : len(words) * (number + 1) // count])
+    every = {word for piece in pieces for word in piece} | {word for _, words in short for word in words}
+    return Pieces(ids, pieces, {word: number for number, word in enumerate(sorted(every))}, short)
 
 
 def _document_frequencies(documents: DataFrame, vocabulary: dict[bytes, int]) -> tuple[np.ndarray, int]:
@@ -145,10 +161,24 @@ def randomised_svd(matrix: DataFrame, columns: int, rank: int, seed: int = 23) -
     return basis @ rotation[:, order]
 
 
-def _index(spark, documents: DataFrame, pieces: Pieces, rank: int) -> Pieces:
-    frequencies, total = _document_frequencies(documents, pieces.vocabulary)
-    pieces.idf = np.log((total + 1) / (frequencies + 1)) + 1
-    pieces.idf = np.append(pieces.idf, pieces.idf.mean() if len(pieces.idf) else 1.0)
+def _index(documents: DataFrame, blocks: list[Pieces]) -> list[Pieces]:
+    """The blocks with frequencies, counted in one pass for all of them, and latent vectors of a dimension for each piece."""
+    every = {word: number for number, word in enumerate(sorted({word for pieces in blocks for word in pieces.vocabulary}))}
+    frequencies, total = _document_frequencies(documents, every)
+    for pieces in blocks:
+        own = frequencies[[every[word] for word in pieces.vocabulary]]
+        pieces.idf = np.log((total + 1) / (own + 1)) + 1
+        pieces.idf = np.append(pieces.idf, pieces.idf.mean())
+        pieces.short_by_word = {}
+        for item, words in pieces.short:
+            place = max(range(len(words)), key=lambda place: pieces.idf[pieces.vocabulary[words[place]]])
+            pieces.short_by_word.setdefault(words[place], []).append((item, words, place))
+        if pieces.words:
+            _place(documents.sparkSession, pieces)
+    return blocks
+
+
+def _place(spark, pieces: Pieces) -> None:
     rows = []
     for words in pieces.words:
         counts = sorted(Counter(pieces.vocabulary[word] for word in words).items())
@@ -156,12 +186,11 @@ def _index(spark, documents: DataFrame, pieces: Pieces, rank: int) -> Pieces:
         rows.append(([word for word, _ in counts], (weights / np.linalg.norm(weights)).tolist()))
     matrix = spark.createDataFrame(pa.table({
         "words": pa.array([words for words, _ in rows], pa.list_(pa.int32())), "weights": pa.array([w for _, w in rows], pa.list_(pa.float64()))})).repartition(4)
-    vectors = randomised_svd(matrix, len(pieces.vocabulary), min(rank, len(rows)))
+    vectors = randomised_svd(matrix, len(pieces.vocabulary), len(rows))
     pieces.latent = np.array([np.array(weights) @ vectors[words] for words, weights in rows], dtype=np.float32)
     # One row of zeros stands for all words outside the vocabulary.
     pieces.vectors = np.vstack([vectors * pieces.idf[:-1, None], np.zeros((1, vectors.shape[1]))]).astype(np.float32)
     pieces.most = np.concatenate([(part @ pieces.latent.T).max(axis=1, initial=0) for part in np.array_split(pieces.vectors, len(pieces.vectors) // 1024 + 1)])
-    return pieces
 
 
 def common_subsequence(piece: list[bytes], words: list[bytes]) -> int:
@@ -203,54 +232,64 @@ def _candidates(words: list[bytes], pieces: Pieces, least_cosine: float) -> Iter
             yield int(first + rich[row]) * STRIDE, int(piece), float(cosines[row, piece])
 
 
-def _contains(words: list[bytes], piece: list[bytes]) -> bool:
-    return b" " + b" ".join(piece) + b" " in b" " + b" ".join(words) + b" "
+def _short_items(words: list[bytes], pieces: Pieces) -> Iterator[tuple[object, int]]:
+    """(item, first word) of each place where a short item stands."""
+    if not pieces.short_by_word:
+        return
+    for at, word in enumerate(words):
+        for item, own, place in pieces.short_by_word.get(word, ()):
+            if at >= place and words[at - place : at - place + len(own)] == own:
+                yield item, at - place
 
 
-def leaked_items(text: bytes, pieces: Pieces, least_cosine: float = LEAST_COSINE) -> list[tuple]:
+def leaked_items(text: bytes, blocks: list[Pieces], least_cosine: float = LEAST_COSINE) -> list[tuple]:
     """(item_id, first_word, cosine, common_share, answer_share) of each item found in a whole text, best place first."""
     words = plain_words(text)
-    if not words or not pieces.words:
-        return []
     found: dict = {}
-    for start, piece, cosine in sorted(_candidates(words, pieces, least_cosine), key=lambda c: (-c[2], c[0], c[1])):
-        item = pieces.item_ids[piece]
-        if item in found:
+    for pieces in blocks if words else ():
+        for item, start in _short_items(words, pieces):
+            found.setdefault(item, (item, start, 1.0, 1.0, 1.0))
+        if not pieces.words:
             continue
-        own = pieces.words[piece]
-        around = words[max(0, start - len(own)) : start + PASSAGE_WORDS + len(own)]
-        share = common_subsequence(own, around) / len(own)
-        answer = pieces.answer(piece)
-        told = sum(word in around for word in answer) / len(answer)
-        if _contains(around, own) if len(own) < SHORT_PIECE else share >= LEAST_COMMON or (share >= LEAST_COMMON_WITH_ANSWER and told >= LEAST_ANSWER):
-            found[item] = (item, start, cosine, share, told)
+        for start, piece, cosine in sorted(_candidates(words, pieces, least_cosine), key=lambda c: (-c[2], c[0], c[1])):
+            item = pieces.item_ids[piece]
+            if item in found:
+                continue
+            own = pieces.words[piece]
+            around = words[max(0, start - len(own)) : start + PASSAGE_WORDS + len(own)]
+            share = common_subsequence(own, around) / len(own)
+            answer = pieces.answer(piece)
+            told = sum(word in around for word in answer) / len(answer)
+            if share >= LEAST_COMMON or (share >= LEAST_COMMON_WITH_ANSWER and told >= LEAST_ANSWER):
+                found[item] = (item, start, cosine, share, told)
     return list(found.values())
 
 
-def _blocks(documents: DataFrame, benchmark: DataFrame, rank: int) -> Iterator[Pieces]:
+def _blocks(benchmark: DataFrame, rank: int) -> Iterator[Pieces]:
     """The benchmark, which is a query set, in blocks in the order of the items' ids.
 
-    A block has at most ITEMS_PER_PASS items and ``rank`` pieces, so that its latent space has a dimension for each piece and
-    loses none; an item of more pieces is a block of its own, with as many dimensions.
+    A block has at most ITEMS_PER_BLOCK items and ``rank`` pieces, so that its latent space has a dimension for each piece and
+    loses none; an item of more pieces is a block of its own, with as many dimensions. Items that share an id stay together.
     """
     block: list[tuple[object, bytes]] = []
     count = 0
     rows = benchmark.select(F.col("item_id").cast("bigint"), F.col("text").cast("string")).orderBy("item_id", "text")
-
-    def indexed() -> Iterator[Pieces]:
-        pieces = pieces_of(block)
-        if pieces.words:
-            yield _index(documents.sparkSession, documents, pieces, len(pieces.words))
-
     for row in rows.toLocalIterator():
         item = (row.item_id, (row.text or "").encode())
         own = len(pieces_of([item]).words)
-        if block and (len(block) == ITEMS_PER_PASS or count + own > rank):
-            yield from indexed()
+        if block and item[0] != block[-1][0] and (len(block) >= ITEMS_PER_BLOCK or count + own > rank):
+            yield pieces_of(block)
             block, count = [], 0
         block.append(item)
         count += own
-    yield from indexed()
+    yield pieces_of(block)
+
+
+def _passes(documents: DataFrame, benchmark: DataFrame, rank: int) -> Iterator[list[Pieces]]:
+    """The indexed blocks that are looked for in one pass over the documents."""
+    blocks = (pieces for pieces in _blocks(benchmark, rank) if pieces.vocabulary)
+    while together := list(islice(blocks, BLOCKS_PER_PASS)):
+        yield _index(documents, together)
 
 
 def benchmark_leaks(documents: DataFrame, benchmark: DataFrame, rank: int = RANK) -> DataFrame:
@@ -259,14 +298,14 @@ def benchmark_leaks(documents: DataFrame, benchmark: DataFrame, rank: int = RANK
     first_word is the place of the passage, in words; an item of several pieces is found if one of them is.
     Null and empty texts and items contain and match nothing; an item without words is never found. Repeated
     documents are reported each, items that share an id count as one. Items of fewer than LEAST_WORDS words are too
-    common to be told from clean text, and are not looked for. An empty benchmark gives no rows. Other columns
-    are not read.
+    common to be told from clean text, and are not looked for; those of fewer than SHORT_PIECE words are found where they stand
+    whole, with cosine and shares 1. An empty benchmark gives no rows. Other columns are not read.
     """
     schema = "doc_id bigint, item_id bigint, first_word bigint, cosine double, common_share double, answer_share double"
     rows = documents.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text"))
     result = documents.sparkSession.createDataFrame([], schema)
-    for pieces in _blocks(rows, benchmark, rank):
-        shared = documents.sparkSession.sparkContext.broadcast(pieces)
+    for blocks in _passes(rows, benchmark, rank):
+        shared = documents.sparkSession.sparkContext.broadcast(blocks)
 
         def searched(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
             for batch in batches:
@@ -288,8 +327,8 @@ def without_leaks(documents: DataFrame, benchmark: DataFrame, rank: int = RANK)
     place = documents.columns.index("text")
     schema = to_arrow_schema(documents.schema)
     clean = documents
-    for pieces in _blocks(documents, benchmark, rank):
-        shared = documents.sparkSession.sparkContext.broadcast(pieces)
+    for blocks in _passes(documents, benchmark, rank):
+        shared = documents.sparkSession.sparkContext.broadcast(blocks)
 
         def searched(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
             for batch in batches:

@@ -34,7 +34,9 @@ def test_passages_are_found_and_clean_documents_left_alone(leaky, benchmark):
 
 def test_blocks_of_items_give_the_same(leaky, benchmark, monkeypatch):
     whole = sorted((str((r.doc_id, r.item_id)) for r in benchmark_leaks(leaky, benchmark).collect()))
-    monkeypatch.setattr(decontamination, "ITEMS_PER_PASS", 3)
+    monkeypatch.setattr(decontamination, "ITEMS_PER_BLOCK", 3)
+    assert sorted((str((r.doc_id, r.item_id)) for r in benchmark_leaks(leaky, benchmark).collect())) == whole
+    monkeypatch.setattr(decontamination, "BLOCKS_PER_PASS", 2)
     assert sorted((str((r.doc_id, r.item_id)) for r in benchmark_leaks(leaky, benchmark).collect())) == whole
 
 
@@ -46,8 +48,8 @@ def test_clean_rows_keep_their_columns(leaky, benchmark):
 
 def test_recall_of_the_search_against_brute_force(spark, benchmark):
     """Every passage whose exact cosine reaches the bound is a candidate."""
-    pieces = decontamination._index(spark, spark.createDataFrame([(prose(s, 200),) for s in range(20)], "text string"),
-                                    decontamination.pieces_of([(r.item_id, (r.text or "").encode()) for r in benchmark.collect()]), 256)
+    (pieces,) = decontamination._index(spark.createDataFrame([(prose(s, 200),) for s in range(20)], "text string"),
+                                       [decontamination.pieces_of([(r.item_id, (r.text or "").encode()) for r in benchmark.collect()])])
     vocabulary, other = pieces.vocabulary, len(pieces.vocabulary)
     weights = np.zeros((len(pieces.words), other))
     for number, words in enumerate(pieces.words):
@@ -94,6 +96,30 @@ def test_empty_tables(spark, leaky, benchmark, nothing):
     assert benchmark_leaks(leaky, none).collect() == [] and without_leaks(leaky, none).count() == leaky.count()
 
 
+def test_short_items_are_found_where_they_stand(spark):
+    items = [(1, "Who wrote it?"), (2, "two words"), (3, "kadan lofel kadan mihin"), (4, "one"), (3, "an other of that id here")]
+    rows = [(10, prose(1, 400) + " who, wrote it " + prose(2, 500)), (11, "who wrote it"), (12, "who wrote x it"), (13, "it who wrote"), (14, "xwho wrote it"),
+            (15, "two words one"), (16, "kadan lofel kadan lofel kadan mihin"), (17, "Kadan-lofel kadan"), (18, "an other of that id here; kadan lofel kadan mihin"), (19, "wrote it")]
+    found = benchmark_leaks(spark.createDataFrame(rows, "doc_id bigint, text string"), spark.createDataFrame(items, "item_id bigint, text string")).collect()
+    assert sorted((r.doc_id, r.item_id, r.first_word) for r in found) == [(10, 1, 400), (11, 1, 0), (16, 3, 2), (18, 3, 0)]
+    assert {(r.cosine, r.common_share, r.answer_share) for r in found} == {(1.0, 1.0, 1.0)}
+
+
+def test_scripts_without_spaces(spark):
+    """Questions of ideographs and of Thai are found inside running text, as they are and with a changed character."""
+    draw = np.random.default_rng(9)
+    said = lambda low, high, n: "".join(chr(c) for c in draw.integers(low, high, n))
+    chinese, thai, short = said(0x4E00, 0x5E00, 24) + "\uff1f", said(0x0E01, 0x0E2E, 40), said(0x4E00, 0x5E00, 5)
+    changed = chinese[:10] + "\u9f8d" + chinese[11:]
+    around = lambda text, low, high: said(low, high, 200) + text + said(low, high, 90)
+    rows = [(1, around(chinese, 0x4E00, 0x5E00)), (2, around(changed, 0x4E00, 0x5E00)), (3, around(thai, 0x0E01, 0x0E2E)), (4, around(short, 0x4E00, 0x5E00)),
+            (5, around("\u3002", 0x4E00, 0x5E00)), (6, around("", 0x0E01, 0x0E2E)), (7, prose(1, 200)), (8, "\u00e9t\u00e9 \ud55c\uad6d\uc5b4 " * 20)]
+    benchmark = spark.createDataFrame([(1, chinese), (2, thai), (3, short)], "item_id bigint, text string")
+    found = benchmark_leaks(spark.createDataFrame(rows, "doc_id bigint, text string"), benchmark).collect()
+    assert sorted((r.doc_id, r.item_id) for r in found) == [(1, 1), (2, 1), (3, 2), (4, 3)]
+    assert plain_words("\u00c9t\u00e9,\ud55c\uad6d \u4f60\u597d\u3002ok".encode()) == ["\u00c9t\u00e9".encode(), "\ud55c\uad6d".encode(), "\u4f60".encode(), "\u597d".encode(), b"ok"]
+
+
 def test_recall_over_more_pieces_than_dimensions(spark):
     """Each of 700 pieces, as it is and with changed words, is found in its documents, and only there."""
     draw = np.random.default_rng(3)

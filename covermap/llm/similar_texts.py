@@ -108,13 +108,13 @@ def _verified(pairs: DataFrame, sets: DataFrame, least: float) -> DataFrame:
 
 
 def _met(members: DataFrame) -> DataFrame:
-    """(key, node, grp, n): the members of keys that two groups share, and how many they are."""
+    """The members (key, node, grp, ...) of keys that two groups share, and how many they are (n)."""
     sizes = members.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min("grp").alias("low"), F.max("grp").alias("high"))
-    return members.join(sizes.where("low < high").select("key", "n"), "key").select("key", "node", "grp", "n")
+    return members.join(sizes.where("low < high").select("key", "n"), "key")
 
 
 def _finer(rest: DataFrame, sets: DataFrame, seed: int) -> DataFrame:
-    """(key, node, grp): the members of large groups by finer keys."""
+    """(key, node, grp, size): the members of large groups by finer keys."""
     factors = _factors(seed, FINER)
 
     def banded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -124,9 +124,9 @@ def _finer(rest: DataFrame, sets: DataFrame, seed: int) -> DataFrame:
                     [batch.column(0).slice(start, len(part)), pa.array(list(_bands(part, factors, "<u8")), pa.list_(pa.int64()))], names=["node", "more"])
 
     own = rest.select("node").distinct().join(sets, "node").select("node", "shingles").mapInArrow(banded, "node bigint, more array<bigint>")
-    return rest.select("key", "node", "grp").join(own, "node").select(
-        F.col("key").alias("old"), "node", "grp", F.posexplode("more").alias("band", "value")).select(
-        F.xxhash64("old", "band", "value").alias("key"), "node", "grp")
+    return rest.select("key", "node", "grp", "size").join(own, "node").select(
+        F.col("key").alias("old"), "node", "grp", "size", F.posexplode("more").alias("band", "value")).select(
+        F.xxhash64("old", "band", "value").alias("key"), "node", "grp", "size")
 
 
 def similar_groups(documents: DataFrame, nodes: DataFrame, least: float) -> DataFrame:
@@ -137,6 +137,9 @@ def similar_groups(documents: DataFrame, nodes: DataFrame, least: float) -> Data
     rest = kept(_met(nodes.select("node", "grp", F.explode("bands").alias("key"))))
     texts = _with_keys(documents).join(rest.select("node").distinct(), "node", "left_semi").dropDuplicates(["node"])
     sets = kept(_shingle_sets(texts))
+    rest = kept(rest.join(sets.select("node", F.length("shingles").alias("size")), "node"))
+    # Sets are no more similar than their sizes, so of the rest the sets need not travel.
+    near_sizes = F.least("size", "size_a") >= F.greatest("size", "size_a") * F.lit(least - 1e-9)
     found, seed = [], 31
     while not rest.isEmpty():
         # Leaders by a hash of key and text: the same text leads in few of its groups.
@@ -144,8 +147,8 @@ def similar_groups(documents: DataFrame, nodes: DataFrame, least: float) -> Data
         rank = F.row_number().over(Window.partitionBy("key").orderBy("place", "node"))
         first = (ordered.withColumn("rank", rank).where(F.col("rank") <= LEADERS)
                  .where((F.col("rank") <= LARGE_LEADERS) | (F.col("n") <= LEADERS))
-                 .select("key", F.col("node").alias("a"), F.col("grp").alias("grp_a"), F.col("place").alias("place_a")))
-        pairs = ordered.join(first, "key").where("place_a < place OR (place_a = place AND a < node)")
+                 .select("key", F.col("node").alias("a"), F.col("grp").alias("grp_a"), F.col("place").alias("place_a"), F.col("size").alias("size_a")))
+        pairs = ordered.join(first, "key").where("place_a < place OR (place_a = place AND a < node)").where((F.col("grp_a") == F.col("grp")) | near_sizes)
         met = kept(pairs.select("key", "a", "grp_a", F.col("node").alias("b"), F.col("grp").alias("grp_b"), "n"))
         good = kept(_verified(met.where("grp_a != grp_b").select("a", "b").distinct(), sets, least))
         linked = met.join(good, ["a", "b"], "left_semi")

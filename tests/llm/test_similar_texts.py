@@ -81,3 +81,17 @@ def test_recall_on_the_given_documents(spark):
     left = {row.doc_id for row in first_of_each(documents, similarity=0.8).collect()}
     lost = [pair for pair in pairs if set(pair) <= left]
     assert pairs and len(lost) <= 0.01 * len(pairs)
+
+
+def test_a_family_of_texts_that_are_not_quite_near_costs_few_pairs(spark, monkeypatch):
+    """Copies with other words changed are near their base and, for the most part, just not near each other."""
+    from covermap.llm import similar_texts
+    base, made = prose(4242, 120), []
+    texts = {0: base} | {1 + n: near(base, n, 2) for n in range(500)} | {1000 + n: near(base, 7000 + n, 5) for n in range(100)}
+    close = [n for n in texts if similarity(base, texts[n]) >= 0.8]
+    frame = spark.createDataFrame(list(texts.items()), "doc_id bigint, text string").repartition(3)
+    real = similar_texts._verified
+    monkeypatch.setattr(similar_texts, "_verified", lambda pairs, sets, least: made.append(pairs.count()) or real(pairs, sets, least))
+    left = {row.doc_id for row in first_of_each(frame, 0, similarity=0.8).collect()}
+    assert len(close) > 450 and 0 in left and len(left & set(close)) <= len(close) // 20
+    assert sum(made) < 150 * len(texts) and len(made) < 8

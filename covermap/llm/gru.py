@@ -75,7 +75,15 @@ def lanes_of(documents: list[np.ndarray], most_lanes: int = MOST_LANES) -> tuple
 
 
 def _sigmoid(x: np.ndarray) -> np.ndarray:
-    return 1 / (1 + np.exp(-x))
+    """Of numbers that are overwritten."""
+    np.negative(x, out=x)
+    np.exp(x, out=x)
+    x += 1
+    return np.reciprocal(x, out=x)
+
+
+def _row_sums(x: np.ndarray) -> np.ndarray:
+    return x @ np.ones(x.shape[1], x.dtype)
 
 
 class Gru:
@@ -92,19 +100,26 @@ class Gru:
     def _states(self, rows: np.ndarray, first: np.ndarray, state: np.ndarray, keep: list | None = None) -> np.ndarray:
         """[lane, step, hidden]: the state that predicts each token. ``keep`` gets what the way back needs."""
         recurrent = self.weights["recurrent"]
-        sums = self.weights["gates"][rows]
-        result = np.empty((*rows.shape, HIDDEN), np.float32)
-        for step in range(rows.shape[1]):
-            state = np.where(first[:, step, None], np.float32(0), state)
-            x, u = sums[:, step], state @ recurrent
+        # [step, lane, ...], so that a step's numbers lie together.
+        sums, begins = self.weights["gates"][rows.T], first.T
+        result = np.empty((*rows.T.shape, HIDDEN), np.float32)
+        for step, starts in enumerate(begins.any(axis=1).tolist()):
+            if starts:
+                state = state.copy()
+                state[begins[step]] = 0
+            x, u = sums[step], state @ recurrent
             gate = _sigmoid(x[:, : 2 * HIDDEN] + u[:, : 2 * HIDDEN])
             update, reset = gate[:, :HIDDEN], gate[:, HIDDEN:]
-            new = np.tanh(x[:, 2 * HIDDEN :] + reset * u[:, 2 * HIDDEN :])
+            new = reset * u[:, 2 * HIDDEN :]
+            new += x[:, 2 * HIDDEN :]
+            np.tanh(new, out=new)
             if keep is not None:
                 keep.append((state, update, reset, new, u[:, 2 * HIDDEN :]))
-            state = new + update * (state - new)
-            result[:, step] = state
-        return result
+            state = state - new
+            state *= update
+            state += new
+            result[step] = state
+        return result.transpose(1, 0, 2)
 
     def log_probabilities(self, documents: list[np.ndarray]) -> np.ndarray:
         """For each document the natural log-likelihood of its tokens; words of tail classes count with their class alone.
@@ -129,17 +144,21 @@ class Gru:
 
     def _token_logs(self, states: np.ndarray, ids: np.ndarray) -> np.ndarray:
         classes = self.vocabulary.classes[ids]
-        logits = states @ self.weights["class_weights"] + self.weights["class_bias"]
+        logits = states @ self.weights["class_weights"]
+        logits += self.weights["class_bias"]
         logs = logits[np.arange(len(ids)), classes].astype(np.float64)
-        logs -= np.log(np.exp(logits).sum(axis=1))
+        logs -= np.log(_row_sums(np.exp(logits, out=logits)))
         for number, chosen in self._by_class(classes):
-            logits = states[chosen] @ self.weights["word_weights"][number] + self.weights["word_bias"][number]
-            logs[chosen] += logits[np.arange(len(chosen)), self.vocabulary.places[ids[chosen]]] - np.log(np.exp(logits).sum(axis=1))
+            logits = states[chosen] @ self.weights["word_weights"][number]
+            logits += self.weights["word_bias"][number]
+            own = logits[np.arange(len(chosen)), self.vocabulary.places[ids[chosen]]]
+            logs[chosen] += own - np.log(_row_sums(np.exp(logits, out=logits)))
         return logs
 
     def _by_class(self, classes: np.ndarray):
-        order = np.argsort(classes, kind="stable")
-        edges = np.searchsorted(classes[order], np.arange(self.vocabulary.n_head + 1))
+        small = classes.astype(np.int16)  # sorted by digits
+        order = np.argsort(small, kind="stable")
+        edges = np.searchsorted(small[order], np.arange(self.vocabulary.n_head + 1))
         for number in range(self.vocabulary.n_head):
             if edges[number] < edges[number + 1]:
                 yield number, order[edges[number] : edges[number + 1]]
@@ -165,12 +184,20 @@ class Gru:
             loss, count, step = loss + window_loss, count + len(there), step + 1
             for name, gradient in gradients.items():
                 mean, square = moments[name]
-                gradient *= np.float32(min(1.0, 5.0 / (np.sqrt((gradient**2).sum()) + 1e-8)))
-                mean += 0.1 * (gradient - mean)
-                square += 0.01 * (gradient**2 - square)
+                gradient *= np.float32(min(1.0, 5.0 / (np.linalg.norm(gradient) + 1e-8)))
+                mean *= np.float32(0.9)
+                mean += np.float32(0.1) * gradient
+                square *= np.float32(0.99)
+                gradient *= gradient
+                gradient *= np.float32(0.01)
+                square += gradient
                 scale = LEARNING_RATE * np.sqrt(1 - 0.99**step) / (1 - 0.9**step)
                 weights = self.weights[name]
-                weights -= np.float32(scale) * mean / (np.sqrt(square) + np.float32(1e-7))
+                way = np.sqrt(square, out=gradient)
+                way += np.float32(1e-7)
+                np.divide(mean, way, out=way)
+                way *= np.float32(scale)
+                weights -= way
                 np.clip(weights, -_CLIP[name], _CLIP[name], out=weights)
         return loss / max(count, 1)
 
@@ -178,9 +205,10 @@ class Gru:
         weights, n = self.weights, np.float32(max(len(ids), 1))
         flat = states.reshape(-1, HIDDEN)[there]
         classes = self.vocabulary.classes[ids]
-        logits = flat @ weights["class_weights"] + weights["class_bias"]
-        odds = np.exp(logits)
-        odds /= odds.sum(axis=1, keepdims=True)
+        logits = flat @ weights["class_weights"]
+        logits += weights["class_bias"]
+        odds = np.exp(logits, out=logits)
+        odds /= _row_sums(odds)[:, None]
         at = np.arange(len(ids))
         loss = -float(np.log(odds[at, classes] + 1e-30).sum())
         odds[at, classes] -= 1
@@ -190,8 +218,10 @@ class Gru:
         back = odds @ weights["class_weights"].T
         for number, chosen in self._by_class(classes):
             part = flat[chosen]
-            odds = np.exp(part @ weights["word_weights"][number] + weights["word_bias"][number])
-            odds /= odds.sum(axis=1, keepdims=True)
+            odds = part @ weights["word_weights"][number]
+            odds += weights["word_bias"][number]
+            np.exp(odds, out=odds)
+            odds /= _row_sums(odds)[:, None]
             at, places = np.arange(len(chosen)), self.vocabulary.places[ids[chosen]]
             loss -= float(np.log(odds[at, places] + 1e-30).sum())
             odds[at, places] -= 1
@@ -202,25 +232,32 @@ class Gru:
         into[there] = back
         # [step, lane, ...], so that a step's numbers lie together.
         into = np.ascontiguousarray(into.reshape(states.shape).transpose(1, 0, 2))
-        before, update, reset, new, u = map(np.stack, zip(*keep))
-        by_update, by_new, by_reset = (before - new) * update * (1 - update), (1 - update) * (1 - new * new), u * reset * (1 - reset)
         going_on = (~first.T[:, :, None]).astype(np.float32)
         back_through = np.ascontiguousarray(weights["recurrent"].T)
         carried = np.zeros((states.shape[0], HIDDEN), np.float32)
-        sums = np.empty((*into.shape[:2], 3 * HIDDEN), np.float32)
-        inner = np.empty_like(sums)
+        # Of the sums for new, update and reset, and of what new sees of the state: all but the last reach the inputs, all but the first the state.
+        sums = np.empty((*into.shape[:2], 4 * HIDDEN), np.float32)
         for step in range(len(keep) - 1, -1, -1):
-            d = carried + into[step]
-            d_new = d * by_new[step]
-            np.multiply(d, by_update[step], out=sums[step, :, :HIDDEN])
-            np.multiply(d_new, by_reset[step], out=sums[step, :, HIDDEN : 2 * HIDDEN])
-            sums[step, :, 2 * HIDDEN :] = d_new
-            inner[step, :, : 2 * HIDDEN] = sums[step, :, : 2 * HIDDEN]
-            np.multiply(d_new, reset[step], out=inner[step, :, 2 * HIDDEN :])
-            carried = (d * update[step] + inner[step] @ back_through) * going_on[step]
-        gradients["recurrent"] += before.reshape(-1, HIDDEN).T @ inner.reshape(-1, 3 * HIDDEN)
-        order = np.argsort(rows.T, axis=None, kind="stable")
+            before, update, reset, new, u = keep[step]
+            d, own = into[step], sums[step]
+            d += carried
+            d_update, d_new = d * update, own[:, :HIDDEN]
+            np.subtract(d, d_update, out=d_new)
+            d_new -= d_new * new * new
+            by_update = before - new
+            by_update *= 1 - update
+            np.multiply(d_update, by_update, out=own[:, HIDDEN : 2 * HIDDEN])
+            seen = np.multiply(d_new, reset, out=own[:, 3 * HIDDEN :])
+            by_reset = 1 - reset
+            by_reset *= u
+            np.multiply(seen, by_reset, out=own[:, 2 * HIDDEN : 3 * HIDDEN])
+            carried = own[:, HIDDEN:] @ back_through
+            carried += d_update
+            carried *= going_on[step]
+            gradients["recurrent"] += before.T @ own[:, HIDDEN:]
+        order = np.argsort(rows.T.astype(np.uint16) if self.vocabulary.n_inputs <= 1 << 16 else rows.T, axis=None, kind="stable")
         own = rows.T.ravel()[order]
         starts = np.flatnonzero(np.append(True, own[1:] != own[:-1]))
-        gradients["gates"][own[starts]] = np.add.reduceat(sums.reshape(-1, 3 * HIDDEN)[order], starts, axis=0)
+        of_inputs = np.add.reduceat(sums.reshape(-1, 4 * HIDDEN)[order, : 3 * HIDDEN], starts, axis=0)
+        gradients["gates"][own[starts]] = np.roll(of_inputs, -HIDDEN, axis=1)
         return gradients, loss

@@ -111,3 +111,17 @@ def test_nothing_to_learn_from(spark, nothing):
     rows = score_texts(spark.createDataFrame([(1, "a b"), (2, None)], "doc_id bigint, text string"), F.lit(False)).collect()
     assert {(r.n_tokens, r.n_known, r.train_tokens, r.base_score) for r in rows} == {(3, 0, 0, 0.0), (1, 0, 0, 0.0)}
     assert all(math.isfinite(r.score) for r in rows)
+
+
+def test_a_training_pass_copies_little():
+    """The numbers of a window are worked on step by step, so its arrays are not held several times over."""
+    import tracemalloc
+    draw, ids, lanes = np.random.default_rng(3), np.arange(200, dtype=np.int32), 256
+    vocabulary = Vocabulary(ids // CLASS_WORDS, ids % CLASS_WORDS, ids, 4, 4, 201)
+    one = Gru(vocabulary, new_weights(vocabulary, np.full(4, 1 / 4), np.full((4, CLASS_WORDS), 1 / CLASS_WORDS)))
+    texts = [draw.integers(0, 200, 300).astype(np.int32) for _ in range(lanes)]
+    tracemalloc.start()
+    one.train(texts, lanes)
+    most = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert most < 26 * lanes * gru.WINDOW * HIDDEN * 4

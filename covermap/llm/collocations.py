@@ -2,26 +2,28 @@
 
 1. Words are counted by language. Phrases can only be frequent if all their parts are, so the text is written once more as
    numbers of the frequent words, with 0 for all other words and for the ends of pieces.
-2. Level by level, candidates are the phrases of the text whose parts without the first and without the last word are both
-   frequent, and whose hash falls in a bucket that the text meets often enough. So candidates are few, and no frequent phrase is lost.
-3. Candidates go to double-array tries of bounded size, which are broadcast in turn. Numpy moves the states of all text positions
-   through the levels, bincounts accepting states, and the shards' counts are summed.
+2. Level by level, tasks count the phrases of their text whose parts without the first and without the last word may both be
+   frequent by a bitmap of hashes, and send each once, dealt to parts by its hash. In a part, candidates are the phrases whose
+   bucket of hashes is met often enough. So candidates are few, and no frequent phrase is lost.
+3. Candidates of a part go to double-array tries of bounded size. Numpy moves the states of all that was sent to the part through
+   the levels, and sums the counts of accepting states.
 4. Each cut of a frequent phrase meets the counts of its two parts in a join. All counts are exact, products are decimals.
 
-Passes read the numbers, not the texts. A higher ``least`` makes fewer candidates, and so fewer tries and passes.
+Each level reads the numbers once, whatever the number of candidates, and nothing of theirs but bitmaps of bounded size is broadcast.
 """
 
 from __future__ import annotations
 
+import pickle
 from collections import Counter, defaultdict
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
 from functools import reduce
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from covermap.llm.common import kept, slices
+from covermap.llm.common import kept, release, slices
 from covermap.llm.double_array import DoubleArray
 
 LONGEST = 5
@@ -30,18 +32,19 @@ TOP = 2000
 NO_LANGUAGE = "und"
 #: The broadcast dictionary holds at most so many words; the numbers of rarer ones come from a join.
 DICTIONARY = 1 << 20
-#: A trie holds about so many phrases; more candidates make more tries, each a pass over the numbers.
+#: A trie holds at most so many phrases; more candidates of a part make more tries.
 TRIE_PHRASES = 1 << 18
-#: Numbers that are walked over together.
-WALK_WORDS = 1 << 20
-#: The hashes' buckets are 2 ** bits, about one for four words of the text within these bounds. When they are too few, more
-#: candidates pass, never fewer.
+#: Numbers whose phrases are counted together.
+WALK_WORDS = 1 << 21
+#: The hashes' buckets of all parts are 2 ** bits, about one for four words of the text within these bounds. When they are too
+#: few, more candidates pass, never fewer.
 LEAST_BITS = 12
-MOST_BITS = 24
-#: Counts of a trie's phrases that are summed together.
-COUNT_PART = 1 << 13
-#: Candidates that a task holds before it sends them on.
-HELD = 1 << 20
+MOST_BITS = 40
+#: Parts that phrases are dealt to: at least so many, and two for each shuffle partition.
+PARTS = 64
+MOST_PARTS = 1 << 14
+#: The bitmap of frequent phrases has about sixteen bits for each, and 2 ** BITMAP_BITS at most.
+BITMAP_BITS = 29
 SALTS = 16
 #: Numbers of the words beyond the dictionary are dealt within so many groups.
 _GROUPS = 256
@@ -189,182 +192,216 @@ def _schema(size: int, *more: str) -> str:
     return ", ".join([f"{name} int" for name in _names(size)] + list(more))
 
 
-def _batch(phrases: np.ndarray, *more: np.ndarray) -> pa.RecordBatch:
-    columns = [pa.array(np.ascontiguousarray(column)) for column in phrases.T.astype(np.int32)] + [pa.array(column) for column in more]
-    return pa.RecordBatch.from_arrays(columns, names=_names(phrases.shape[1]) + ["a"] * len(more))
+def _hashes(columns: list[np.ndarray]) -> np.ndarray:
+    hashes = np.zeros(len(columns[0]), dtype=np.uint64)
+    for column in columns:
+        hashes ^= column.view(np.uint32)
+        hashes *= _FACTOR
+    return hashes
 
 
-_PARTS = "part int, counts binary"
+def _parts(numbers: DataFrame) -> int:
+    wanted = 2 * int(numbers.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return min(MOST_PARTS, 1 << (max(PARTS, wanted) - 1).bit_length())
 
 
-def _parts_of(arrays: np.ndarray) -> Iterator[pa.RecordBatch]:
-    """(part, counts): the rows of a matrix that are not all 0."""
-    for number in np.flatnonzero(arrays.any(axis=1)):
-        yield pa.RecordBatch.from_arrays([pa.array([number], pa.int32()), pa.array([arrays[number].tobytes()], pa.binary())], names=["part", "counts"])
+_DEALT = "part int, n int, phrases binary"
 
 
-def _summed(rows: DataFrame, kind: str, finish: Callable[[int, np.ndarray], pa.RecordBatch], schema: str) -> DataFrame:
-    """What ``finish`` makes of each part's sums over all tasks."""
+def _packed(part: int, phrases: np.ndarray) -> tuple[int, int, bytes]:
+    """The numbers' first bytes together, then the second ones and so on, compressed."""
+    planes = np.ascontiguousarray(phrases, dtype="<i4").view(np.uint8).reshape(len(phrases), -1).T
+    return part, len(phrases), pa.compress(planes.tobytes(), codec="zstd", asbytes=True)
 
-    def summed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        totals: dict[int, np.ndarray] = {}
-        for batch in batches:
-            for number, raw in zip(batch.column(0).to_pylist(), batch.column(1)):
-                totals[number] = totals.get(number, 0) + np.frombuffer(raw.as_py(), dtype=kind).astype(np.int64)
-        for number, total in totals.items():
-            yield finish(number, total)
-
-    return rows.repartition("part").mapInArrow(summed, schema)
-
-
-def _buckets(keys: np.ndarray, bits: int) -> np.ndarray:
-    return ((keys * _FACTOR) >> np.uint64(64 - bits)).astype(np.int64)
-
-
-class _Extensions:
-    """Phrases of one word more than the frequent ones of a trie (or single words, without one) as a text has them."""
-
-    def __init__(self, trie: DoubleArray | None, alone: bool):
-        self.trie, self.alone = trie, alone
-        if trie is not None:
-            hashes = np.zeros(len(trie.phrases), dtype=np.uint64)
-            for column in trie.phrases.T:
-                hashes = (hashes ^ column.astype(np.uint64)) * _FACTOR
-            self.hashes = hashes
-
-    def of(self, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """(prefixes, last words, hashes); where the trie holds all frequent phrases, the parts without the first word are frequent too."""
-        if self.trie is None:
-            both = (ids[:-1] > 0) & (ids[1:] > 0)
-            first, last = ids[:-1][both].astype(np.int64), ids[1:][both].astype(np.int64)
-            return first, last, (first.astype(np.uint64) * _FACTOR) ^ last.astype(np.uint64)
-        at, row = self.trie.walk(ids)
-        if self.alone:
-            begins = np.zeros(len(ids) + 1, dtype=bool)
-            begins[at] = True
-            at, row = at[begins[at + 1]], row[begins[at + 1]]
-        inside = at + self.trie.depth < len(ids)
-        at, row = at[inside], row[inside]
-        last = ids[at + self.trie.depth].astype(np.int64)
-        at, row, last = at[last > 0], row[last > 0].astype(np.int64), last[last > 0]
-        return row, last, self.hashes[row] ^ last.astype(np.uint64)
-
-    def phrases(self, keys: np.ndarray) -> np.ndarray:
-        first = (keys >> 32)[:, None] if self.trie is None else self.trie.phrases[keys >> 32]
-        return np.column_stack([first, keys & 0xFFFFFFFF])
-
-
-def _full_buckets(numbers: DataFrame, shared, bits: int, least: int) -> np.ndarray:
-    """A bit for each bucket of hashes that the texts' extensions meet ``least`` times or more: no rarer one can be frequent.
-
-    Tasks bincount into arrays of a fixed size, cut off at ``least``, which are summed by parts; the bits reach the driver.
+
+def _unpacked(rows: pa.RecordBatch, width: int) -> Iterator[tuple[int, np.ndarray]]:
+    for part, n, raw in zip(rows.column(0).to_pylist(), rows.column(1).to_pylist(), rows.column(2)):
+        if raw.is_valid:
+            planes = np.frombuffer(pa.decompress(raw.as_buffer(), decompressed_size=4 * n * width, codec="zstd"), dtype=np.uint8)
+            yield part, np.ascontiguousarray(planes.reshape(4 * width, n).T).view("<i4")
+
+
+def _dealt_batch(dealt: list[tuple[int, int, bytes]]) -> pa.RecordBatch:
+    columns = list(zip(*dealt)) or [(), (), ()]
+    return pa.RecordBatch.from_arrays([pa.array(columns[0], pa.int32()), pa.array(columns[1], pa.int32()), pa.array(columns[2], pa.binary())],
+                                      names=["part", "n", "phrases"])
+
+
+def _extensions(ids: np.ndarray, size: int, bitmap: np.ndarray | None) -> tuple[np.ndarray, np.ndarray]:
+    """(phrase and count, hash) of the phrases of ``size`` words that a text has whose two parts of one word less are in the bitmap, in the order of hashes.
+
+    Equal phrases stand in one row, or in more if hashes of different ones are equal.
+    """
+    count = len(ids) - size + 1
+    if count < 1:
+        return np.empty((0, size + 1), dtype=np.int32), np.empty(0, dtype=np.uint64)
+    known = ids > 0
+    if size == 2:
+        at = np.flatnonzero(known[:-1] & known[1:])
+    else:
+        inside = known[: count + 1].copy()
+        for place in range(1, size - 1):
+            inside &= known[place : place + count + 1]
+        parts = np.flatnonzero(inside)
+        bit = (_hashes([ids[parts + place] for place in range(size - 1)]) >> np.uint64(64 - (8 * len(bitmap)).bit_length() + 1)).astype(np.int64)
+        inside[parts] = (bitmap[bit >> 3] >> (bit & 7).astype(np.uint8)) & 1
+        at = np.flatnonzero(inside[:-1] & inside[1:])
+    hashes = _hashes([ids[at + place] for place in range(size)])
+    order = np.argsort(hashes)
+    at, hashes = at[order], hashes[order]
+    new = np.ones(len(at), dtype=bool)
+    new[1:] = hashes[1:] != hashes[:-1]
+    phrases = np.empty((len(at), size + 1), dtype=np.int32)
+    for place in range(size):
+        phrases[:, place] = ids[at + place]
+    new[1:] |= (phrases[1:, :size] != phrases[:-1, :size]).any(axis=1)
+    first = np.flatnonzero(new)
+    phrases = phrases[first]
+    phrases[:, size] = np.diff(np.append(first, len(at)))
+    return phrases, hashes[first]
+
+
+def _open_phrases(numbers: DataFrame, size: int, least: int, bits: int, parts: int, bitmap: np.ndarray | None) -> DataFrame:
+    """(part, n, phrases): the phrases that tasks have counted, and their counts, in buckets of hashes that the texts meet ``least`` times or more.
+
+    No phrase of another bucket can be frequent.
     """
-    least, part = min(least, 65_535), 1 << min(bits, 16)
+    part_bits = parts.bit_length() - 1
+    own_bits = max(bits - part_bits, 1)
+    shared = numbers.sparkSession.sparkContext.broadcast(bitmap)
 
-    def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros(1 << bits, dtype=np.int32)
+    def sent(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for ids in _texts(batch.column(0)):
-                np.add.at(total, _buckets(shared.value.of(ids)[2], bits), np.int32(1))
-        total = np.minimum(total, least).astype("<u2").reshape(-1, part)
-        yield from _parts_of(total)
+                phrases, hashes = _extensions(ids, size, shared.value)
+                edges = [*np.searchsorted(hashes, np.arange(parts, dtype=np.uint64) << np.uint64(64 - part_bits)).tolist(), len(hashes)]
+                yield _dealt_batch([_packed(part, phrases[a:b]) for part, (a, b) in enumerate(zip(edges, edges[1:])) if a < b])
 
-    def full(number: int, total: np.ndarray) -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([pa.array([number], pa.int32()), pa.array([np.packbits(total >= least).tobytes()], pa.binary())], names=["part", "counts"])
+    def opened(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Rows come sorted by part."""
+        part, waiting = None, []
 
-    parts = _summed(numbers.mapInArrow(counted, _PARTS), "<u2", full, _PARTS)
-    result = np.zeros((1 << bits) // 8, dtype=np.uint8)
-    for row in parts.collect():
-        result[row.part * part // 8 : (row.part + 1) * part // 8] = np.frombuffer(bytes(row.counts), dtype=np.uint8)
+        def result() -> pa.RecordBatch:
+            phrases = np.concatenate(waiting)
+            hashes = _hashes([np.ascontiguousarray(phrases[:, place]) for place in range(size)])
+            bucket = ((hashes << np.uint64(part_bits)) >> np.uint64(64 - own_bits)).astype(np.int64)
+            there = np.bincount(bucket, weights=phrases[:, size], minlength=1 << own_bits)[bucket] >= least
+            return _dealt_batch([_packed(part, phrases[there])] if there.any() else [])
+
+        for batch in batches:
+            for own, phrases in _unpacked(batch, size + 1):
+                if part is not None and own != part:
+                    yield result()
+                    waiting = []
+                part = own
+                waiting.append(phrases)
+        if waiting:
+            yield result()
+
+    dealt = numbers.mapInArrow(sent, _DEALT).repartition("part").sortWithinPartitions("part")
+    result = kept(dealt.mapInArrow(opened, _DEALT))
+    shared.destroy()
     return result
 
 
-def _tries(phrases: DataFrame, size: int, most: int) -> Iterator[DoubleArray]:
-    """Tries of about ``most`` of the phrases each, one after the other."""
-    parts = -(-phrases.count() // most)
-    for part in range(parts):
-        own = phrases if parts == 1 else phrases.where(F.pmod(F.xxhash64(*_names(size)), F.lit(parts)) == part)
-        yield DoubleArray(own.select(*_names(size)).toPandas().to_numpy(dtype=np.int32).reshape(-1, size))
+def _candidates(open_phrases: DataFrame, size: int) -> DataFrame:
+    """(p1, ..., part): each of the phrases once."""
+
+    def once(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part, phrases in _unpacked(batch, size + 1):
+                phrases = phrases[:, :size]
+                phrases = phrases[np.lexsort(phrases.T[::-1])]
+                phrases = phrases[np.concatenate([[True], (phrases[1:] != phrases[:-1]).any(axis=1)])]
+                yield pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(column)) for column in phrases.T] + [pa.array(np.full(len(phrases), part, dtype=np.int32))],
+                                                 names=_names(size) + ["part"])
 
+    return open_phrases.mapInArrow(once, _schema(size, "part int"))
 
-def _safe_candidates(numbers: DataFrame, frequent: DataFrame, size: int, least: int, most: int, bits: int) -> DataFrame:
-    """(p1, ...): the phrases of the text of one word more than the ``frequent`` ones that can be frequent.
 
-    Their first and last parts are all frequent, and their bucket is full.
-    """
-    context, found = numbers.sparkSession.sparkContext, []
-    tries = [None] if size == 1 else _tries(frequent, size, most)
-    alone = size == 1 or frequent.count() <= most
-    for trie in tries:
-        shared = context.broadcast(_Extensions(trie, alone))
-        full = context.broadcast(_full_buckets(numbers, shared, bits, least))
-
-        def extended(batches: Iterator[pa.RecordBatch], shared=shared, full=full) -> Iterator[pa.RecordBatch]:
-            extensions, seen = shared.value, np.empty(0, dtype=np.int64)
-
-            def dealt() -> Iterator[pa.RecordBatch]:
-                part = _buckets(seen.astype(np.uint64), 8)
-                order = np.argsort(part, kind="stable")
-                edges = np.searchsorted(part[order], np.arange(257)).tolist()
-                for number, (a, b) in enumerate(zip(edges, edges[1:])):
-                    if a < b:
-                        yield pa.RecordBatch.from_arrays([pa.array([number], pa.int32()), pa.array([seen[order[a:b]].tobytes()], pa.binary())], names=["part", "counts"])
-
-            for batch in batches:
-                for ids in _texts(batch.column(0)):
-                    first, last, hashes = extensions.of(ids)
-                    bucket = _buckets(hashes, bits)
-                    there = (full.value[bucket >> 3] >> (7 - (bucket & 7)).astype(np.uint8)) & 1 == 1
-                    seen = np.union1d(seen, (first[there] << 32) | last[there])
-                    if len(seen) > HELD:
-                        yield from dealt()
-                        seen = seen[:0]
-            yield from dealt()
-
-        def united(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
-            """Each candidate once: what one task sends another may have sent too."""
-            parts: dict[int, np.ndarray] = {}
-            for batch in batches:
-                for number, raw in zip(batch.column(0).to_pylist(), batch.column(1)):
-                    parts[number] = np.union1d(parts.get(number, np.empty(0, dtype=np.int64)), np.frombuffer(raw.as_py(), dtype=np.int64))
-            for keys in parts.values():
-                yield _batch(shared.value.phrases(keys))
-
-        # Written here, so that the broadcasts can go before the next trie comes.
-        found.append(kept(numbers.mapInArrow(extended, _PARTS).repartition("part").mapInArrow(united, _schema(size + 1))))
-        shared.destroy()
-        full.destroy()
-    if not found:
-        return numbers.sparkSession.createDataFrame([], _schema(size + 1))
-    candidates = reduce(DataFrame.union, found)
-    if alone:
-        return candidates
-    later = frequent.select(*[F.col(f"p{place}").alias(f"p{place + 1}") for place in range(1, size + 1)])
-    return kept(candidates.join(later, _names(size + 1)[1:], "left_semi").select(*_names(size + 1)))
-
-
-def _counts(numbers: DataFrame, candidates: DataFrame, size: int, least: int, most: int) -> DataFrame:
-    """(p1, ..., a): the candidates that occur ``least`` times or more."""
-    context, found = numbers.sparkSession.sparkContext, []
-    for trie in _tries(candidates, size, most):
-        shared = context.broadcast(trie)
-
-        def counted(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
-            trie = shared.value
-            total = np.zeros(len(trie.phrases), dtype=np.int64)
-            for batch in batches:
-                for ids in _texts(batch.column(0)):
-                    total += np.bincount(trie.walk(ids)[1], minlength=len(total))
-            yield from _parts_of(np.append(total, np.zeros(-len(total) % COUNT_PART, dtype=np.int64)).reshape(-1, COUNT_PART))
-
-        def frequent(number: int, total: np.ndarray, shared=shared) -> pa.RecordBatch:
-            phrases = shared.value.phrases[number * COUNT_PART : (number + 1) * COUNT_PART]
-            rows = np.flatnonzero(total[: len(phrases)] >= least)
-            return _batch(phrases[rows], total[rows])
-
-        found.append(kept(_summed(numbers.mapInArrow(counted, _PARTS), "<i8", frequent, _schema(size, "a bigint"))))
-        shared.destroy()
-    return reduce(DataFrame.union, found) if found else numbers.sparkSession.createDataFrame([], _schema(size, "a bigint"))
+def _tries(phrases: DataFrame, size: int, most: int) -> DataFrame:
+    """(part, trie): tries of at most ``most`` of a part's phrases each, made by the tasks."""
+
+    def made(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        part, waiting = None, []
+
+        def result() -> pa.RecordBatch:
+            own = np.concatenate(waiting)
+            tries = [pickle.dumps(DoubleArray(own[start : start + most])) for start in range(0, len(own), most)]
+            return pa.RecordBatch.from_arrays([pa.array([part] * len(tries), pa.int32()), pa.array(tries, pa.binary())], names=["part", "trie"])
+
+        for batch in batches:
+            numbers = batch.column(size).to_numpy()
+            own = np.column_stack([batch.column(place).to_numpy() for place in range(size)])
+            edges = [0, *(np.flatnonzero(numbers[1:] != numbers[:-1]) + 1).tolist(), len(numbers)]
+            for a, b in zip(edges, edges[1:]):
+                if a < b:
+                    if part is not None and numbers[a] != part:
+                        yield result()
+                        waiting = []
+                    part = numbers[a]
+                    waiting.append(own[a:b])
+        if waiting:
+            yield result()
+
+    return phrases.repartition("part").sortWithinPartitions("part").mapInArrow(made, "part int, trie binary")
+
+
+def _counts(open_phrases: DataFrame, tries: DataFrame, size: int, least: int) -> DataFrame:
+    """(p1, ..., a, part): the phrases of the tries that occur ``least`` times or more."""
+
+    def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Rows come sorted by part, the tries first."""
+        part, own, totals = None, [], []
+
+        def result() -> Iterator[pa.RecordBatch]:
+            for trie, total in zip(own, totals):
+                rows = np.flatnonzero(total >= least)
+                columns = [pa.array(np.ascontiguousarray(column)) for column in trie.phrases[rows].T]
+                yield pa.RecordBatch.from_arrays([*columns, pa.array(total[rows]), pa.array(np.full(len(rows), part, dtype=np.int32))], names=_names(size) + ["a", "part"])
+
+        for batch in batches:
+            for row, number in enumerate(batch.column(0).to_pylist()):
+                if number != part:
+                    yield from result()
+                    part, own, totals = number, [], []
+                if batch.column(3)[row].is_valid:
+                    own.append(pickle.loads(batch.column(3)[row].as_buffer()))
+                    totals.append(np.zeros(len(own[-1].phrases), dtype=np.int64))
+                for _, phrases in _unpacked(batch.slice(row, 1), size + 1):
+                    words = phrases.copy()
+                    words[:, size] = 0  # so that none reaches into the next
+                    for trie, total in zip(own, totals):
+                        at, found = trie.walk(words.ravel())
+                        np.add.at(total, found, phrases[at // (size + 1), size].astype(np.int64))
+        yield from result()
+
+    both = open_phrases.withColumn("trie", F.lit(None).cast("binary")).unionByName(tries, allowMissingColumns=True)
+    both = both.withColumn("later", F.col("trie").isNull()).repartition("part").sortWithinPartitions("part", "later").drop("later")
+    return kept(both.mapInArrow(counted, _schema(size, "a bigint", "part int")))
+
+
+def _bitmap(frequent: DataFrame, size: int, parts: int) -> np.ndarray | None:
+    """A bit for the first bits of each phrase's hash, packed in bytes; None without phrases."""
+    count = frequent.count()
+    bits = min(BITMAP_BITS, max(parts.bit_length() + 2, count.bit_length() + 4))
+    own = (1 << bits) // parts
+
+    def marked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        found: dict[int, np.ndarray] = {}
+        for batch in batches:
+            place = (_hashes([column.to_numpy() for column in batch.columns[:size]]) >> np.uint64(64 - bits)).astype(np.int64)
+            for part in np.unique(place // own).tolist():
+                found.setdefault(part, np.zeros(own, dtype=np.uint8))[place[place // own == part] - part * own] = 1
+        for part, places in found.items():
+            yield pa.RecordBatch.from_arrays([pa.array([part], pa.int32()), pa.array([np.packbits(places, bitorder="little").tobytes()], pa.binary())], names=["part", "places"])
+
+    if not count:
+        return None
+    result = np.zeros((1 << bits) // 8, dtype=np.uint8)
+    for row in frequent.select(*_names(size)).mapInArrow(marked, "part int, places binary").collect():  # together the bitmap, of bounded size
+        result[row.part * own // 8 : (row.part + 1) * own // 8] |= np.frombuffer(bytes(row.places), dtype=np.uint8)
+    return result
 
 
 def _salted_join(rows: DataFrame, small: DataFrame, key: str, *, salts: int = SALTS) -> DataFrame:
@@ -384,7 +421,7 @@ def collocations(documents: DataFrame, least: int = LEAST, longest: int = LONGES
     are dropped. Null texts have no words, a null language is ``und``. Repeated rows count again; ids and other columns are
     not read. Without frequent phrases there are no rows.
     """
-    rows = _prepared(documents)
+    rows, spark = _prepared(documents), documents.sparkSession
     words = kept(_word_counts(rows))
     totals = words.groupBy("lang").agg(F.sum("n").alias("total"))
     frequent_words = kept(words.where(F.col("n") >= least))
@@ -394,9 +431,16 @@ def collocations(documents: DataFrame, least: int = LEAST, longest: int = LONGES
     levels = [singles]
     total = frequent_words.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
     bits = min(max(int(total).bit_length() - 2, LEAST_BITS), most_bits)
+    parts, bitmap = _parts(numbers), None
     for size in range(2, longest + 1):
-        candidates = _safe_candidates(numbers, levels[-1], size - 1, least, trie_phrases, bits)
-        levels.append(_counts(numbers, candidates, size, least, trie_phrases))
+        open_phrases = _open_phrases(numbers, size, least, bits, parts, bitmap)
+        frequent = _counts(open_phrases, _tries(_candidates(open_phrases, size), size, trie_phrases), size, least)
+        levels.append(frequent.drop("part"))
+        if size < longest:
+            bitmap = _bitmap(frequent, size, parts)
+            if bitmap is None:
+                break
+        release(spark)
     phrases = kept(reduce(DataFrame.unionByName, [level.select(F.array(*_names(size)).alias("p"), "a") for size, level in enumerate(levels, 1)]))
     several = phrases.where(F.size("p") > 1)
 

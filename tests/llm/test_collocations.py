@@ -2,6 +2,7 @@ import random
 import re
 from collections import Counter, defaultdict
 
+import numpy as np
 import pytest
 
 from covermap.llm import collocations as module
@@ -88,3 +89,41 @@ def test_candidates_are_few(frame, monkeypatch):
     pairs = [count for size, count in sizes if size == 2]
     frequent = sum(len(row[2].split()) == 2 for row in brute(texts(), 9, 10_000))
     assert frequent and max(pairs) < 500
+
+
+def test_more_candidates_make_no_more_passes(spark, frame):
+    """The numbers are read once a level, however many tries the candidates need."""
+    context, jobs = spark.sparkContext, []
+    for most in (1 << 18, 5):
+        context.setJobGroup(f"tries of {most}", "")
+        collocations(frame, least=9, trie_phrases=most)
+        jobs.append(len(context.statusTracker().getJobIdsForGroup(f"tries of {most}")))
+    context._jsc.sc().clearJobGroup()
+    assert jobs[1] <= jobs[0] + 4
+
+
+@pytest.mark.parametrize("equal_hashes", [False, True])
+@pytest.mark.parametrize("size", [2, 3, 5])
+def test_extensions_are_counted_exactly(monkeypatch, size, equal_hashes):
+    draw = np.random.default_rng(size)
+    ids = np.append(draw.integers(0, 4, 2000), [1, 0]).astype("<i4")
+    if equal_hashes:
+        monkeypatch.setattr(module, "_hashes", lambda columns: np.zeros(len(columns[0]), dtype=np.uint64))
+    everything = None if size == 2 else np.full(1 << 13, 255, dtype=np.uint8)
+    phrases, hashes = module._extensions(ids, size, everything)
+    counts = Counter()
+    for *phrase, count in phrases.tolist():
+        counts[tuple(phrase)] += count
+    wanted = Counter(tuple(ids[at:at + size].tolist()) for at in range(len(ids) - size + 1))
+    assert counts == Counter({phrase: count for phrase, count in wanted.items() if 0 not in phrase})
+    assert (hashes[1:] >= hashes[:-1]).all() and len(hashes) == len(phrases)
+
+
+def test_parts_of_phrases_must_be_in_the_bitmap():
+    ids = np.array([1, 2, 3, 0, 2, 3, 4, 0], dtype="<i4")
+    bitmap = np.zeros(1 << 13, dtype=np.uint8)
+    for pair in ((1, 2), (2, 3)):
+        bit = int(module._hashes([np.array([word], dtype=np.int32) for word in pair])[0] >> np.uint64(64 - 16))
+        bitmap[bit >> 3] |= 1 << (bit & 7)
+    assert module._extensions(ids, 3, bitmap)[0].tolist() == [[1, 2, 3, 1]]
+    assert len(module._extensions(ids[:2], 3, bitmap)[0]) == 0
